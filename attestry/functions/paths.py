@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalize_path(col: Column | str) -> Column:
@@ -104,7 +105,7 @@ def glob_to_regex(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def glob_regex(globs: pd.Series) -> pd.Series:
     """Regex of each glob of a mapping table; the table is small next to the files."""
     return globs.map(lambda g: None if g is None else glob_to_regex(g))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MISSING = "missing"
 
@@ -66,7 +67,7 @@ def utf16_length(col: Column | str) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def tail_text(texts: pd.Series, limits: pd.Series) -> pd.Series:
     """Newest part of a text within a byte limit, cut at a ``## [`` entry, else at a line start."""
 

@@ -151,56 +151,34 @@ def passing(attached: DataFrame, rules: DataFrame, passes: DataFrame | None = No
     return rows.withColumn("rank", rank).withColumn("default_rank", F.coalesce(status_rank("_default"), F.lit(2))).drop("_when", "_default")
 
 
-def implied_closure(rules: DataFrame, implies: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def implied_closure(rules: DataFrame, implies: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Status each rule passes on over unconditional implications, for every status it may have itself.
 
     Rows ``(graph_id, rule_id, rank_in, implied, rank_out)``. Statuses form a chain and every hop is
     monotone, so the strictest status over all paths is what the cascade of any node would reach; nodes then
-    need one join with this table. Drafts pass nothing on.
+    need one join with this table. Drafts pass nothing on. Each round joins the paths found so far with
+    themselves, so the number of rounds is the logarithm of the longest chain.
     """
     default = rules.select("graph_id", F.col("rule_id").alias("implied"), F.coalesce(status_rank("status"), F.lit(2)).alias("_d"))
-    hops = (
-        implies.select("graph_id", F.col("implier").alias("_at"), "implied", F.coalesce("inherit", F.lit("strictest")).alias("inherit"))
-        .join(default, ["graph_id", "implied"], "left")
-        .withColumn("_d", F.coalesce("_d", F.lit(2)))
-    )
+    hops = implies.select("graph_id", F.col("implier").alias("rule_id"), "implied", "inherit").join(default, ["graph_id", "implied"], "left")
+    hops = hops.withColumn("_d", F.coalesce("_d", F.lit(2))).withColumn("rank_in", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = F.when(F.col("inherit") == "own-default", F.col("_d")).otherwise(F.greatest("rank_in", "_d"))
     key = ["graph_id", "rule_id", "rank_in", "implied"]
-    start = implies.select("graph_id", F.col("implier").alias("rule_id")).distinct().withColumn(
-        "rank_in", F.explode(F.array(F.lit(1), F.lit(2)))
-    )
-    delta = start.select("graph_id", "rule_id", "rank_in", F.col("rule_id").alias("implied"), F.col("rank_in").alias("rank_out"))
-    levels: list[DataFrame] = []
-    known: DataFrame | None = None
+    path = [*key, "rank_out"]
+    known = cut_lineage(hops.select(*key, out.alias("rank_out")).distinct())
     for _ in range(max_rounds):
-        step = (
-            salted_join(delta.filter("rank_out > 0").withColumnRenamed("implied", "_at"), hops, ["graph_id", "_at"])
-            .select(
-                "graph_id", "rule_id", "rank_in", "implied",
-                F.when(F.col("inherit") == "own-default", F.col("_d")).otherwise(F.greatest("rank_out", "_d")).alias("rank_out"),
-            )
-            .groupBy(*key)
-            .agg(F.max("rank_out").alias("rank_out"))
+        tail = known.select(
+            "graph_id", F.col("rule_id").alias("_mid"), F.col("rank_in").alias("_r"), F.col("implied").alias("_end"), F.col("rank_out").alias("_out")
         )
-        if known is not None:
-            old = known.groupBy(*key).agg(F.max("rank_out").alias("_old"))
-            step = step.join(old, key, "left").filter(F.col("_old").isNull() | (F.col("rank_out") > F.col("_old"))).drop("_old")
-        delta = cut_lineage(step)
-        if delta.isEmpty():
-            break
-        levels.append(delta)
-        if len(levels) == 8:
-            merged = levels[0]
-            for level in levels[1:]:
-                merged = merged.unionByName(level)
-            levels = [cut_lineage(merged.groupBy(*key).agg(F.max("rank_out").alias("rank_out")))]
-        known = levels[0]
-        for level in levels[1:]:
-            known = known.unionByName(level)
-    else:
-        raise RuntimeError("implication closure did not settle")
-    if known is None:
-        return delta
-    return known.groupBy(*key).agg(F.max("rank_out").alias("rank_out"))
+        head = known.select("graph_id", "rule_id", "rank_in", F.col("implied").alias("_mid"), F.col("rank_out").alias("_r"))
+        longer = salted_join(head, tail, ["graph_id", "_mid", "_r"]).select(
+            "graph_id", "rule_id", "rank_in", F.col("_end").alias("implied"), F.col("_out").alias("rank_out")
+        )
+        fresh = cut_lineage(longer.distinct().join(known, path, "left_anti").select(*path))
+        if fresh.isEmpty():
+            return known.groupBy(*key).agg(F.max("rank_out").alias("rank_out"))
+        known = known.unionByName(fresh)
+    raise RuntimeError("implication closure did not settle")
 
 
 def effective_ranks(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,17 +40,29 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of the cluster, so the loss of an executor costs no loop round."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors reach, from ``spark.checkpoint.dir``; a local session without one gets a temporary one."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="attestry-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="attestry-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a loop state to the shared folder and go on from the table.
+
+    The loss of an executor then costs no earlier round, and the planner knows the size of the state, so a
+    small one is broadcast and a large one is not.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/attestry-state/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def entry_keys(entries: DataFrame, entry: str = "entry") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.paths import extension, glob_regex, glob_to_regex
-from attestry.operators.keyed import salted_join
+from attestry.operators.keyed import cut_lineage, salted_join
 
 # Scan limits of content predicates.
 SCAN_BYTES = 5 * 1024 * 1024
@@ -340,7 +340,8 @@ def eval_node_predicate(
     wanted = demand.select(*node, "condition").filter("condition is not null").distinct()
     if deepest == 0:
         return wanted.select("*", F.lit(True).alias("pass"))
-    asked = salted_join(wanted, flat, ["condition"])
+    # a dozen atom kinds read these rows, so they are written once
+    asked = cut_lineage(salted_join(wanted, flat, ["condition"]))
     leaf = [*node, "condition", "leaf", "steps"]
     types = nodes.select(*node, "type")
     has_port = ports.select(*node, "port").distinct()
@@ -408,7 +409,7 @@ def eval_node_predicate(
     judged = every.join(true_leaves.distinct().withColumn("truth", F.lit(True)), leaf, "left").withColumn(
         "truth", F.coalesce("truth", F.lit(False))
     )
-    return combine_leaves(judged.withColumn("unreadable", F.lit(False)), node, deepest).drop("unreadable")
+    return cut_lineage(combine_leaves(judged.withColumn("unreadable", F.lit(False)), node, deepest).drop("unreadable"))
 
 
 def drop_binary_subjects(pair_files: DataFrame, path: str = "path") -> DataFrame:
