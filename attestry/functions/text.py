@@ -28,14 +28,21 @@ def content_hash(col: Column | str) -> Column:
     return sha256_text(normalize_eol(col))
 
 
+_CONTROL = r"(?<=(?<!\\)(?:\\\\){0,64})(?=\\u00[01][0-9A-F])"
+
+
 def json_string(col: Column | str) -> Column:
     """A JSON string literal; control escapes in lower-case hex."""
     raw = F.to_json(F.struct(_c(col).alias("v")))
     plain = F.substring(raw, F.lit(6), F.length(raw) - 6)
-    text = plain
-    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
-        text = F.regexp_replace(text, rf"((?<!\\)(?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
-    return F.when(plain.rlike(r"\\u00[01][A-F]"), text).otherwise(plain)
+    # the writer gives upper-case hex: lower the six characters of each escape
+    parts = F.transform(
+        F.split(plain, _CONTROL),
+        lambda p: F.when(
+            p.startswith("\\u00"), F.concat(F.lower(F.substring(p, 1, 6)), F.substring(p, F.lit(7), F.length(p)))
+        ).otherwise(p),
+    )
+    return F.when(plain.contains("\\u00"), F.array_join(parts, "")).otherwise(plain)
 
 
 def json_object(**fields: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry.functions.paths import extension, parent_path, split_key, unit_of_file, unit_of_node
 from attestry.functions.text import MISSING, escape_xml, sha256_text, utf16_length
 from attestry.operators.digests import EMPTY_SET_HASH, PAIR, directory_entries, listing_hash, node_set_hash, pair_input_hash
-from attestry.operators.keyed import salted_join
+from attestry.operators.keyed import cut_lineage, salted_join
 from attestry.operators.predicates import BINARY_EXTENSIONS, eval_path_predicates
 
 # Review text limit of a tier that sets none.
@@ -36,12 +36,14 @@ def expected_pairs(
     """
     live = effective if include_draft else effective.filter("status <> 'draft'")
     meta = rules.filter("kind <> 'bundle'").select("graph_id", "rule_id", "kind", "scope_per", "scope_files")
-    asked = salted_join(live, meta, ["graph_id", "rule_id"])
+    # the filter, the pairs and the blocked subjects all start here
+    asked = cut_lineage(salted_join(live, meta, ["graph_id", "rule_id"]))
     # files per node are the long side, rules per node the short one
     rows = salted_join(node_files.select("graph_id", "node_path", "path"), asked, ["graph_id", "node_path"])
     blocked = None
     if files is not None:
-        demand = rows.filter("scope_files is not null").select("graph_id", "path", F.col("scope_files").alias("condition"))
+        filters = asked.filter("scope_files is not null").select("graph_id", "node_path", F.col("scope_files").alias("condition")).distinct()
+        demand = salted_join(node_files.select("graph_id", "node_path", "path"), filters, ["graph_id", "node_path"])
         result = eval_path_predicates(demand, files).withColumnRenamed("condition", "scope_files")
         rows = rows.join(result, ["graph_id", "path", "scope_files"], "left")
         blocked = rows.filter("unreadable").select(

@@ -307,7 +307,7 @@ def eval_path_predicates(demand: DataFrame, files: DataFrame) -> DataFrame:
             "*", F.lit(True).alias("pass"), F.lit(False).alias("unreadable")
         )
     leaves = flat.withColumn("regex", F.when(F.col("kind") == "path", glob_regex(F.col("value"))).otherwise(F.col("value")))
-    asked = salted_join(demand.select("graph_id", "path", "condition").distinct(), leaves, ["condition"])
+    asked = cut_lineage(salted_join(demand.select("graph_id", "path", "condition").distinct(), leaves, ["condition"]))
     on_path = asked.filter("kind <> 'content'").withColumn(
         "truth", F.when(F.col("kind") == "path", F.expr("path rlike regex")).otherwise(F.col("kind") == "true")
     ).withColumn("unreadable", F.lit(False))
