@@ -93,16 +93,27 @@ def journal_split(journals: DataFrame) -> DataFrame:
     )
 
 
+STRETCH = 100_000
+
+
 def journal_order(entries: DataFrame) -> DataFrame:
-    """Entries not strictly after the one before, or with a timestamp the journal has seen before."""
-    w = Window.partitionBy(*NODE).orderBy("pos")
-    same = Window.partitionBy(*NODE, "ts").orderBy("pos")
-    rows = entries.withColumn("_prev", F.lag("ts").over(w)).withColumn("_n", F.row_number().over(same)).withColumn(
-        "first_pos", F.first_value("pos").over(same)
-    )
-    late = rows.filter("ts <= _prev").select(*NODE, "pos", "ts", F.lit("out_of_order").alias("reason"))
-    twice = rows.filter("_n > 1").select(*NODE, "pos", "ts", F.lit("duplicate_datetime").alias("reason"))
-    return late.unionByName(twice)
+    """Entries not strictly after the one before, or with a timestamp the journal has seen before.
+
+    ``pos`` grows along the journal. A long journal is looked at in stretches of ``pos``; each stretch also
+    gets the last entry before it, so no task sorts a whole hot journal.
+    """
+    stretch = F.floor(F.col("pos") / STRETCH)
+    rows = entries.select(*NODE, "pos", "ts", stretch.alias("_s"))
+    edge = rows.groupBy(*NODE, "_s").agg(F.max_by(F.struct("pos", "ts"), "pos").alias("e"))
+    # one row per stretch: the window over them stays small
+    carry = edge.withColumn("_next", F.lead("_s").over(Window.partitionBy(*NODE).orderBy("_s"))).filter("_next is not null")
+    lead_in = carry.select(*NODE, "e.pos", "e.ts", F.col("_next").alias("_s"), F.lit(True).alias("_in"))
+    w = Window.partitionBy(*NODE, "_s").orderBy("pos")
+    seen = rows.withColumn("_in", F.lit(False)).unionByName(lead_in).withColumn("_prev", F.lag("ts").over(w))
+    late = seen.filter("NOT _in AND ts <= _prev").select(*NODE, "pos", "ts", F.lit("out_of_order").alias("reason"))
+    first = rows.groupBy(*NODE, "ts").agg(F.min("pos").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    twice = salted_join(rows, first, [*NODE, "ts"]).filter("pos > _first")
+    return late.unionByName(twice.select(*NODE, "pos", "ts", F.lit("duplicate_datetime").alias("reason")))
 
 
 def latest_entry(journals: DataFrame, entries: DataFrame) -> DataFrame:

@@ -293,11 +293,16 @@ def consensus(votes: DataFrame) -> DataFrame:
     )
 
 
-def build_review_text(pair_files: DataFrame, files: DataFrame, rules: DataFrame, nodes: DataFrame, instructions: str) -> DataFrame:
+def build_review_text(
+    pair_files: DataFrame, files: DataFrame, rules: DataFrame, nodes: DataFrame, instructions: str, budget: DataFrame | None = None
+) -> DataFrame:
     """Text a judge reads for each pair: instructions, node, rule, then the subjects in path order.
 
-    Build it only for pairs that are sent and are within budget; the budget bounds the group.
+    With ``budget`` only pairs within their limit get a text, which bounds the size of each group; those over
+    it are never sent and show as too-large in verify_pairs.
     """
+    if budget is not None:
+        pair_files = salted_join(pair_files, budget.filter("over").select(*PAIR), PAIR, "left_anti")
     block = F.concat(
         F.lit('<file path="'), escape_xml("path", True), F.lit('">\n'), escape_xml(F.coalesce("content", F.lit(""))), F.lit("\n</file>")
     )

@@ -53,7 +53,7 @@ LANGUAGES = {
 def guard_content(files: DataFrame) -> DataFrame:
     """Flags ``is_binary`` (a NUL in the first 8 KB) and ``too_large`` (over 5 MB)."""
     head = F.substring(F.encode("content", "UTF-8"), 1, PROBE_BYTES)
-    return files.withColumn("is_binary", F.coalesce(F.hex(head).rlike("^(..)*?00"), F.lit(False))).withColumn(
+    return files.withColumn("is_binary", F.coalesce(F.contains(head, F.lit(b"\x00")), F.lit(False))).withColumn(
         "too_large", F.octet_length("content") > SCAN_BYTES
     )
 

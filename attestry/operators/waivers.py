@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.paths import is_glob, normalize_path
-from attestry.operators.keyed import salted_join
+from attestry.operators.keyed import salt_of, salted_join, salts_of
 
 MARKER_WORD = "waive"
 SPAN = ["graph_id", "file", "rule_id"]
@@ -96,15 +96,18 @@ def waived_ranges(markers: DataFrame, file_sizes: DataFrame) -> DataFrame:
 
 def drop_waived(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     """Remove findings on waived lines; one without file or line always stays."""
+    n = salts_of(findings)
     r = ranges.select(
-        F.col("graph_id").alias("_g"), F.col("file").alias("_f"), F.col("rule_id").alias("_r"), "start_line", "end_line", "wildcard"
+        F.col("graph_id").alias("_g"), F.col("file").alias("_f"), F.col("rule_id").alias("_r"), "start_line", "end_line", "wildcard",
+        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_t"),
     )
+    # findings of one file spread over the salts, its few spans are repeated
     hit = (
-        (F.col("graph_id") == F.col("_g")) & (F.col("file") == F.col("_f"))
+        (F.col("graph_id") == F.col("_g")) & (F.col("file") == F.col("_f")) & (F.col("_salt") == F.col("_t"))
         & F.col("line").between(F.col("start_line"), F.col("end_line"))
         & (F.col("wildcard") | (F.col("rule_id") == F.col("_r")))
     )
-    return findings.join(r, hit, "left_anti")
+    return findings.withColumn("_salt", salt_of(findings, n)).join(r, hit, "left_anti").drop("_salt")
 
 
 def spans_of_rule(ranges: DataFrame, rule_id: str) -> DataFrame:

@@ -179,6 +179,18 @@ def verify_pairs(i: Inputs) -> DataFrame:
     return _states(i).select("rule_id", "unit_key", "state")
 
 
+@query(
+    """SELECT count(*) AS pairs, count(*) FILTER (state = 'verified') AS verified,
+              count(*) FILTER (state <> 'verified' AND status = 'enforced') AS errors, count(*) FILTER (state <> 'verified' AND status <> 'enforced') AS warnings,
+              'unverified' AS next_code, (SELECT count(*) FROM paths) AS total FROM states""",
+    *STATES,
+)
+def check_report(i: Inputs) -> DataFrame:
+    coverage = own.coverage_summary(i.paths, i.dmappings, i.roots)
+    parts = [chk.broken_flows(i.flow_nodes.filter("flow = ''"), i.dnodes)]
+    return chk.check_report(parts, states(i), coverage)[1].select("pairs", "verified", "errors", "warnings", "next_code", "total")
+
+
 @query("SELECT kind, status, state, count(*) AS n FROM states GROUP BY ALL", *STATES)
 def pair_state_counts(i: Inputs) -> DataFrame:
     return _states(i).groupBy("kind", "status", "state").agg(F.count("*").alias("n"))
@@ -299,25 +311,30 @@ def consensus(i: Inputs) -> DataFrame:
     return prs.consensus(i.votes).drop("graph_id")
 
 
-@query(
+BUDGET = (
+    "budget",
     """SELECT rule_id, unit_key, chars, max_chars AS "limit", chars > max_chars AS over FROM (
          SELECT p.rule_id, p.unit_key, CAST(sum(length(e) + length(p.path)) + count(*) * length(concat('<file path="">', chr(10), chr(10), '</file>')) + (count(*) - 1) * 2
                 + length(p.rule_id) + any_value(length(r.description) + length(r.body)) + length(p.node_path) + any_value(length(n.description))
                 + any_value(CASE r.scope_per WHEN 'file' THEN 207 ELSE 0 END) + 100 AS BIGINT) AS chars, any_value(CAST(t.max_chars AS BIGINT)) AS max_chars
          FROM (SELECT *, replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM pair_files WHERE kind = 'judged') p
          JOIN drules r ON r.rule_id = p.rule_id JOIN dnodes n ON n.node_path = p.node_path JOIN tiers t ON t.tier = r.tier GROUP BY p.rule_id, p.unit_key, p.node_path)""",
-    *BASE_PAIRS,
 )
+
+
+@query('SELECT rule_id, unit_key, chars, "limit", over FROM budget', *BASE_PAIRS, BUDGET)
 def payload_budget(i: Inputs) -> DataFrame:
     return prs.payload_budget(pair_files(i), i.files, i.drules, i.dnodes, i.tiers, 100).drop("graph_id")
 
 
 @query(
-    """SELECT rule_id, unit_key, count(*) AS n FROM pair_files WHERE kind = 'judged' GROUP BY ALL""",
-    *BASE_PAIRS,
+    """SELECT p.rule_id, p.unit_key, count(*) AS n FROM pair_files p JOIN budget b ON b.rule_id = p.rule_id AND b.unit_key = p.unit_key
+       WHERE kind = 'judged' AND NOT over GROUP BY ALL""",
+    *BASE_PAIRS, BUDGET,
 )
 def build_review_text(i: Inputs) -> DataFrame:
-    rows = prs.build_review_text(pair_files(i), i.files, i.drules, i.dnodes, "Judge the files against the rule.")
+    budget = prs.payload_budget(pair_files(i), i.files, i.drules, i.dnodes, i.tiers, 100)
+    rows = prs.build_review_text(pair_files(i), i.files, i.drules, i.dnodes, "Judge the files against the rule.", budget)
     return rows.select("rule_id", "unit_key", F.regexp_count("text", F.lit('<file path="')).cast("long").alias("n"))
 
 
