@@ -69,17 +69,27 @@ EFFECTIVE = ("effective", f"SELECT node_path, rule_id, {NAME.format('max(rank)')
 CASCADE = (LINE, VIA, ATTACHED, RANKED, spread(), EFFECTIVE)
 
 
-def attached(i: Inputs) -> DataFrame:
+def _attached(i: Inputs) -> DataFrame:
     return cas.attachments(i.nodes, i.attachments_raw, i.flow_nodes, i.relations_full)
 
 
-def effective(i: Inputs) -> DataFrame:
+def attached(i: Inputs) -> DataFrame:
+    """Attachments of the organisation graph, written once for the queries that start from them."""
+    return i._stage("attached", lambda: _attached(i))
+
+
+def _effective(i: Inputs) -> DataFrame:
     return cas.effective_rules(attached(i), i.rules, i.implies)
 
 
+def effective(i: Inputs) -> DataFrame:
+    """Rules in force in the organisation graph, written once for the queries that start from them."""
+    return i._stage("effective", lambda: _effective(i))
+
+
 @query("SELECT node_path, rule_id, channel, origin, label FROM attached", LINE, VIA, ATTACHED)
 def attachments(i: Inputs) -> DataFrame:
-    return attached(i).select("node_path", "rule_id", "channel", "origin", "label")
+    return _attached(i).select("node_path", "rule_id", "channel", "origin", "label")
 
 
 @query(
@@ -92,7 +102,7 @@ def port_attachments(i: Inputs) -> DataFrame:
 
 @query("SELECT node_path, rule_id, status FROM effective", *CASCADE, recursive=True)
 def effective_rules(i: Inputs) -> DataFrame:
-    return effective(i).drop("graph_id")
+    return _effective(i).drop("graph_id")
 
 
 HOLDS = (
@@ -112,6 +122,10 @@ GATED = spread(base="passing", gate="JOIN holds h ON h.node_path = s.node_path A
 
 
 def _passes(i: Inputs, rows: DataFrame) -> DataFrame:
+    return i._stage("passes", lambda: _pass_rows(i, rows))
+
+
+def _pass_rows(i: Inputs, rows: DataFrame) -> DataFrame:
     demand = cas.condition_demand(rows, i.rules_when, i.implies)
     return pred.eval_node_predicate(demand, i.nodes, i.relations_full, i.ports, i.nodes.select("graph_id", "node_path", F.lit("").alias("entry")))
 
@@ -183,7 +197,7 @@ def status_sources(i: Inputs) -> DataFrame:
 )
 def rule_source(i: Inputs) -> DataFrame:
     rows = attached(i)
-    return cas.rule_source(rows, cas.effective_rules(rows, i.rules, i.implies), i.implies, i.rules).drop("graph_id")
+    return cas.rule_source(rows, effective(i), i.implies, i.rules).drop("graph_id")
 
 
 @query(
@@ -421,6 +435,11 @@ def rule_references(i: Inputs) -> DataFrame:
     return chk.rule_references(rules, i.files, i.tiers.filter("tier = 'standard'")).select("code", "rule_id", "what")
 
 
+def issues(i: Inputs) -> DataFrame:
+    """Issues of the organisation graph, written once for the reports on them."""
+    return i._stage("issues", lambda: _issues(i))
+
+
 def _issues(i: Inputs) -> DataFrame:
     return chk.validate(
         i.nodes, i.relations_full, i.ports, i.types, i.nodes.select("graph_id", "node_path", F.lit("").alias("entry")), i.rules,
@@ -456,12 +475,12 @@ def validate(i: Inputs) -> DataFrame:
     ALLOWED, ISSUES,
 )
 def group_issues(i: Inputs) -> DataFrame:
-    return chk.group_issues(_issues(i)).drop("graph_id")
+    return chk.group_issues(issues(i)).drop("graph_id")
 
 
 @query("SELECT DISTINCT code, rule_id AS group_rule, node_path, what FROM issues", ALLOWED, ISSUES)
 def group_members(i: Inputs) -> DataFrame:
-    return chk.group_members(_issues(i)).drop("graph_id")
+    return chk.group_members(issues(i)).drop("graph_id")
 
 
 @query(
@@ -470,7 +489,7 @@ def group_members(i: Inputs) -> DataFrame:
     ALLOWED, ISSUES,
 )
 def summary_by_node(i: Inputs) -> DataFrame:
-    return chk.summary_by_node(_issues(i)).drop("graph_id")
+    return chk.summary_by_node(issues(i)).drop("graph_id")
 
 
 @query(
@@ -479,12 +498,12 @@ def summary_by_node(i: Inputs) -> DataFrame:
     ALLOWED, ISSUES,
 )
 def top_issues(i: Inputs) -> DataFrame:
-    return chk.top_issues(_issues(i), 25).drop("graph_id", "severity")
+    return chk.top_issues(issues(i), 25).drop("graph_id", "severity")
 
 
 @query("SELECT 'aspect-implies-cycle' AS code, '' AS node_path, 'p3' AS rule_id, count(*) FILTER (severity = 'error') AS errors FROM issues", ALLOWED, ISSUES)
 def next_action(i: Inputs) -> DataFrame:
-    return chk.next_action(_issues(i)).drop("graph_id")
+    return chk.next_action(issues(i)).drop("graph_id")
 
 
 # --- reports on the graph -----------------------------------------------------------------------------------------

@@ -53,6 +53,11 @@ HASHED = (
 
 
 def doc_effective(i: Inputs) -> DataFrame:
+    """Rules in force in the document graph, written once."""
+    return i._stage("doc_effective", lambda: _doc_effective(i))
+
+
+def _doc_effective(i: Inputs) -> DataFrame:
     rows = cas.attachments(
         i.dnodes, i.dattach, i.flow_nodes.filter("flow = ''"),
         i.relations.filter("type = ''").withColumn("consumes", F.array(F.lit(""))),
