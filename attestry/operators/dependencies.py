@@ -97,7 +97,10 @@ def probe_module_paths(uses: DataFrame, files: DataFrame, manifests: DataFrame |
     arr = lambda *xs: F.array(*xs)
 
     def exist(rows: DataFrame) -> DataFrame:
-        return rows.filter("target is not null").join(index, ["graph_id", "target"], "left_semi")
+        # a path many imports try is looked up once, then handed out over the salts
+        tried = rows.filter("target is not null")
+        there = tried.select("graph_id", "target").distinct().join(index, ["graph_id", "target"], "left_semi")
+        return salted_join(tried, there, ["graph_id", "target"], "left_semi")
 
     def first(rows: DataFrame) -> DataFrame:
         return exist(rows).groupBy(*key).agg(F.min_by("target", "rank").alias("target"))
@@ -229,13 +232,15 @@ def resolve_candidates(uses: DataFrame, symbols: DataFrame, targets: DataFrame,
         *key, "language", "c.kind", "c.spec"
     )
     own = owners.filter("node_path is not null").select("graph_id", F.col("path").alias("target"), "node_path")
-    by_path = cand.filter("kind = 'path'").join(targets.select(*key, "target"), key).join(own, ["graph_id", "target"]).select(
+    # owners are looked up per distinct target and per symbol: a popular file is one row there
+    owned = targets.select("graph_id", "target").distinct().join(own, ["graph_id", "target"])
+    by_path = salted_join(cand.filter("kind = 'path'").join(targets.select(*key, "target"), key), owned, ["graph_id", "target"]).select(
         *key, "node_path", F.lit(False).alias("ambiguous")
     )
     table = symbols.select("graph_id", "language", F.col("symbol").alias("spec"), "n_files", F.col("file").alias("target"))
+    table = table.join(own, ["graph_id", "target"], "left")
     by_symbol = (
         salted_join(cand.filter("kind = 'symbol'"), table, ["graph_id", "language", "spec"])
-        .join(own, ["graph_id", "target"], "left")
         .select(*key, "node_path", (F.col("n_files") > 1).alias("ambiguous"))
         .filter("ambiguous or node_path is not null")
     )

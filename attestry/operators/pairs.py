@@ -105,7 +105,9 @@ def reobserve(
     table = read
     for part in (docs, dirs, exists, children, flows):
         table = table.unionByName(part.select(*read.columns))
-    simple = rows.join(table, [g, "_kind", "_target"], "left")
+    # a target many units looked at is looked up once, then handed out over the salts
+    asked = rows.select(g, "_kind", "_target").distinct()
+    simple = salted_join(rows, asked.join(table, [g, "_kind", "_target"]), [g, "_kind", "_target"], "left")
     if visible is not None:
         typed = nodes.select(g, F.col("node_path").alias("visible_node"), F.col("type").alias("_target"))
         seen = rows.filter("_kind = 'graph-bytype'").select(g, "node_path", "_target").distinct()
@@ -388,10 +390,11 @@ def read_scope(nodes: DataFrame, mappings: DataFrame, relations: DataFrame) -> t
     above = closure.select(g, F.col("descendant").alias("node_path"), F.col("ancestor").alias("visible_node"))
     below = closure.select(g, F.col("ancestor").alias("node_path"), F.col("descendant").alias("visible_node"))
     of = entries.withColumnRenamed("node_path", "visible_node")
-    full = reached.unionByName(above).distinct().join(of, [g, "visible_node"]).select(g, "node_path", "entry")
+    # every node sees the top of its tree, so the top is a hot key
+    full = salted_join(reached.unionByName(above).distinct(), of, [g, "visible_node"]).select(g, "node_path", "entry")
     own_dirs = entries.select(g, "node_path", parent_path("entry").alias("_dir")).filter("_dir <> ''").distinct()
     carve = child_entries.withColumn("_dir", parent_path("entry")).join(own_dirs, [g, "node_path", "_dir"], "left_semi").select(g, "node_path", "entry")
-    down = below.join(of, [g, "visible_node"]).select(g, "node_path", "entry").distinct().join(carve, [g, "node_path", "entry"], "left_anti")
+    down = salted_join(below, of, [g, "visible_node"]).select(g, "node_path", "entry").distinct().join(carve, [g, "node_path", "entry"], "left_anti")
     me = nodes.select(g, "node_path", F.col("node_path").alias("visible_node"))
     visible = me.unionByName(reached).unionByName(above).unionByName(below).distinct()
     return own.unionByName(full).unionByName(down).distinct(), visible
