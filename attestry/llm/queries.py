@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from attestry.llm import mixing, near_text, packing, urls
+from attestry.llm import language, mixing, near_text, packing, quality, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_language_id": language.op2_language_id,
+    "op6_quality": quality.op6_quality,
     "op7_url_filter": urls.op7_url_filter,
     "op9_minhash_near_dedup": near_text.op9_minhash_near_dedup,
     "op10_packing": packing.op10_packing,
