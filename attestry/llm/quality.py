@@ -28,8 +28,8 @@ from attestry.operators.keyed import cut_lineage
 BITS = 18
 #: Most labelled rows to learn from, give or take what hashing to a fraction does.
 TRAIN_ROWS = 12_000
-PASSES = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
+PASSES = 5
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.002, 0.02
 TOKEN = regex.compile(r"\w+|[^\w\s]+")
 
 
