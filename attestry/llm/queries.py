@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from attestry.llm import extraction, language, mixing, near_text, packing, quality, urls
+from attestry.llm import extraction, language, mixing, near_text, near_vectors, packing, quality, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": language.op2_language_id,
+    "op4_embedding_near_dedup": near_vectors.op4_embedding_near_dedup,
     "op5_html_extraction": extraction.op5_html_extraction,
     "op6_quality": quality.op6_quality,
     "op7_url_filter": urls.op7_url_filter,
