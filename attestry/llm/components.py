@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,16 @@ def components(links: DataFrame) -> DataFrame:
         a, b = points.select(F.col("node").alias("a"), F.col("to").alias("_a")), points.select(F.col("node").alias("b"), F.col("to").alias("_b"))
         edges = cut_lineage(edges.join(a, "a").join(b, "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
     return labels
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index that each of ``n`` indices reaches over the links."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

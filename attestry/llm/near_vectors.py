@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.common import table, unit
-from attestry.llm.components import components
+from attestry.llm.components import components, roots
 from attestry.llm.vectors import matrix, numbered, runs, unit_rows
 from attestry.operators.keyed import cut_lineage
 
@@ -86,19 +86,6 @@ def linked_in(left: tuple, right: tuple | None, lowest: int, shared: int, cosine
     return (i[i < j], j[i < j]) if right is None else (i, j)
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index that each of ``n`` indices reaches over the links."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, nearest: int = NEAREST, shared: int = SHARED, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id, uid, n_links, component_id, first`` for each row; runs jobs while the plan is built."""
     rows = numbered(vectors, vec_id, embedding)
