@@ -15,7 +15,6 @@ from attestry.operators.keyed import cut_lineage
 
 #: Letters A to Z and their small forms; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-M64 = (1 << 64) - 1
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
@@ -41,6 +40,11 @@ def with_row_id(rows: DataFrame, name: str = "_uid") -> DataFrame:
     return cut_lineage(rows.withColumn(name, F.monotonically_increasing_id()))
 
 
+def extended(rows: DataFrame, **columns: T.DataType) -> T.StructType:
+    """The schema of ``rows`` with further columns at its end."""
+    return T.StructType([*rows.schema.fields, *(T.StructField(name, kind) for name, kind in columns.items())])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of a few rows, so that a worker holds the results of few long texts at a time."""
     for batch in batches:
@@ -54,8 +58,6 @@ def running_total(rows: DataFrame, order: list[str], amount: str, name: str) ->
     The rows are dealt by range and summed inside each range; what crosses ranges is one number per range.
     Rows should be narrow, as they are written to the shared folder.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())])
-
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = 0
         for frame in frames:
@@ -64,7 +66,7 @@ def running_total(rows: DataFrame, order: list[str], amount: str, name: str) ->
             before += int(sums.iloc[-1]) if len(sums) else 0
 
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    stretches = cut_lineage(ranged.mapInPandas(local, schema).withColumn("_range", F.spark_partition_id()))
+    stretches = cut_lineage(ranged.mapInPandas(local, extended(rows, **{name: T.LongType()})).withColumn("_range", F.spark_partition_id()))
     sizes = stretches.groupBy("_range").agg(F.sum(amount).alias("_size"))
     # one row per range: as many as there are shuffle partitions, whatever the data
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

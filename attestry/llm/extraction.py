@@ -19,8 +19,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attestry.llm.common import slices, table
+from attestry.llm.common import extended, slices, table
 
 # fixed values: names of HTML elements and the words that pages use for what surrounds an article
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -224,8 +225,8 @@ def extract(html: str | None) -> str:
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` without the HTML and with ``text`` and ``n_chars``; nothing is moved between tasks."""
-    others = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    """``pages`` without the HTML and with ``text`` and ``n_chars``, in place of columns of these names; nothing is moved between tasks."""
+    others = pages.drop(html, "text", "n_chars", "_html").columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -233,9 +234,8 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string()), sizes], [*others, "text", "n_chars"])
 
-    rows = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html).cast("string").alias("_html"))
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others)
-    return rows.mapInArrow(work, f"{kinds}text string, n_chars long")
+    rows = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html).cast("string").alias("_html"))  # the last column
+    return rows.mapInArrow(work, extended(rows.drop("_html"), text=T.StringType(), n_chars=T.LongType()))
 
 
 def op5_html_extraction(spark, folder: str) -> DataFrame:

@@ -23,8 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attestry.llm.common import mix64, slices, table
+from attestry.llm.common import extended, mix64, slices, table
 
 BUCKET_BITS = 14
 WIDTHS = (2, 3, 4)
@@ -145,7 +146,7 @@ class LanguageModel:
         return self.langs[order[0]], float(odds[order[0]] / odds.sum()), bool(gap < self.margin)
 
     def label(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Adds ``lang_pred, score, ambiguous``; only the text is looked at."""
+        """Adds ``lang_pred, score, ambiguous`` in place of columns of these names; only the text is looked at."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -154,8 +155,8 @@ class LanguageModel:
                 extra = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "lang_pred", "score", "ambiguous"])
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(work, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+        docs = docs.drop("lang_pred", "score", "ambiguous")
+        return docs.mapInArrow(work, extended(docs, lang_pred=T.StringType(), score=T.DoubleType(), ambiguous=T.BooleanType()))
 
 
 def op2_language_id(spark, folder: str) -> DataFrame:

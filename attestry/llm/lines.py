@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import M64, mix64, slices, table
+from attestry.llm.common import mix64, slices, table
 from attestry.operators.keyed import cut_lineage
 
 MIN_CHARS = 20
@@ -38,8 +38,10 @@ def variant_hashes(line: str) -> tuple[np.ndarray, int]:
     """Hash of the line without each of its characters in turn, and of the line itself."""
     letters = mix64(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[1], np.full(len(letters), STEP & M64, np.uint64)]).astype(np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers[:-1])])
+        factors = np.full(len(letters), STEP, np.uint64)
+        factors[:1] = 1
+        powers = np.cumprod(factors)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * powers)])
         without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(BACK)
     return mix64(without), int(mix64(sums[-1]))
 
@@ -145,19 +147,19 @@ def rank_bytes(place: str) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text that is left and with ``lines_in``, ``lines_dropped``; no document goes."""
+    """``docs`` with the text that is left and with ``lines_in, lines_dropped``, in place of columns of these names; no document goes."""
     gone = cut_lineage(dropped_lines(docs, min_chars, doc_id, text))
     per_doc = gone.groupBy("nulls", "doc_id", "mark").agg(F.collect_list("line_no").alias("_gone"))  # at most the lines of one document
     per_doc = per_doc.select(F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("nulls").alias("_n"), F.col("mark").alias("_m"), "_gone")
-    ids = F.col(doc_id).cast("long")
-    rows = docs.withColumns({"_k": F.coalesce(ids, F.lit(0)), "_n": ids.isNull().cast("int"), "_m": doc_mark(F.col(text).cast("string"))})
+    ids, whole = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    kept = [c for c in docs.columns if c.lower() not in ("lines_in", "lines_dropped")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), whole.alias("_text"), F.coalesce(ids, F.lit(0)).alias("_k"), ids.isNull().cast("int").alias("_n"), doc_mark(whole).alias("_m"))
     joined = rows.join(per_doc, ["_k", "_n", "_m"], "left")
-    lines = F.split(F.col(text).cast("string"), "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    return joined.withColumns({
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")),
-        "lines_in": F.coalesce(F.size(lines), F.lit(0)), "lines_dropped": F.coalesce(F.size("_gone"), F.lit(0)),
-    }).select(*docs.columns, "lines_in", "lines_dropped")
+    lines = F.split("_text", "\n")
+    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    new = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(left)
+    same = [new.alias(c) if c.lower() == text.lower() else F.col(f"_row.`{c}`") for c in kept]
+    return joined.select(*same, F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines)).alias("lines_in"), F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_dropped"))
 
 
 def op3_line_dedup(spark, folder: str) -> DataFrame:

@@ -40,7 +40,7 @@ BEAM, STEPS, HOLD = 200, 12, 4096
 def codes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows as one byte a component and a scale each."""
     scale = np.abs(rows).max(axis=1) / 127.0
-    return np.rint(rows / np.where(scale > 0, scale, 1.0)[:, None]).astype(np.int8), scale.astype(np.float32)
+    return np.rint(rows / scale[:, None]).astype(np.int8), scale
 
 
 def best(uid: np.ndarray, ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +58,11 @@ def lists_of(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
 
 
-GRAPH = "uid long, ids array<long>, scores array<float>"
+GRAPH = "uid long, ids array<long>, scores array<double>"
 
 
 def graph_batch(uids: list, ids: list, scores: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), lists_of(ids, pa.int64()), lists_of(scores, pa.float32())], ["uid", "ids", "scores"])
+    return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), lists_of(ids, pa.int64()), lists_of(scores, pa.float64())], ["uid", "ids", "scores"])
 
 
 def sorted_blocks(points: DataFrame, seed: int, size: int, degree: int) -> DataFrame:
@@ -124,7 +124,7 @@ def merged(graph: DataFrame, degree: int) -> DataFrame:
     return graph.repartition("uid").sortWithinPartitions("uid").mapInArrow(work, GRAPH)
 
 
-def descend(graph: DataFrame, coded: DataFrame, step: int, members: int, sent: int) -> DataFrame:
+def descend(graph: DataFrame, coded: DataFrame, step: int, degree: int, members: int, sent: int) -> DataFrame:
     """One round: better neighbours that vectors learn from those they share a neighbour with."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,11 +133,11 @@ def descend(graph: DataFrame, coded: DataFrame, step: int, members: int, sent: i
             uid, worst = run["uid"].to_numpy(), run["worst"].to_numpy()
             code = np.frombuffer(b"".join(run["code"].to_pylist()), np.int8).reshape(len(uid), -1).astype(np.float32)
             scale = run["scale"].to_numpy()
-            near = (code @ code.T) * scale[:, None] * scale[None, :]
+            near = (code @ code.T).astype(np.float64) * scale[:, None] * scale[None, :]
             np.fill_diagonal(near, -np.inf)
             if len(uid) > sent:
                 cut = np.partition(near, len(uid) - sent, axis=1)[:, len(uid) - sent]
-                worst = np.maximum(worst, np.nextafter(cut, np.float32(-np.inf)))
+                worst = np.maximum(worst, np.nextafter(cut, -np.inf))
             good = near > worst[:, None]
             for row in np.flatnonzero(good.any(axis=1)):
                 uids.append(uid[row]), ids.append(uid[good[row]]), scores.append(near[row, good[row]])
@@ -154,7 +154,7 @@ def descend(graph: DataFrame, coded: DataFrame, step: int, members: int, sent: i
     ahead, back = drawn.select(F.col("uid").alias("middle"), F.col("other").alias("uid")), drawn.select(F.col("other").alias("middle"), "uid")
     own = graph.select(F.col("uid").alias("middle"), "uid")
     pairs = cut_lineage(ahead.union(back).union(own).distinct())
-    worst = graph.select("uid", F.when(F.size("ids") >= DEGREE, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
+    worst = graph.select("uid", F.when(F.size("ids") >= degree, F.array_min("scores")).otherwise(F.lit(float("-inf"))).alias("worst"))
     full = pairs.join(coded.join(worst, "uid"), "uid")
     return full.repartition("middle").sortWithinPartitions("middle", "uid").mapInArrow(work, GRAPH)
 
@@ -168,13 +168,13 @@ def neighbour_graph(points: DataFrame, degree: int = DEGREE, members: int = MEMB
                 rows, scale = codes(matrix(batch.column("vec")).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(scale)], ["uid", "code", "scale"])
 
-    coded = cut_lineage(points.mapInArrow(code, "uid long, code binary, scale float"))
+    coded = cut_lineage(points.mapInArrow(code, "uid long, code binary, scale double"))
     start = sorted_blocks(points, 0, BLOCK, degree)
     for seed in range(1, SORTINGS):
         start = start.union(sorted_blocks(points, seed, BLOCK, degree))
     graph = cut_lineage(merged(start, degree))
     for step in range(rounds):
-        graph = cut_lineage(merged(graph.union(descend(graph, coded, step, members, sent)), degree))
+        graph = cut_lineage(merged(graph.union(descend(graph, coded, step, degree, members, sent)), degree))
     return graph
 
 

@@ -21,8 +21,9 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from attestry.llm.common import mix64, slices, table, unit
+from attestry.llm.common import extended, mix64, slices, table, unit
 from attestry.operators.keyed import cut_lineage
 
 BITS = 18
@@ -103,7 +104,7 @@ class QualityModel:
         return cls(weights, float(last.iloc[0]) if len(last) else 0.0)
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Adds ``score``, the probability of label 1; only the text is looked at."""
+        """Adds ``score``, the probability of label 1, in place of a column of this name; only the text is looked at."""
         index = np.flatnonzero(self.weights)
         sent = self.weights[index]  # most weights are 0
 
@@ -117,8 +118,8 @@ class QualityModel:
                     scores.append(1.0 / (1.0 + np.exp(-np.clip(weights[i] @ x + self.intercept, -35.0, 35.0))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(work, f"{kinds}, score double")
+        docs = docs.drop("score")
+        return docs.mapInArrow(work, extended(docs, score=T.DoubleType()))
 
 
 def sample_labels(labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS) -> DataFrame:

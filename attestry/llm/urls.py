@@ -117,8 +117,9 @@ class UrlModel:
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "url") -> DataFrame:
-    """Adds ``host, path, rule, verdict, score`` to ``pages``; ``score`` is null where a rule decides."""
-    parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), F.col(url).cast("string").alias("_url"))
+    """Adds ``host, path, rule, verdict, score`` to ``pages``, in place of columns of these names; ``score`` is null where a rule decides."""
+    kept = pages.drop("host", "path", "rule", "verdict", "score").columns
+    parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(url).cast("string").alias("_url"))
     parsed = parsed.withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))}).withColumn("_rule", rule_for(F.col("_host"), F.col("_path"), rules))
     decided, rest = parsed.filter(F.col("_rule").isNotNull()), parsed.filter(F.col("_rule").isNull())
     labelled = decided.select("_url", "_host", "_path", (F.col("_rule.verdict") == "block").cast("int").alias("_label"))
