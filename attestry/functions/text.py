@@ -28,21 +28,18 @@ def content_hash(col: Column | str) -> Column:
     return sha256_text(normalize_eol(col))
 
 
-_CONTROL = r"(?<=(?<!\\)(?:\\\\){0,64})(?=\\u00[01][0-9A-F])"
-
-
 def json_string(col: Column | str) -> Column:
     """A JSON string literal; control escapes in lower-case hex."""
     raw = F.to_json(F.struct(_c(col).alias("v")))
     plain = F.substring(raw, F.lit(6), F.length(raw) - 6)
-    # the writer gives upper-case hex: lower the six characters of each escape
-    parts = F.transform(
-        F.split(plain, _CONTROL),
-        lambda p: F.when(
-            p.startswith("\\u00"), F.concat(F.lower(F.substring(p, 1, 6)), F.substring(p, F.lit(7), F.length(p)))
-        ).otherwise(p),
-    )
-    return F.when(plain.contains("\\u00"), F.array_join(parts, "")).otherwise(plain)
+    # the writer gives upper-case hex; escaped backslashes are put aside first, so that what is left of \u00 is an escape
+    mark = "\ue000"
+    aside = F.replace(F.replace(plain, F.lit(mark), F.lit(mark + "0")), F.lit("\\\\"), F.lit(mark + "1"))
+    for high in "01":
+        for low in "ABCDEF":
+            aside = F.replace(aside, F.lit(f"\\u00{high}{low}"), F.lit(f"\\u00{high}{low.lower()}"))
+    back = F.replace(F.replace(aside, F.lit(mark + "1"), F.lit("\\\\")), F.lit(mark + "0"), F.lit(mark))
+    return F.when(plain.contains("\\u00"), back).otherwise(plain)
 
 
 def json_object(**fields: Column) -> Column:

@@ -10,16 +10,18 @@ from attestry.functions.text import json_object, json_string, sha256_text
 from attestry.operators.keyed import salted_join, set_digest
 
 PAIR = ["graph_id", "rule_id", "unit_key"]
+#: Stands for an unreadable file among the lines of a node; no line of a path is empty.
+VOID = ""
 EMPTY_SET_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 def source_fingerprint(node_files: DataFrame) -> DataFrame:
-    """Digest per node over sorted ``path:hash`` lines; a null hash (unreadable) voids the node."""
-    lines = set_digest(node_files, ["graph_id", "node_path"], F.concat("path", F.lit(":"), F.coalesce("hash", F.lit(""))), "_fp")
-    void = node_files.groupBy("graph_id", "node_path").agg(F.bool_or(F.col("hash").isNull()).alias("_void"))
-    return lines.join(void, ["graph_id", "node_path"]).select(
-        "graph_id", "node_path", F.when(~F.col("_void"), F.col("_fp")).alias("fingerprint")
-    )
+    """Digest per node over its ``path:hash`` lines; a null hash (unreadable) voids the node."""
+    line = F.concat("path", F.lit(":"), F.coalesce("hash", F.lit("")))
+    # the void flag rides along as a line of its own kind, so that the input is read once
+    rows = node_files.select("graph_id", "node_path", F.when(F.col("hash").isNotNull(), line).alias("_line"))
+    whole = set_digest(rows.select("graph_id", "node_path", F.coalesce("_line", F.lit(VOID)).alias("_line")), ["graph_id", "node_path"], F.col("_line"), "_fp", mark=VOID)
+    return whole.select("graph_id", "node_path", F.when(~F.col("_marked"), F.col("_fp")).alias("fingerprint"))
 
 
 def node_set_hash(groups: DataFrame, keys: list[str], member: str, name: str = "hash") -> DataFrame:
@@ -40,48 +42,14 @@ def directory_entries(files: DataFrame) -> DataFrame:
 def listing_hash(files: DataFrame) -> DataFrame:
     """Digest of each directory listing: sorted ``name:kind`` lines."""
     rows = directory_entries(files)
-    # the name alone orders the listing; U+0001 sorts below every character of a name
-    return set_digest_by(rows, ["graph_id", "dir"], F.col("name"), F.concat("name", F.lit(":"), "kind"), "hash")
-
-
-def set_digest_by(rows: DataFrame, keys: list[str], order: Column, line: Column, name: str) -> DataFrame:
-    """As set_digest for lines that must be ordered by ``order`` rather than by themselves.
-
-    The plain digest of groups within the block limit is over the lines in that order.
-    """
-    from attestry.operators.keyed import BLOCK_LINES
-
-    base = rows.select(*keys, order.alias("_o"), line.alias("_l"))
-    sizes = base.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > BLOCK_LINES).select(*keys)
-    small = base.join(large, keys, "left_anti")
-    plain = small.groupBy(*keys).agg(
-        sha256_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_l"))), lambda s: s["_l"]), "\n")).alias(name)
-    )
-    hot = set_digest(base.join(large, keys, "left_semi"), keys, F.col("_l"), name)
-    return plain.unionByName(hot)
+    return set_digest(rows, ["graph_id", "dir"], F.concat("name", F.lit(":"), "kind"), "hash")
 
 
 def subject_json(pair_files: DataFrame, name: str = "files_json") -> DataFrame:
-    """Per pair the JSON array ``[[path, hash], …]`` ordered by path.
-
-    Pairs with more than a block of subjects carry the array ``[["", digest]]`` of their block digest in its
-    place: such a unit is digested in blocks, see set_digest.
-    """
-    from attestry.operators.keyed import BLOCK_LINES
-
+    """Per pair the JSON string of the digest of its subjects, one ``[path, hash]`` line each."""
     item = F.concat(F.lit("["), json_string("path"), F.lit(","), json_string("hash"), F.lit("]"))
-    base = pair_files.select(*PAIR, "path", item.alias("_item"))
-    sizes = base.groupBy(*PAIR).agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > BLOCK_LINES).select(*PAIR)
-    small = base.join(large, PAIR, "left_anti").groupBy(*PAIR).agg(
-        F.array_sort(F.collect_list(F.struct("path", "_item"))).alias("_s")
-    )
-    listed = small.select(
-        *PAIR, F.concat(F.lit("["), F.array_join(F.transform("_s", lambda s: s["_item"]), ","), F.lit("]")).alias(name)
-    )
-    hot = set_digest(base.join(large, PAIR, "left_semi"), PAIR, F.col("_item"), "_d")
-    return listed.unionByName(hot.select(*PAIR, F.concat(F.lit('[["","'), "_d", F.lit('"]]')).alias(name)))
+    whole = set_digest(pair_files, PAIR, item, "_d")
+    return whole.select(*PAIR, F.concat(F.lit('"'), "_d", F.lit('"')).alias(name))
 
 
 def scope_json(per: Column, files: Column | None = None) -> Column:

@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 
 from attestry.functions.paths import glob_regex, is_glob, normalize_path, static_prefix
 
-DEFAULT_SALTS = 8
 SALTS_CONF = "attestry.skew.salts"
 
 
 def salts_of(df: DataFrame) -> int:
-    """How many ways a hot key is split; set ``attestry.skew.salts`` to the size of the cluster's skew."""
-    return int(df.sparkSession.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
+    """How many ways a hot key is split: ``attestry.skew.salts``, else the number of shuffle partitions up to 64."""
+    partitions = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")
+    return int(df.sparkSession.conf.get(SALTS_CONF, str(max(1, min(64, int(partitions))))))
 
 
 def salt_of(df: DataFrame, n: int) -> Column:
@@ -92,41 +92,20 @@ def entry_matches_file(files: DataFrame, entries: DataFrame, path: str = "path",
     return found.filter(F.col("_regex").isNull() | F.expr(f"`{path}` rlike `_regex`")).drop("_key", "_regex")
 
 
-BLOCK_LINES = 100_000
-BLOCKS = 4096
+def set_digest(rows: DataFrame, keys: list[str], line: Column, name: str = "digest", mark: str | None = None) -> DataFrame:
+    """Order-free digest of the lines of each group, with one definition at every size.
 
-
-def set_digest(
-    rows: DataFrame, keys: list[str], line: Column, name: str = "digest", block_lines: int = BLOCK_LINES
-) -> DataFrame:
-    """sha256 of the sorted lines of each group, joined by newlines.
-
-    A group of more than ``block_lines`` lines is split into blocks by a hash of the line; its digest is that
-    of the sorted block digests, so no task ever holds a whole hot group. Groups at or below the limit have
-    the plain digest.
+    Lines fall into blocks by the first three hex digits of their sha256. A block's digest is that of its sorted
+    lines joined by newlines; the group's is that of its ``block:digest`` lines, sorted and joined by newlines. A
+    task holds one block of a group, not the group. With ``mark``, ``_marked`` says whether that line is in the group.
     """
     lines = rows.select(*keys, line.alias("_line"))
-    sizes = lines.groupBy(*keys).agg(F.count("*").alias("_n"))
-    # at most 1/block_lines of the rows are groups of this size
-    large = sizes.filter(F.col("_n") > block_lines).select(*keys, F.lit(True).alias("_large"))
-    split = lines.join(large, keys, "left").withColumn("_large", F.coalesce("_large", F.lit(False)))
-    block = F.when(F.col("_large"), F.pmod(F.xxhash64("_line"), F.lit(BLOCKS))).otherwise(F.lit(0))
-    per_block = (
-        split.withColumn("_block", block)
-        .groupBy(*keys, "_large", "_block")
-        .agg(F.sha2(F.encode(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), "UTF-8"), 256).alias("_d"))
-    )
-    merged = F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("_block").cast("string"), 4, "0"), "_d")))
-    return (
-        per_block.groupBy(*keys)
-        .agg(merged.alias("_parts"), F.max("_d").alias("_one"), F.max("_large").alias("_large"))
-        .select(
-            *keys,
-            F.when(F.col("_large"), F.sha2(F.encode(F.concat(F.lit("blocks\n"), F.array_join("_parts", "\n")), "UTF-8"), 256))
-            .otherwise(F.col("_one"))
-            .alias(name),
-        )
-    )
+    block = F.substring(F.sha2(F.encode("_line", "UTF-8"), 256), 1, 3)
+    joined = lambda c: F.sha2(F.encode(F.array_join(F.array_sort(F.collect_list(c)), "\n"), "UTF-8"), 256)
+    has = [] if mark is None else [F.bool_or(F.col("_line") == mark).alias("_marked")]
+    per_block = lines.groupBy(*keys, block.alias("_block")).agg(joined("_line").alias("_d"), *has)
+    any_ = [] if mark is None else [F.bool_or("_marked").alias("_marked")]
+    return per_block.groupBy(*keys).agg(joined(F.concat_ws(":", "_block", "_d")).alias(name), *any_)
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:

@@ -38,17 +38,32 @@ PAIR_FILES = (
        WHERE e.status <> 'draft' AND (r.scope_files IS NULL OR d.lang = 'en' OR regexp_matches(d.content, '[0-9]{4}'))""",
 )
 BASE_PAIRS = (CLEAN, MATCH, NODE_FILES, DEFF, PAIR_FILES)
+# the digest of a set of lines, as ``keyed.set_digest`` defines it
+
+
+def digest_sql(keys: str, lines: str, name: str) -> str:
+    return (
+        f"SELECT {keys}, sha256(string_agg(concat(block, ':', d), chr(10) ORDER BY concat(block, ':', d))) AS {name} FROM ("
+        f"SELECT {keys}, left(sha256(line), 3) AS block, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM ({lines}) GROUP BY {keys}, left(sha256(line), 3)) GROUP BY {keys}"
+    )
+
+
+SUBJECTS = (
+    "subjects",
+    digest_sql("rule_id, unit_key", """SELECT rule_id, unit_key, concat('["', path, '","', hash, '"]') AS line FROM pair_files""", "subjects_hash"),
+)
 HASHED = (
     "hashed",
     """SELECT rule_id, unit_key, node_path, kind, status, verdict, spoiled,
-         sha256(CASE WHEN kind = 'judged' THEN concat('{"aspect":"', rule_id, '","aspectDescription":"', description, '","files":[', files,
-                  '],"kind":"llm","node":"', node_path, '","references":[],"rule":"', sha256(body), '","scope":{"per":"', scope_per, '"},"tier":{"name":"', tier, '"},"verdict":"', verdict, '"}')
-                ELSE concat('{"aspect":"', rule_id, '","files":[', files, '],"kind":"deterministic","node":"', node_path, '","rule":"', sha256(body), '","scope":{',
+         sha256(CASE WHEN kind = 'judged' THEN concat('{"aspect":"', rule_id, '","aspectDescription":"', description, '","files":"', files,
+                  '","kind":"llm","node":"', node_path, '","references":[],"rule":"', sha256(body), '","scope":{"per":"', scope_per, '"},"tier":{"name":"', tier, '"},"verdict":"', verdict, '"}')
+                ELSE concat('{"aspect":"', rule_id, '","files":"', files, '","kind":"deterministic","node":"', node_path, '","rule":"', sha256(body), '","scope":{',
                   CASE WHEN scope_files IS NULL THEN '' ELSE concat('"files":', scope_files, ',') END, '"per":"', scope_per, '"},"touched":[],"verdict":"', verdict, '"}') END) AS hash_now
-       FROM (SELECT p.rule_id, p.unit_key, p.node_path, p.kind, min(p.status) AS status, string_agg(concat('["', p.path, '","', p.hash, '"]'), ',' ORDER BY p.path) AS files,
+       FROM (SELECT p.rule_id, p.unit_key, p.node_path, p.kind, min(p.status) AS status, any_value(s.subjects_hash) AS files,
                     any_value(r.description) AS description, any_value(r.body) AS body, any_value(r.scope_per) AS scope_per, any_value(r.scope_files) AS scope_files,
-                    any_value(r.tier) AS tier, CASE WHEN max(l.quality) = 1 THEN 'approved' ELSE 'refused' END AS verdict, max(p.doc_id) % 3 = 0 AS spoiled
-             FROM pair_files p JOIN drules r ON r.rule_id = p.rule_id JOIN labels l ON l.doc_id = p.doc_id GROUP BY ALL)""",
+                    any_value(r.tier) AS tier, CASE WHEN max(l.quality) = 1 THEN 'approved' ELSE 'refused' END AS verdict, max(l.doc_id) % 3 = 0 AS spoiled
+             FROM pair_files p JOIN drules r ON r.rule_id = p.rule_id JOIN subjects s ON s.rule_id = p.rule_id AND s.unit_key = p.unit_key
+             LEFT JOIN labels l ON l.doc_id = p.doc_id GROUP BY p.rule_id, p.unit_key, p.node_path, p.kind HAVING count(l.doc_id) > 0)""",
 )
 
 
@@ -80,25 +95,25 @@ def pair_files(i: Inputs) -> DataFrame:
 
 
 def labelled(i: Inputs) -> DataFrame:
-    """Subjects of pairs whose files are all that is labelled, and the verdict token of each pair."""
+    """Subjects of pairs that are labelled."""
     docs = i.files.select("graph_id", "path", "doc_id", "hash").join(i.base("labels"), "doc_id")
     return pair_files(i).join(docs, ["graph_id", "path"])
 
 
-def verdicts_of(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    """Pairs over labelled files with their stored verdicts; those of every third file are spoiled."""
+def verdicts_of(i: Inputs) -> DataFrame:
+    """Stored verdicts: a pair with labelled subjects has one, over all its subjects; every third one is spoiled."""
 
     def make() -> DataFrame:
-        rows = labelled(i)
-        tokens = rows.groupBy(*PAIR).agg(
+        tokens = labelled(i).groupBy(*PAIR).agg(
             F.when(F.max("quality") == 1, "approved").otherwise("refused").alias("verdict"), (F.max("doc_id") % 3 == 0).alias("spoiled")
         )
-        hashes = dig.pair_input_hash(prs.pairs_of(rows), rows, doc_rules(i), tokens)
+        subjects = pair_files(i).join(i.files.select("graph_id", "path", "hash"), ["graph_id", "path"])
+        hashes = dig.pair_input_hash(prs.pairs_of(pair_files(i)), subjects, doc_rules(i), tokens)
         return tokens.join(hashes, PAIR).select(
             *PAIR, "verdict", "hash_now", F.when(F.col("spoiled"), F.reverse("hash_now")).otherwise(F.col("hash_now")).alias("hash")
         )
 
-    return labelled(i), i._stage("stored_verdicts", make)
+    return i._stage("stored_verdicts", make)
 
 
 @query("SELECT rule_id, unit_key, kind, status, node_path, path FROM pair_files", *BASE_PAIRS)
@@ -119,8 +134,7 @@ def canonical_json(i: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT node_path, sha256(string_agg(concat(f.path, ':', d.hash), chr(10) ORDER BY concat(f.path, ':', d.hash))) AS fingerprint
-       FROM node_files f JOIN files d ON d.path = f.path GROUP BY node_path""",
+    digest_sql("node_path", "SELECT node_path, concat(f.path, ':', d.hash) AS line FROM node_files f JOIN files d ON d.path = f.path", "fingerprint"),
     CLEAN, MATCH, NODE_FILES,
 )
 def source_fingerprint(i: Inputs) -> DataFrame:
@@ -133,8 +147,8 @@ def _fingerprints(i: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT n.node_path, sha256(coalesce(string_agg(c.node_path, chr(10) ORDER BY c.node_path), '')) AS hash
-       FROM nodes n LEFT JOIN nodes c ON c.parent_path = n.node_path GROUP BY n.node_path"""
+    f"""SELECT n.node_path, coalesce(d.hash, sha256('')) AS hash
+       FROM nodes n LEFT JOIN ({digest_sql("parent_path", "SELECT parent_path, node_path AS line FROM nodes WHERE parent_path IS NOT NULL", "hash")}) d ON d.parent_path = n.node_path"""
 )
 def node_set_hash(i: Inputs) -> DataFrame:
     kids = i.nodes.select("graph_id", F.col("parent_path").alias("node_path"), F.col("node_path").alias("child"))
@@ -143,32 +157,35 @@ def node_set_hash(i: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT dir, sha256(string_agg(concat(name, ':', kind), chr(10) ORDER BY name)) AS hash FROM (
+    digest_sql(
+        "dir",
+        """SELECT dir, concat(name, ':', kind) AS line FROM (
          SELECT concat(source, '/', lang) AS dir, concat(doc_id, '.txt') AS name, 'file' AS kind FROM documents
-         UNION SELECT source, lang, 'dir' FROM documents UNION SELECT '', source, 'dir' FROM documents) GROUP BY dir"""
+         UNION SELECT source, lang, 'dir' FROM documents UNION SELECT '', source, 'dir' FROM documents)""",
+        "hash",
+    )
 )
 def listing_hash(i: Inputs) -> DataFrame:
     return dig.listing_hash(i.paths).drop("graph_id")
 
 
-@query("SELECT rule_id, unit_key, verdict, hash_now FROM hashed", *BASE_PAIRS, HASHED)
+@query("SELECT rule_id, unit_key, verdict, hash_now FROM hashed", *BASE_PAIRS, SUBJECTS, HASHED)
 def pair_input_hash(i: Inputs) -> DataFrame:
-    return verdicts_of(i)[1].select("rule_id", "unit_key", "verdict", "hash_now")
+    return verdicts_of(i).select("rule_id", "unit_key", "verdict", "hash_now")
 
 
 STATE = (
     "states",
-    """SELECT p.rule_id, p.unit_key, p.kind, p.node_path, p.status, h.verdict, CASE WHEN h.hash_now IS NULL OR h.spoiled OR p.n <> h.n THEN 'unverified'
+    """SELECT p.rule_id, p.unit_key, p.kind, p.node_path, p.status, h.verdict, CASE WHEN h.hash_now IS NULL OR h.spoiled THEN 'unverified'
               WHEN h.verdict = 'refused' THEN 'refused' ELSE 'verified' END AS state
-       FROM (SELECT rule_id, unit_key, kind, node_path, min(status) AS status, count(*) AS n FROM pair_files GROUP BY ALL) p
-       LEFT JOIN (SELECT h.*, (SELECT count(*) FROM pair_files q JOIN labels l ON l.doc_id = q.doc_id WHERE q.rule_id = h.rule_id AND q.unit_key = h.unit_key) AS n FROM hashed h) h
-         ON h.rule_id = p.rule_id AND h.unit_key = p.unit_key""",
+       FROM (SELECT rule_id, unit_key, kind, node_path, min(status) AS status FROM pair_files GROUP BY ALL) p
+       LEFT JOIN hashed h ON h.rule_id = p.rule_id AND h.unit_key = p.unit_key""",
 )
-STATES = (*BASE_PAIRS, HASHED, STATE)
+STATES = (*BASE_PAIRS, SUBJECTS, HASHED, STATE)
 
 
 def _states(i: Inputs) -> DataFrame:
-    stored = verdicts_of(i)[1].select(*PAIR, "verdict", "hash")
+    stored = verdicts_of(i).select(*PAIR, "verdict", "hash")
     subjects = pair_files(i).join(i.files.select("graph_id", "path", "hash"), ["graph_id", "path"])
     pairs = prs.pairs_of(pair_files(i))
     now = dig.pair_input_hash(pairs, subjects, doc_rules(i), stored)
@@ -235,7 +252,7 @@ def refill_order(i: Inputs) -> DataFrame:
     *STATES,
 )
 def review_cost(i: Inputs) -> DataFrame:
-    return prs.review_cost(states(i), i.drules, i.tiers, verdicts_of(i)[1], ["graph_id", "node_path"]).drop("graph_id")
+    return prs.review_cost(states(i), i.drules, i.tiers, verdicts_of(i), ["graph_id", "node_path"]).drop("graph_id")
 
 
 @query(
@@ -347,20 +364,20 @@ def build_review_text(i: Inputs) -> DataFrame:
     """SELECT rule_id, unit_key, version, verdict FROM (
          SELECT rule_id, unit_key, verdict, 0 AS version FROM hashed WHERE (rule_id, unit_key) NOT IN (SELECT (rule_id, unit_key) FROM hashed WHERE spoiled)
          UNION ALL SELECT rule_id, unit_key, 'approved', 1 FROM hashed WHERE spoiled)""",
-    *BASE_PAIRS, HASHED,
+    *BASE_PAIRS, SUBJECTS, HASHED,
 )
 def upsert_verdicts(i: Inputs) -> DataFrame:
-    old = verdicts_of(i)[1].withColumn("version", F.lit(0))
+    old = verdicts_of(i).withColumn("version", F.lit(0))
     new = old.filter("hash <> hash_now").withColumn("verdict", F.lit("approved")).withColumn("version", F.lit(1))
     return prs.upsert_verdicts(old, new).select("rule_id", "unit_key", "version", "verdict")
 
 
 @query(
     """SELECT rule_id, unit_key FROM hashed WHERE status = 'enforced' OR regexp_matches(node_path, '^n/src5(/|$)')""",
-    *BASE_PAIRS, HASHED,
+    *BASE_PAIRS, SUBJECTS, HASHED,
 )
 def prune_verdicts(i: Inputs) -> DataFrame:
-    stored = verdicts_of(i)[1].select(*PAIR, "verdict")
+    stored = verdicts_of(i).select(*PAIR, "verdict")
     keep = pair_files(i).filter("status = 'enforced'")
     shut = i.dnodes.filter("node_path RLIKE '^n/src5(/|$)'")
     # units of files in french belong to the glob node as well; its longest entry decides
@@ -444,14 +461,14 @@ def visible_nodes(i: Inputs) -> DataFrame:
        JOIN (SELECT f.path FROM files f JOIN labels l ON l.doc_id = f.doc_id WHERE toxic = 1) f ON f.path = e.entry OR starts_with(f.path, concat(e.entry, '/'))
        WHERE NOT EXISTS (SELECT 1 FROM pair_files q WHERE q.rule_id = p.rule_id AND q.unit_key = p.unit_key AND q.path = f.path)
          AND NOT EXISTS (SELECT 1 FROM pair_files q WHERE q.rule_id = p.rule_id AND q.unit_key = p.unit_key AND q.status = 'enforced' AND regexp_replace(q.path, '/[^/]*$', '') = regexp_replace(f.path, '/[^/]*$', ''))""",
-    *BASE_PAIRS, HASHED, READ,
+    *BASE_PAIRS, SUBJECTS, HASHED, READ,
 )
 def invalidated_pairs(i: Inputs) -> DataFrame:
     docs = i.files.join(i.base("labels"), "doc_id").filter("toxic = 1")
     rows = pair_files(i)
     refs = rows.filter("kind = 'judged'").select("graph_id", "rule_id").distinct().join(docs.filter("lang = 'de'").select("graph_id", "path"), "graph_id")
     touched = rows.filter("status = 'enforced'").select(*PAIR, F.concat(F.lit("list:"), F.regexp_replace("path", "/[^/]*$", "")).alias("key")).distinct()
-    return prs.invalidated_pairs(docs.select("graph_id", "path"), rows, refs, verdicts_of(i)[1], touched, _scope(i)[0]).drop("graph_id")
+    return prs.invalidated_pairs(docs.select("graph_id", "path"), rows, refs, verdicts_of(i), touched, _scope(i)[0]).drop("graph_id")
 
 
 @query(
@@ -591,10 +608,10 @@ def determinism_check(i: Inputs) -> DataFrame:
 
 @query(
     """SELECT rule_id, unit_key, concat('"', rule_id, '" "', unit_key, '": {"hash":"', hash_now, '","verdict":"', verdict, '"}') AS line FROM hashed WHERE NOT spoiled""",
-    *BASE_PAIRS, HASHED,
+    *BASE_PAIRS, SUBJECTS, HASHED,
 )
 def export_verdict_lines(i: Inputs) -> DataFrame:
-    rows = verdicts_of(i)[1].filter("hash = hash_now").select(
+    rows = verdicts_of(i).filter("hash = hash_now").select(
         *PAIR, "hash", "verdict", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("array<struct<key:string,hash:string>>").alias("touched")
     )
     return store.export_verdict_lines(rows).drop("graph_id")

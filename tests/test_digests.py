@@ -7,7 +7,7 @@ from attestry.operators import digests as dig
 from attestry.operators import pairs as prs
 
 # Fixed value: digest of the judged pair below.
-JUDGED = "64a81a3e9fea4a63641e5fbff61fca30e69dc4a39bddf66488eade37556734da"
+JUDGED = "fd7fe9e450d66fcdbcf20425d9634bde5325f499e0d5988703986badee73e36d"
 
 
 def test_judged_pair_digest(spark):
@@ -27,7 +27,7 @@ def test_judged_pair_digest(spark):
 
 
 # Fixed value: digest of the listing below.
-LISTING = "f70f5dc6b123438093400e0efeae96b21af6650a11da03123f46f35fcbbc37f0"
+LISTING = "21a84d3ba22ba63c103456cfa2e8bb9b36ded4f7eebdce02974f9bc702d76b6d"
 
 
 def test_listing_digest(spark):
@@ -36,7 +36,7 @@ def test_listing_digest(spark):
 
 
 def test_json_string_agrees_with_json(spark):
-    texts = ['a"b\\c', "tab\tnl\n", "\x1f\x0b!", "\\\x1f", "\\u001F", "\\\\\x1e\x1f", "é😀/", ""]
+    texts = ['a"b\\c', "tab\tnl\n", "\x1f\x0b!", "\\\x1f", "\\u001F", "\\\\\x1e\x1f", "é😀/", "", "\\" * 70 + "\x1f", "\\" * 71 + "u001F\x1e", "\x7f\u2028"]
     got = [r.j for r in spark.createDataFrame([(t,) for t in texts], "t string").select(json_string("t").alias("j")).collect()]
     assert got == [json.dumps(t, ensure_ascii=False) for t in texts]
 

@@ -41,16 +41,21 @@ def test_paths(spark):
     assert row.n == "a/b" and row.p == ["a", "a/b", "a/b/c"]
 
 
-def test_set_digest_is_plain_below_the_limit_and_order_free_above(spark):
-    lines = [f"l{i}" for i in range(50)]
-    random.Random(1).shuffle(lines)
-    rows = spark.createDataFrame([("g", "small", x) for x in lines[:5]] + [("g", "big", x) for x in lines], "graph_id string, k string, l string")
-    out = {r.k: r.d for r in set_digest(rows, ["graph_id", "k"], F.col("l"), "d", block_lines=10).collect()}
-    assert out["small"] == hashlib.sha256("\n".join(sorted(lines[:5])).encode()).hexdigest()
-    again = set_digest(rows.repartition(7), ["graph_id", "k"], F.col("l"), "d", block_lines=10)
-    assert {r.k: r.d for r in again.collect()} == out
-    changed = rows.withColumn("l", F.when(F.col("l") == "l7", "x").otherwise(F.col("l")))
-    assert {r.k: r.d for r in set_digest(changed, ["graph_id", "k"], F.col("l"), "d", block_lines=10).collect()}["big"] != out["big"]
+def block_digest(lines):
+    """The definition of a set digest, written out."""
+    blocks = {}
+    for line in sorted(lines):
+        blocks.setdefault(hashlib.sha256(line.encode()).hexdigest()[:3], []).append(line)
+    parts = sorted(f"{b}:{hashlib.sha256(chr(10).join(ls).encode()).hexdigest()}" for b, ls in blocks.items())
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
+def test_set_digest_has_one_definition_at_every_size(spark):
+    for n in (1, 50, 99_999, 150_000):
+        rows = spark.range(n).select(F.lit("g").alias("graph_id"), F.concat(F.lit("l"), "id").alias("l"))
+        want = block_digest([f"l{i}" for i in range(n)])
+        assert set_digest(rows, ["graph_id"], F.col("l"), "d").first()["d"] == want
+        assert set_digest(rows.repartition(5), ["graph_id"], F.col("l"), "d", mark="l3").first().asDict() == {"graph_id": "g", "d": want, "_marked": n > 3}
 
 
 def test_top_n_over_a_hot_group(spark):
