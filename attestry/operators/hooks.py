@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry.operators.digests import PAIR
-from attestry.operators.keyed import salted_join
+from attestry.operators.keyed import salted_join, set_digest
 from attestry.operators.waivers import drop_waived, file_lines
 
 FINDING = "graph_id string, rule_id string, unit_key string, file string, line long, message string"
@@ -170,104 +168,70 @@ def graph_lookups(
     return ctx.distinct(), observed.distinct()
 
 
-REASON_FINDINGS = 10_000
-
-
 def findings_to_verdicts(pairs: DataFrame, findings: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Verdict per pair: any finding refuses; the reason lists them as ``file:line: message``.
+    """Verdict per pair: any finding refuses; the reason is the number of its findings and the digest of their lines.
 
-    Failed units get no verdict. A unit with more findings than a reason can hold names their number and the
-    digest of the list; the findings table keeps them all.
+    A line is ``file:line: message``; the digest is that of the set of lines, at every size. The findings stay rows
+    of their own table (see ``finding_lines``). Failed units get no verdict.
     """
-    place = F.concat("file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("?")))
-    text = F.when(F.col("file").isNotNull(), F.concat(place, F.lit(": "), "message")).otherwise(F.col("message"))
-    rows = findings.select(*PAIR, "file", "line", text.alias("_t")).distinct()
-    sizes = rows.groupBy(*PAIR).agg(F.count("*").alias("_n"))
-    few = rows.join(sizes.filter(F.col("_n") > REASON_FINDINGS), PAIR, "left_anti")
-    listed = few.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("file", "line", "_t"))).alias("_l"))
-    reason = listed.select(*PAIR, F.array_join(F.transform("_l", lambda s: s["_t"]), "\n").alias("reason"))
-    many = sizes.filter(F.col("_n") > REASON_FINDINGS).select(*PAIR, F.concat(F.col("_n"), F.lit(" findings")).alias("reason"))
-    out = pairs.select(*PAIR).join(reason.unionByName(many), PAIR, "left")
+    rows = finding_lines(findings)
+    counts = rows.groupBy(*PAIR).agg(F.count("*").alias("_n"))
+    reason = set_digest(rows, PAIR, F.col("text"), "_d").join(counts, PAIR)
+    reason = reason.select(*PAIR, F.concat(F.col("_n"), F.lit(" findings, sha256 "), "_d").alias("reason"))
+    out = pairs.select(*PAIR).join(reason, PAIR, "left")
     if failed is not None:
         out = out.join(failed.select(*PAIR).distinct(), PAIR, "left_anti")
     return out.select(*PAIR, F.when(F.col("reason").isNotNull(), "refused").otherwise("approved").alias("verdict"), "reason")
 
 
-# --- replies -------------------------------------------------------------------------------------------------
-
-
-REPLY = T.StructType([
-    T.StructField("satisfied", T.BooleanType()), T.StructField("reason", T.StringType()),
-    T.StructField("error_source", T.StringType()), T.StructField("how", T.StringType()),
-])
-CLEAN_REPLY = r'(?s)^\s*\{\s*"satisfied"\s*:\s*(true|false)\s*,\s*"reason"\s*:\s*"((?:[^"\\\x00-\x1f]|\\.)*)"\s*\}\s*$'
+def finding_lines(findings: DataFrame) -> DataFrame:
+    """Findings once each, with ``text``: ``file:line: message``, or the message alone where there is no file."""
+    place = F.concat("file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("?")))
+    text = F.when(F.col("file").isNotNull(), F.concat(place, F.lit(": "), "message")).otherwise(F.col("message"))
+    return findings.select(*PAIR, "file", "line", text.alias("text")).distinct()
 
 
-def _truth(value: object) -> bool | None:
-    if isinstance(value, bool):
-        return value
-    return {"true": True, "false": False}.get(value.strip().lower()) if isinstance(value, str) else None
+# --- replies -------------------------------------------------------------------------------------------------
 
 
-def _read_reply(text: str) -> tuple[bool, str, str, str]:
-    decode = json.JSONDecoder()
+FENCE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+FLAG = r'(?i)"satisfied"\s*:\s*"?(true|false)'
+LOOSE_REASON = r'(?s)"reason"\s*:\s*"(.*?)(?:"\s*,\s*"\w+"\s*:|"?\s*\}?\s*$)'
+OBJECT = "satisfied string, reason string"
 
-    def answer(obj: object, how: str) -> tuple[bool, str, str, str]:
-        fields = obj if isinstance(obj, dict) else {}
-        reason = fields.get("reason")
-        return bool(_truth(fields.get("satisfied"))), reason if isinstance(reason, str) else "", "codeViolation", how
 
-    fenced = re.search(r"```(?:json)?\s*\n?(.*?)\n?\s*```", text, re.S)
-    for body, how in ((text, "strict"), (fenced[1] if fenced else None, "fenced")):
-        try:
-            obj = json.loads(body.strip()) if body is not None else None
-        except ValueError:
-            continue
-        if obj is not None:
-            return answer(obj, how)
-    last = None
-    for m in re.finditer(r"\{", text):
-        try:
-            obj, _ = decode.raw_decode(text, m.start())
-        except ValueError:
-            continue
-        last = obj if _truth(obj.get("satisfied")) is not None else last
-    if last is not None:
-        return answer(last, "object")
-    flags = re.findall(r'"satisfied"\s*:\s*"?(true|false)"?', text, re.I)
-    if "{" in text and flags:
-        reason = ""
-        starts = list(re.finditer(r'"reason"\s*:\s*"', text))
-        if starts:
-            reason = re.split(r'"\s*,\s*"satisfied"\s*:', text[starts[-1].end():], flags=re.I)[0]
-            reason = re.sub(r'"\s*$', "", re.sub(r"\s*}\s*$", "", reason))
-            for code, char in (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\\\", "\\")):
-                reason = reason.replace(code, char)
-        note = reason.strip() or "(verdict salvaged; reviewer reason was not valid JSON)"
-        return flags[-1].lower() == "true", note, "codeViolation", "salvage"
-    return False, f"Unparseable reviewer response: {text[:160]}", "provider", "provider-error"
-
-
-@F.pandas_udf(REPLY)
-def read_reply(texts: pd.Series) -> pd.DataFrame:
-    """Replies that are not in clean form, read step by step."""
-    rows = [(None, None, None, None) if t is None else _read_reply(t.strip()) for t in texts]
-    return pd.DataFrame(rows, columns=["satisfied", "reason", "error_source", "how"])
+def _answer(text: Column) -> Column:
+    """The object that a text starts with, as a struct of verdict and reason; null unless it has a verdict."""
+    fields = F.from_json(text, OBJECT, {"allowSingleQuotes": "false"})
+    flag = F.lower(F.trim(fields["satisfied"]))
+    return F.when(flag.isin("true", "false"), F.struct((flag == "true").alias("satisfied"), F.coalesce(fields["reason"], F.lit("")).alias("reason")))
 
 
 def parse_judgements(replies: DataFrame, text: str = "text") -> DataFrame:
     """Read judge replies: adds ``satisfied``, ``reason``, ``error_source`` and ``how``.
 
-    Strict JSON, then fenced JSON, then the last object with a verdict, then a salvage by pattern; else a
-    provider error. Quoted booleans count; empty replies give no row. Replies in the asked form never leave
-    the JVM.
+    The first of these that holds a verdict counts: the whole reply as one object, an object in a fence, the last
+    object that starts anywhere, and the last flag that stands like a field, with what stands after ``"reason":``
+    as its reason. Quoted booleans count. A reply with none of them is an error of the provider, and the reason
+    is the whole reply. Empty replies give no row.
     """
     rows = replies.filter(F.col(text).isNotNull() & F.col(text).rlike(r"\S"))
-    tidy = F.col(text).rlike(CLEAN_REPLY)
-    fields = F.from_json(F.when(tidy, F.col(text)), "satisfied boolean, reason string")
-    easy = rows.filter(tidy).select(
-        *replies.columns, fields["satisfied"].alias("satisfied"), fields["reason"].alias("reason"),
-        F.lit("codeViolation").alias("error_source"), F.lit("strict").alias("how"),
+    body = F.trim(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""))
+    whole = F.when(body.startswith("{") & body.endswith("}"), _answer(body))
+    fenced = _answer(F.regexp_extract(body, FENCE, 1))
+    parts = F.split(body, r"\{")
+    starts = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts)))
+    found = F.filter(F.transform(starts, lambda k: _answer(F.concat(F.lit("{"), F.array_join(F.slice(parts, k, F.size(parts)), "{")))), lambda a: a.isNotNull())
+    last = F.try_element_at(found, F.lit(-1))
+    flag = F.try_element_at(F.regexp_extract_all(body, F.lit(FLAG), F.lit(1)), F.lit(-1))
+    loose = F.trim(F.regexp_extract(body, LOOSE_REASON, 1))
+    torn = F.when(
+        body.contains("{") & flag.isNotNull(),
+        F.struct((F.lower(flag) == "true").alias("satisfied"), F.when(loose != "", loose).otherwise("the verdict has no readable reason").alias("reason")),
     )
-    hard = rows.filter(~tidy).withColumn("_r", read_reply(F.col(text))).select(*replies.columns, "_r.*")
-    return easy.unionByName(hard)
+    nothing = F.struct(F.lit(False).alias("satisfied"), F.concat(F.lit("no verdict in the reply: "), F.col(text)).alias("reason"))
+    steps = [(whole, "strict"), (fenced, "fenced"), (last, "object"), (torn, "salvage")]
+    # a chain of conditions: a later step is worked out only for rows that no earlier one can read
+    given = F.coalesce(*[F.when(a.isNotNull(), F.struct(a["satisfied"].alias("satisfied"), a["reason"].alias("reason"), F.lit("codeViolation").alias("error_source"), F.lit(how).alias("how"))) for a, how in steps],
+                       F.struct(nothing["satisfied"].alias("satisfied"), nothing["reason"].alias("reason"), F.lit("provider").alias("error_source"), F.lit("provider-error").alias("how")))
+    return rows.withColumn("_r", given).select(*replies.columns, "_r.satisfied", "_r.reason", "_r.error_source", "_r.how")

@@ -16,11 +16,6 @@ from pyspark.sql import functions as F
 from attestry.functions.paths import extension, glob_regex, glob_to_regex
 from attestry.operators.keyed import cut_lineage, salted_join
 
-# Scan limits of content predicates.
-SCAN_BYTES = 5 * 1024 * 1024
-PROBE_BYTES = 8 * 1024
-REGEX_CHARS = 262_144
-
 # Extensions that are never text.
 BINARY_EXTENSIONS = [
     ".gif", ".png", ".jpg", ".jpeg", ".webp", ".bmp", ".ico", ".svgz",
@@ -50,18 +45,18 @@ LANGUAGES = {
 }
 
 
-def guard_content(files: DataFrame) -> DataFrame:
-    """Flags ``is_binary`` (a NUL in the first 8 KB) and ``too_large`` (over 5 MB)."""
-    head = F.substring(F.encode("content", "UTF-8"), 1, PROBE_BYTES)
+def guard_content(files: DataFrame, probe_bytes: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Flags ``is_binary`` (a NUL in the text, or in its first ``probe_bytes``) and ``too_large`` (over ``max_bytes``, if given)."""
+    raw = F.encode("content", "UTF-8")
+    head = raw if probe_bytes is None else F.substring(raw, 1, probe_bytes)
     return files.withColumn("is_binary", F.coalesce(F.contains(head, F.lit(b"\x00")), F.lit(False))).withColumn(
-        "too_large", F.octet_length("content") > SCAN_BYTES
+        "too_large", F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes
     )
 
 
 def _leaf_content(pattern: str) -> tuple[Column, Column]:
-    body = F.substring("content", 1, REGEX_CHARS)
     plain = ~F.col("is_binary")
-    hit = F.when(F.col("content").isNull() | F.col("is_binary") | F.col("too_large"), False).otherwise(body.rlike(pattern))
+    hit = F.when(F.col("content").isNull() | F.col("is_binary") | F.col("too_large"), False).otherwise(F.col("content").rlike(pattern))
     return hit, F.col("content").isNull() | (plain & F.col("too_large"))
 
 
@@ -317,7 +312,7 @@ def eval_path_predicates(demand: DataFrame, files: DataFrame) -> DataFrame:
     tested = patterns.join(guarded, ["graph_id", "path"], "left").select(
         "graph_id", "path", "regex",
         F.when(F.col("content").isNull() | F.col("is_binary") | F.col("too_large"), False)
-        .otherwise(F.expr(f"substring(content, 1, {REGEX_CHARS}) rlike regex")).alias("truth"),
+        .otherwise(F.expr("content rlike regex")).alias("truth"),
         (F.col("content").isNull() | (~F.col("is_binary") & F.col("too_large"))).alias("unreadable"),
     )
     on_content = asked.filter("kind = 'content'").join(tested, ["graph_id", "path", "regex"])

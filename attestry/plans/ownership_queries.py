@@ -155,12 +155,14 @@ def ignored_but_mapped(i: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CAST(lang = 'fr' AND strlen(text) < 8192 AS BOOLEAN) AS is_binary, strlen(text) + 1 > 5242880 AS too_large
+    """SELECT doc_id, lang = 'fr' AS is_binary, lang = 'fr' AND strlen(text) < 100 AS near_head, FALSE AS too_large, strlen(text) + 1 > 10000 AS over
        FROM documents"""
 )
 def guard_content(i: Inputs) -> DataFrame:
     text = F.concat("text", F.when(F.col("lang") == "fr", F.lit("\0")).otherwise(F.lit(" ")))
-    return pred.guard_content(i.base("documents").select("doc_id", text.alias("content"))).select("doc_id", "is_binary", "too_large")
+    rows = i.base("documents").select("doc_id", text.alias("content"))
+    bounded = pred.guard_content(rows, probe_bytes=100, max_bytes=10_000).select("doc_id", F.col("is_binary").alias("near_head"), F.col("too_large").alias("over"))
+    return pred.guard_content(rows).select("doc_id", "is_binary", "too_large").join(bounded, "doc_id")
 
 
 @query(

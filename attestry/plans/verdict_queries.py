@@ -335,10 +335,10 @@ def consensus(i: Inputs) -> DataFrame:
 
 BUDGET = (
     "budget",
-    """SELECT rule_id, unit_key, chars, max_chars AS "limit", chars > max_chars AS over FROM (
+    f"""SELECT rule_id, unit_key, chars, max_chars AS "limit", chars > max_chars AS over FROM (
          SELECT p.rule_id, p.unit_key, CAST(sum(length(e) + length(p.path)) + count(*) * length(concat('<file path="">', chr(10), chr(10), '</file>')) + (count(*) - 1) * 2
                 + length(p.rule_id) + any_value(length(r.description) + length(r.body)) + length(p.node_path) + any_value(length(n.description))
-                + any_value(CASE r.scope_per WHEN 'file' THEN 207 ELSE 0 END) + 100 AS BIGINT) AS chars, any_value(CAST(t.max_chars AS BIGINT)) AS max_chars
+                + any_value(CASE r.scope_per WHEN 'file' THEN {len(prs.PER_FILE_NOTE) + 2} ELSE 0 END) + 100 AS BIGINT) AS chars, any_value(CAST(t.max_chars AS BIGINT)) AS max_chars
          FROM (SELECT *, replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM pair_files WHERE kind = 'judged') p
          JOIN drules r ON r.rule_id = p.rule_id JOIN dnodes n ON n.node_path = p.node_path JOIN tiers t ON t.tier = r.tier GROUP BY p.rule_id, p.unit_key, p.node_path)""",
 )
@@ -350,14 +350,22 @@ def payload_budget(i: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT p.rule_id, p.unit_key, count(*) AS n FROM pair_files p JOIN budget b ON b.rule_id = p.rule_id AND b.unit_key = p.unit_key
-       WHERE kind = 'judged' AND NOT over GROUP BY ALL""",
+    f"""SELECT p.rule_id, p.unit_key, md5(concat('<task>', chr(10), 'Judge the files against the rule.',
+              CASE WHEN any_value(r.scope_per) = 'file' THEN concat(chr(10), '{prs.PER_FILE_NOTE}') ELSE '' END, chr(10), '</task>', chr(10), '<node path="', p.node_path,
+              '" description="', any_value(n.description), '" />', chr(10), '<rule id="', p.rule_id, '" description="', any_value(r.description), '">', chr(10), any_value(r.body), chr(10),
+              '</rule>', chr(10), '<source-files>', chr(10),
+              string_agg(concat('<file path="', p.path, '">', chr(10), replace(replace(replace(p.content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</file>'), concat(chr(10), chr(10)) ORDER BY p.path),
+              chr(10), '</source-files>')) AS text_md5, FALSE AS cut
+       FROM pair_files p JOIN drules r ON r.rule_id = p.rule_id JOIN dnodes n ON n.node_path = p.node_path WHERE p.kind = 'judged' GROUP BY p.rule_id, p.unit_key, p.node_path
+       UNION ALL SELECT rule_id, unit_key, '', TRUE FROM budget WHERE over""",
     *BASE_PAIRS, BUDGET,
 )
 def build_review_text(i: Inputs) -> DataFrame:
     budget = prs.payload_budget(pair_files(i), i.files, i.drules, i.dnodes, i.tiers, 100)
-    rows = prs.build_review_text(pair_files(i), i.files, i.drules, i.dnodes, "Judge the files against the rule.", budget)
-    return rows.select("rule_id", "unit_key", F.regexp_count("text", F.lit('<file path="')).cast("long").alias("n"))
+    whole = prs.build_review_text(pair_files(i), i.files, i.drules, i.dnodes, "Judge the files against the rule.")
+    within = prs.build_review_text(pair_files(i), i.files, i.drules, i.dnodes, "Judge the files against the rule.", budget)
+    cut = whole.join(within, PAIR, "left_anti").select("rule_id", "unit_key", F.lit("").alias("text_md5"), F.lit(True).alias("cut"))
+    return whole.select("rule_id", "unit_key", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(False).alias("cut")).unionByName(cut)
 
 
 @query(
@@ -542,9 +550,10 @@ def run_python_checks(i: Inputs) -> DataFrame:
 @query(
     """SELECT p.rule_id, p.unit_key, CASE WHEN f.reason IS NULL THEN 'approved' ELSE 'refused' END AS verdict, f.reason
        FROM (SELECT DISTINCT rule_id, unit_key FROM pair_files WHERE kind = 'computed') p
-       LEFT JOIN (SELECT rule_id, unit_key, string_agg(concat(file, ':', line, ': ', message), chr(10) ORDER BY file, line, message) AS reason FROM found GROUP BY ALL) f
+       LEFT JOIN (SELECT c.rule_id, c.unit_key, concat(n, ' findings, sha256 ', d) AS reason FROM found_digest s
+                  JOIN (SELECT rule_id, unit_key, count(DISTINCT concat(file, ':', line, ': ', message)) AS n FROM found GROUP BY ALL) c ON c.rule_id = s.rule_id AND c.unit_key = s.unit_key) f
          ON f.rule_id = p.rule_id AND f.unit_key = p.unit_key""",
-    *BASE_PAIRS, LINES, FOUND,
+    *BASE_PAIRS, LINES, FOUND, ("found_digest", digest_sql("rule_id, unit_key", "SELECT DISTINCT rule_id, unit_key, concat(file, ':', line, ': ', message) AS line FROM found", "d")),
 )
 def findings_to_verdicts(i: Inputs) -> DataFrame:
     pairs = prs.pairs_of(pair_files(i).filter("kind = 'computed'"))
@@ -570,7 +579,7 @@ def companion_failures(i: Inputs) -> DataFrame:
 @query(
     """SELECT c.conv_id, c.turn, c.conv_id % 2 = 0 AS satisfied,
               CASE c.conv_id % 5 WHEN 0 THEN 'strict' WHEN 1 THEN 'fenced' WHEN 2 THEN 'object' WHEN 3 THEN 'salvage' ELSE 'strict' END AS how,
-              'codeViolation' AS error_source FROM conversations c"""
+              'codeViolation' AS error_source, CASE WHEN c.conv_id % 5 = 3 THEN 'said "no" and left' ELSE c.text END AS reason FROM conversations c"""
 )
 def parse_judgements(i: Inputs) -> DataFrame:
     flag = F.when(F.col("conv_id") % 2 == 0, "true").otherwise("false")
@@ -583,7 +592,7 @@ def parse_judgements(i: Inputs) -> DataFrame:
         .when(shape == 3, torn).otherwise(F.concat(F.lit("  \n"), clean, F.lit("\n")))
     )
     rows = i.base("conversations").select("conv_id", "turn", reply.alias("text"))
-    return hooks.parse_judgements(rows).select("conv_id", "turn", "satisfied", "how", "error_source")
+    return hooks.parse_judgements(rows).select("conv_id", "turn", "satisfied", "how", "error_source", "reason")
 
 
 @query(

@@ -1,3 +1,5 @@
+import hashlib
+
 from attestry.operators import hooks
 
 KEY = "graph_id string, rule_id string, unit_key string"
@@ -31,4 +33,6 @@ def test_checks_that_fail_give_rows_not_errors(spark):
         assert [(r.rule_id, r.file, r.line) for r in found.collect()] == [("ok", "a", 2)]
         assert {r.rule_id: r.why for r in failed.collect()} == {"crash": "ValueError: boom", "foreign": "finding outside the unit: b"}
     verdicts = {r.rule_id: (r.verdict, r.reason) for r in hooks.findings_to_verdicts(pairs, found, failed).collect()}
-    assert verdicts == {"ok": ("refused", "a:2: two is wrong")}
+    block = hashlib.sha256(b"a:2: two is wrong").hexdigest()
+    whole = hashlib.sha256(f"{block[:3]}:{block}".encode()).hexdigest()
+    assert verdicts == {"ok": ("refused", f"1 findings, sha256 {whole}")}
