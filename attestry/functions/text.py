@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 MISSING = "missing"
 
@@ -71,24 +69,14 @@ def utf16_length(col: Column | str) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("long")
 
 
-@F.pandas_udf(StringType())
-def tail_text(texts: pd.Series, limits: pd.Series) -> pd.Series:
-    """Newest part of a text within a byte limit, cut at a ``## [`` entry, else at a line start."""
-
-    def cut(text: str | None, limit: int) -> str | None:
-        raw = None if text is None else text.encode("utf-8")
-        if raw is None or len(raw) <= limit:
-            return text
-        tail = raw[len(raw) - limit:]
-        at = tail.find(b"\n## [")
-        if at < 0:
-            at = tail.find(b"\n")
-        tail = tail if at < 0 else tail[at + 1:]
-        return tail.decode("utf-8", errors="replace")
-
-    return pd.Series([cut(t, n) for t, n in zip(texts, limits)])
-
-
 def tail_truncate(col: Column | str, max_bytes: int = 1 << 20) -> Column:
+    """Newest part of a text within a byte limit, cut at a ``## [`` entry, else at a line start.
+
+    Without either the tail begins wherever the limit falls; bytes of a character cut in two become U+FFFD.
+    """
     c = _c(col)
-    return F.when(F.octet_length(c) > max_bytes, tail_text(c, F.lit(max_bytes))).otherwise(c)
+    raw = F.encode(c, "UTF-8")
+    tail = F.substring(raw, F.octet_length(raw) - max_bytes + 1, F.lit(max_bytes)).cast("string")
+    entry, line = F.instr(tail, "\n## ["), F.instr(tail, "\n")
+    start = F.when(entry > 0, entry).otherwise(line) + 1
+    return F.when(F.octet_length(c) > max_bytes, F.make_valid_utf8(F.substring(tail, start, F.length(tail)))).otherwise(c)

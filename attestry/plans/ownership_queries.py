@@ -322,7 +322,14 @@ def unit_keys(i: Inputs) -> DataFrame:
     return i.web.select(unit_of_file("path").alias("unit_key")).select("unit_key", kind.alias("kind"), target.alias("target"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) <= 40000 THEN text END AS body FROM documents WHERE strlen(text) <= 40000")
+@query(
+    """SELECT doc_id, CASE WHEN strlen(text) <= 2000 THEN text WHEN t.body IS NOT NULL THEN t.body
+                ELSE concat(repeat(chr(65533), 2000 - strlen(right(text, c.k))), right(text, c.k)) END AS body
+       FROM documents d
+       LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM (
+                    SELECT doc_id, pos, line, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos DESC) AS back
+                    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE back <= 2000 GROUP BY doc_id) t USING (doc_id)
+       LEFT JOIN (SELECT doc_id, max(k) AS k FROM documents, range(1, 2001) r(k) WHERE strlen(text) > 2000 AND strlen(right(text, k)) <= 2000 GROUP BY doc_id) c USING (doc_id)"""
+)
 def tail_truncated(i: Inputs) -> DataFrame:
-    rows = i.base("documents").select("doc_id", F.octet_length("text").alias("n"), tail_truncate("text", 40_000).alias("body"))
-    return rows.filter("n <= 40000").select("doc_id", "body")
+    return i.base("documents").select("doc_id", tail_truncate("text", 2000).alias("body"))

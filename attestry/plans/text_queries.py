@@ -381,11 +381,37 @@ def global_imports(i: Inputs) -> DataFrame:
     return dep.global_imports(facts, uses).select("use_id", F.size("candidates").alias("candidates"))
 
 
-@query()
+_TERMS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> '')"
+SEARCH = (
+    ("fields", " UNION ALL ".join(
+        f"SELECT lang AS graph_id, concat(source, '/', lang, '/', doc_id, '.txt') AS doc, '{field}' AS field, {boost} AS boost, {_TERMS.format(column)} AS terms FROM documents"
+        for field, column, boost in (("name", "concat(source, '/', lang, '/', doc_id, '.txt')", 2.0), ("description", "lang", 3.0), ("body", "text", 1.0))
+    )),
+    ("post", "SELECT graph_id, doc, field, boost, any_value(len(terms)) AS len, term, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM fields) GROUP BY graph_id, doc, field, boost, term"),
+    ("average", "SELECT graph_id, field, avg(len(terms)) AS avg_len, count(*) AS n_docs FROM fields GROUP BY graph_id, field"),
+    ("vocab", "SELECT graph_id, term, field, boost, count(*) AS df FROM post GROUP BY ALL"),
+    ("asked", f"SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format('text')}) AS q FROM benchmark"),
+    # levenshtein counts bytes there: letters beyond ASCII, which these terms have in small form, become capitals
+    ("near", """SELECT q, term, max(CASE WHEN term = q THEN 1.0 ELSE greatest(CASE WHEN starts_with(term, q) THEN 0.375 * length(q) / length(term) ELSE 0 END,
+                  CASE WHEN abs(length(q) - length(term)) <= round(length(q) * 0.2) AND levenshtein(translate(q, 'äöüßàâçéèêëîïôùûñíóáú', 'ABCDEFGHIJKLMNOPQRSTU'), translate(term, 'äöüßàâçéèêëîïôùûñíóáú', 'ABCDEFGHIJKLMNOPQRSTU')) <= round(length(q) * 0.2)
+                       THEN 0.45 * length(term) / (length(term) + levenshtein(translate(q, 'äöüßàâçéèêëîïôùûñíóáú', 'ABCDEFGHIJKLMNOPQRSTU'), translate(term, 'äöüßàâçéèêëîïôùûñíóáú', 'ABCDEFGHIJKLMNOPQRSTU'))) ELSE 0 END) END) AS w
+                FROM (SELECT DISTINCT q FROM asked) JOIN (SELECT DISTINCT term FROM vocab) ON starts_with(term, q) OR abs(length(q) - length(term)) <= round(length(q) * 0.2) GROUP BY q, term"""),
+    ("weighted", """SELECT v.graph_id, n.q, n.term, v.field, a.avg_len, n.w * v.boost * ln(1 + (a.n_docs - v.df + 0.5) / (v.df + 0.5)) AS w
+                    FROM near n JOIN vocab v ON v.term = n.term JOIN average a ON a.graph_id = v.graph_id AND a.field = v.field WHERE n.w > 0"""),
+    ("per_word", """SELECT p.graph_id, w.q, p.doc, sum(w.w * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.len / greatest(w.avg_len, 1.0)))) AS s, min(p.term) AS shown
+                    FROM post p JOIN weighted w ON w.graph_id = p.graph_id AND w.term = p.term AND w.field = p.field GROUP BY ALL"""),
+    ("scored", """SELECT p.graph_id, a.query_id, p.doc, round(sum(p.s), 6) AS raw, array_to_string(list_sort(list_distinct(list(p.shown))), ' ') AS terms
+                  FROM per_word p JOIN asked a ON a.q = p.q GROUP BY ALL"""),
+    ("placed", "SELECT *, row_number() OVER (PARTITION BY graph_id, query_id ORDER BY raw DESC, doc) AS rank, max(raw) OVER (PARTITION BY graph_id, query_id) AS top FROM scored"),
+)
+
+
+@query("SELECT graph_id, query_id, doc, CAST(rank AS INT) AS rank, round(raw / top, 2) AS score, terms FROM placed WHERE rank <= 5", *SEARCH)
 def search(i: Inputs) -> DataFrame:
-    docs = i.files.select(F.col("path").alias("doc"), F.col("path").alias("name"), F.col("lang").alias("description"), F.col("content").alias("body"))
-    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return ranked_search(docs, i.base("benchmark").select(F.col("item_id").alias("query_id"), words.alias("query")))
+    docs = i.files.select(F.col("lang").alias("graph_id"), F.col("path").alias("doc"), F.col("path").alias("name"), F.col("lang").alias("description"), F.col("content").alias("body"))
+    graphs = i.base("documents").select(F.col("lang").alias("graph_id")).distinct()
+    asked = i.base("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return ranked_search(docs, graphs.crossJoin(asked))  # one row for each language and query
 
 
 @query(

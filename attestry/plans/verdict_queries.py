@@ -626,16 +626,9 @@ def export_verdict_lines(i: Inputs) -> DataFrame:
     return store.export_verdict_lines(rows).drop("graph_id")
 
 
-@query(
-    """SELECT lang AS graph_id, sha256(string_agg(text, '' ORDER BY doc_id)) AS hash FROM (
-         SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang UNION ALL SELECT lang, max(doc_id) FROM documents GROUP BY lang) k
-       JOIN documents d USING (lang, doc_id) GROUP BY lang"""
-)
+@query(digest_sql("graph_id", "SELECT lang AS graph_id, concat(doc_id, ':', sha256(text)) AS line FROM documents", "hash"))
 def store_content_hash(i: Inputs) -> DataFrame:
-    docs = i.base("documents")
-    ends = docs.groupBy("lang").agg(F.min_by("text", "doc_id").alias("a"), F.max_by("text", "doc_id").alias("b"))
-    both = ends.select(F.col("lang").alias("graph_id"), F.explode(F.array(F.struct(F.lit("1").alias("name"), F.col("a").alias("t")), F.struct(F.lit("2").alias("name"), F.col("b").alias("t")))).alias("f"))
-    return store.store_content_hash(both.select("graph_id", "f.name", F.encode("f.t", "UTF-8").alias("bytes")))
+    return store.store_content_hash(i.base("documents").select(F.col("lang").alias("graph_id"), F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("bytes")))
 
 
 @query(

@@ -12,21 +12,31 @@ from attestry.operators.keyed import salted_join
 VCS = [".git", ".hg", ".svn"]
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root/<graph_id>/`` as ``(graph_id, path, content, size)``; metadata folders are skipped."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://", 1)[-1].lstrip("/")
-    rel = F.regexp_replace(F.expr(f"substring(path, instr(path, '{base}') + {len(base) + 1})"), "^/+", "")
-    rows = raw.select(rel.alias("rel"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"))
+def scan_files(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
+    """Every file below ``root/<graph_id>/`` as ``(graph_id, path, content, size, is_text)``; metadata folders are skipped.
+
+    A file that is not UTF-8 has null content and ``is_text`` false. ``name`` keeps files of that name only, before
+    they are read.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    raw = (reader if name is None else reader.option("pathGlobFilter", name)).load(root)
+    # the root as the file system writes it, without its scheme: what stands before it is the same in every path
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/") + "/"
+    full = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    inside = F.when(full.startswith(base.replace(":///", ":/")) | full.startswith(base), full)
+    plain = base.split(":", 1)[1].lstrip("/")
+    rel = F.substring(F.regexp_replace(inside, "^[^:]*:/*", ""), F.lit(len(plain) + 1), F.length(inside))
+    rows = raw.select(rel.alias("rel"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("size"))
     rows = rows.select(
-        F.substring_index("rel", "/", 1).alias("graph_id"), F.regexp_replace("rel", r"^[^/]*/", "").alias("path"), "content", "size"
+        F.substring_index("rel", "/", 1).alias("graph_id"), F.regexp_replace("rel", r"^[^/]*/", "").alias("path"), "content", "size", F.col("content").isNotNull().alias("is_text")
     )
     return rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(v) for v in VCS])))
 
 
 def read_journals(spark: SparkSession, root: str, nodes: DataFrame, name: str = "log.md") -> DataFrame:
     """One text per node from ``root/<graph_id>/<node_path>/log.md``; a missing one is empty."""
-    files = scan_files(spark, root).filter(F.substring_index("path", "/", -1) == name)
+    files = scan_files(spark, root, name)
     texts = files.select("graph_id", parent_path("path").alias("node_path"), "content")
     return nodes.select("graph_id", "node_path").join(texts, ["graph_id", "node_path"], "left").withColumn("content", F.coalesce("content", F.lit("")))
 

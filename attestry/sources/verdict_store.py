@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.text import json_object, json_string
 from attestry.operators.digests import PAIR, touched_json
+from attestry.operators.keyed import set_digest
 
 VERDICT = (
     "graph_id string, kind string, rule_id string, unit_key string, verdict string, hash string, reason string, "
@@ -86,7 +87,7 @@ def _replace(spark: SparkSession, rows: DataFrame, path: str) -> bool:
         new = flat(rows)
         if old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty():
             return False
-        from attestry.operators.keyed import cut_lineage
+        from attestry.operators.keyed import set_digest, cut_lineage
 
         # the new rows may be computed from the files they replace
         rows = cut_lineage(rows)
@@ -107,9 +108,8 @@ def export_verdict_lines(verdicts: DataFrame) -> DataFrame:
 def store_content_hash(store_files: DataFrame) -> DataFrame:
     """One digest per graph over the committed store files ``(graph_id, name, bytes)``; nothing stored is ``""``.
 
-    There are two files per graph: judged and computed.
+    It is the digest of the set of ``name:sha256`` lines, so no task holds the files of a graph.
     """
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", F.hex("bytes").alias("h")))), lambda s: s["h"]), "")
-    return store_files.groupBy("graph_id").agg(joined.alias("_h"), F.count("bytes").alias("_n")).select(
-        "graph_id", F.when(F.col("_n") == 0, "").otherwise(F.sha2(F.unhex("_h"), 256)).alias("hash")
-    )
+    lines = store_files.filter(F.col("bytes").isNotNull()).select("graph_id", F.concat("name", F.lit(":"), F.sha2("bytes", 256)).alias("_l"))
+    known = store_files.select("graph_id").distinct()
+    return known.join(set_digest(lines, ["graph_id"], F.col("_l"), "hash"), "graph_id", "left").select("graph_id", F.coalesce("hash", F.lit("")).alias("hash"))

@@ -86,3 +86,14 @@ def test_change_and_verdict_streams(spark, tmp_path):
     old = spark.createDataFrame([("g", "r", "file:a", "refused", "1"), ("g", "r", "file:b", "refused", "1")], key + ", verdict string, hash string")
     folded = streams.folded_verdicts(old, spark.read.parquet(str(tmp_path / "folded")))
     assert {r.unit_key: r.verdict for r in folded.collect()} == {"file:a": "approved", "file:b": "refused"}
+
+
+def test_scan_of_text_and_binary_files(spark, tmp_path):
+    root = tmp_path / "a folder's src %20 src+x"
+    for path, raw in {"g1/a.txt": "é\n".encode(), "g1/logo.png": b"\x89PNG\xff\x00", "g2/src/a folder's src %20 src+x/b.txt": b"b", "g1/.git/config": b"x", "g1/log.md": b"# l"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(raw)
+    want = {("g1", "a.txt", "é\n", 3, True), ("g1", "logo.png", None, 6, False), ("g2", "src/a folder's src %20 src+x/b.txt", "b", 1, True), ("g1", "log.md", "# l", 3, True)}
+    for at in (str(root), f"{root}/", f"file:{root}"):
+        assert {tuple(r) for r in src.scan_files(spark, at).collect()} == want
+    assert [r["path"] for r in src.scan_files(spark, str(root), "log.md").collect()] == ["log.md"]
