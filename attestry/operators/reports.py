@@ -70,7 +70,7 @@ def invert_relations(relations: DataFrame) -> DataFrame:
     return relations.select("graph_id", F.col("target").alias("node_path"), "source", "type")
 
 
-def group_failures(failures: DataFrame, n: int = 5) -> DataFrame:
+def group_failures(failures: DataFrame, n: int) -> DataFrame:
     """Failures by rule and cause: rows of the first ``n`` units of each group with the count of the group."""
     key = ["graph_id", "rule_id", "why", "next"]
     counts = failures.groupBy(*key).agg(F.count("*").alias("failures"), F.countDistinct("unit_key").alias("units"))

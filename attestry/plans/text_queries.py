@@ -446,6 +446,6 @@ def graph_lookups(i: Inputs) -> DataFrame:
     return context.groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, to_json(source) AS literal FROM documents")
+@query("SELECT doc_id, replace(to_json(concat(text, chr(92), chr(31), chr(9), '\"')), 'u001F', 'u001f') AS literal FROM documents")
 def json_strings(i: Inputs) -> DataFrame:
-    return i.base("documents").select("doc_id", json_string("source").alias("literal"))
+    return i.base("documents").select("doc_id", json_string(F.concat("text", F.lit('\\\x1f\t"'))).alias("literal"))

@@ -565,15 +565,25 @@ def _twins(rule: str, unit: str, path: str) -> list[str]:
     return [f"{head}/{'de' if lang == 'en' else 'en'}/{name}", path]
 
 
+ASKED = (
+    ("asked", """SELECT DISTINCT rule_id, unit_key, path AS subject,
+                   CASE WHEN contains(path, '/en/') THEN replace(path, '/en/', '/de/') ELSE regexp_replace(path, '/[a-z]+/', '/en/') END AS path FROM pair_files WHERE kind = 'judged'"""),
+    ("asked_other", "SELECT DISTINCT a.rule_id, a.unit_key, a.path FROM asked a WHERE (a.rule_id, a.unit_key, a.path) NOT IN (SELECT (rule_id, unit_key, subject) FROM asked)"),
+    ("failed", "SELECT * FROM asked_other WHERE path NOT IN (SELECT path FROM paths)"),
+)
+
+
 @query(
-    """SELECT DISTINCT rule_id, unit_key, CASE WHEN contains(path, '/en/') THEN replace(path, '/en/', '/de/') ELSE regexp_replace(path, '/[a-z]+/', '/en/') END AS path
-       FROM pair_files WHERE kind = 'judged' AND CASE WHEN contains(path, '/en/') THEN replace(path, '/en/', '/de/') ELSE regexp_replace(path, '/[a-z]+/', '/en/') END NOT IN (SELECT path FROM paths)""",
-    *BASE_PAIRS,
+    """SELECT rule_id, unit_key, path, 'failed' AS outcome FROM failed
+       UNION ALL SELECT rule_id, unit_key, path, 'companion' FROM asked_other a WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.rule_id = a.rule_id AND f.unit_key = a.unit_key)""",
+    *BASE_PAIRS, *ASKED,
 )
-def companion_failures(i: Inputs) -> DataFrame:
+def companion_pairs(i: Inputs) -> DataFrame:
     rows = pair_files(i).filter("kind = 'judged'")
     proposals = hooks.pairing_hook(rows, _twins)
-    return prs.companion_pairs(rows, proposals, _scope(i)[0], i.files, i.dmappings)[1].select("rule_id", "unit_key", "path")
+    good, failed = prs.companion_pairs(rows, proposals, _scope(i)[0], i.files, i.dmappings)
+    shown = lambda rows, outcome: rows.select("rule_id", "unit_key", "path", F.lit(outcome).alias("outcome"))
+    return shown(good, "companion").unionByName(shown(failed, "failed"))
 
 
 @query(
@@ -596,15 +606,19 @@ def parse_judgements(i: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey AS run_key, l_returnflag AS why, count(*) AS failures FROM lineitem GROUP BY ALL""", name="group_failures"
+    """SELECT run_key, why, unit_key, CAST(rank AS INT) AS rank, failures, units FROM (
+         SELECT *, row_number() OVER (PARTITION BY run_key, why ORDER BY unit_key) AS rank, count(*) OVER (PARTITION BY run_key, why) AS units FROM (
+           SELECT l_orderkey AS run_key, l_returnflag AS why, concat('node:', l_partkey, ':', l_suppkey) AS unit_key, sum(count(*)) OVER (PARTITION BY l_orderkey, l_returnflag) AS failures
+           FROM lineitem GROUP BY 1, 2, 3)) WHERE rank <= 2""",
+    name="group_failures",
 )
 def group_failures_query(i: Inputs) -> DataFrame:
     rows = i.base("lineitem").select(
         F.lit("g0").alias("graph_id"), F.col("l_orderkey").cast("string").alias("rule_id"), F.col("l_returnflag").alias("why"), F.lit("").alias("next"),
-        F.concat_ws(":", F.lit("node"), "l_partkey", "l_suppkey", "l_linenumber").alias("unit_key"),
+        F.concat_ws(":", F.lit("node"), "l_partkey", "l_suppkey").alias("unit_key"),
     )
-    first = rep.group_failures(rows)
-    return first.filter("rank = 1").select(F.col("rule_id").cast("long").alias("run_key"), "why", "failures")
+    first = rep.group_failures(rows, 2)
+    return first.select(F.col("rule_id").cast("long").alias("run_key"), "why", "unit_key", "rank", "failures", "units")
 
 
 @query(
@@ -632,8 +646,12 @@ def store_content_hash(i: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'judged' ELSE 'computed' END AS kind FROM labels
-       WHERE NOT (quality = 1 AND toxic = 0 AND doc_id IN (SELECT doc_id FROM labels WHERE NOT (quality = 1 AND toxic = 0)))"""
+    """WITH lined AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'judged' ELSE 'computed' END AS kind FROM labels),
+            valid AS (SELECT * FROM lined WHERE NOT (kind = 'judged' AND doc_id IN (SELECT doc_id FROM lined WHERE kind = 'computed'))),
+            raw AS (SELECT kind, concat('"graph_id":"g0","kind":"', kind, '","rule_id":"', doc_id, '","unit_key":"node:n","verdict":"approved","hash":"', sha256(CAST(doc_id AS VARCHAR)), '"') AS body FROM lined)
+       SELECT CAST(doc_id AS VARCHAR) AS what, kind AS code, 1 AS n FROM valid
+       UNION ALL SELECT concat('{', body), 'lock-invalid', count(*) FROM raw GROUP BY ALL
+       UNION ALL SELECT concat('{"extra":1,', body, '}'), 'lock-invalid', count(*) FROM raw GROUP BY ALL"""
 )
 def parse_verdicts(i: Inputs) -> DataFrame:
     kind = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "judged").otherwise("computed")
@@ -643,5 +661,7 @@ def parse_verdicts(i: Inputs) -> DataFrame:
     ))
     broken = F.substring(line, F.lit(1), F.length(line) - 1)
     strange = F.regexp_replace(line, r"^\{", '{"extra":1,')
-    lines = i.base("labels").select(F.explode(F.array(line, broken, strange)).alias("value"))
-    return store.parse_verdicts(lines)[0].select(F.col("rule_id").cast("long").alias("doc_id"), "kind")
+    valid, invalid = store.parse_verdicts(i.base("labels").select(F.explode(F.array(line, broken, strange)).alias("value")))
+    return valid.select(F.col("rule_id").alias("what"), F.col("kind").alias("code"), F.lit(1).cast("long").alias("n")).unionByName(
+        invalid.groupBy("what", "code").agg(F.count("*").alias("n"))
+    )
