@@ -9,6 +9,7 @@ from attestry.functions.text import sha256_text
 from attestry.operators.keyed import salted_join, top_n
 
 NODE = ["graph_id", "node_path"]
+# The forms of a header line and of a timestamp.
 HEADER = r"^## \[([^\]]+)\]\s*$"
 STRICT_TS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,3}Z$"
 
@@ -54,15 +55,15 @@ def fence_spans(content: Column | str) -> Column:
 
 
 def journal_lines(journals: DataFrame) -> DataFrame:
-    """Lines of each journal with their byte offset; ``fenced`` marks those inside a code fence, ends included."""
+    """Lines of each journal with their byte offset; ``fenced`` marks those inside a code fence, ends included, ``last`` the last."""
     rows = journals.filter("content <> ''").withColumn("_fences", F.when(F.col("content").contains("```"), fence_spans("content")))
     w = Window.partitionBy(*NODE).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.exists("_fences", lambda f: (F.col("line") >= f["first"]) & (f["last"].isNull() | (F.col("line") <= f["last"])))
     return (
-        rows.select(*NODE, "_fences", F.posexplode(F.split("content", "\n", -1)).alias("_i", "text"))
+        rows.select(*NODE, "_fences", F.split("content", "\n", -1).alias("_l")).select(*NODE, "_fences", F.size("_l").alias("_n"), F.posexplode("_l").alias("_i", "text"))
         .withColumn("line", (F.col("_i") + 1).cast("long"))
         .select(
-            *NODE, "line", "text",
+            *NODE, "line", "text", (F.col("line") == F.col("_n")).alias("last"),
             F.coalesce(F.sum(F.octet_length("text") + 1).over(w), F.lit(0)).cast("long").alias("start"),
             F.coalesce(inside, F.lit(False)).alias("fenced"),
         )
@@ -75,21 +76,24 @@ def entry_spans(headers: DataFrame) -> DataFrame:
     return headers.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("size")))
 
 
-def byte_slice(col: Column | str, start: Column, end: Column) -> Column:
-    """Bytes ``[start, end)`` of a text, decoded."""
-    raw = F.encode(F.col(col) if isinstance(col, str) else col, "UTF-8")
-    return F.decode(F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")
-
-
 def journal_split(journals: DataFrame) -> DataFrame:
-    """Entries ``(node, pos, ts, body, start, end)`` at headers outside fences."""
-    heads = journal_lines(journals).filter(~F.col("fenced")).withColumn("ts", F.regexp_extract("text", HEADER, 1)).filter("ts <> ''")
-    sizes = journals.select(*NODE, "content", F.octet_length("content").cast("bigint").alias("size"))
-    spans = entry_spans(heads.join(sizes, NODE))
-    w = Window.partitionBy(*NODE).orderBy("start")
-    body_at = F.least(F.col("start") + F.octet_length("text") + 1, F.col("end"))
-    return spans.select(
-        *NODE, F.row_number().over(w).cast("long").alias("pos"), "ts", byte_slice("content", body_at, F.col("end")).alias("body"), "start", "end"
+    """Entries ``(node, pos, ts, body, start, end)`` at headers outside fences.
+
+    Lines are numbered by a running count of headers and put together for each entry; the text of a journal is in
+    no window and no join.
+    """
+    w = Window.partitionBy(*NODE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    ts = F.when(~F.col("fenced"), F.regexp_extract("text", HEADER, 1))
+    lines = journal_lines(journals).withColumn("ts", ts).withColumn("pos", F.sum(F.when(F.col("ts") != "", 1).otherwise(0)).over(w).cast("long"))
+    entries = lines.filter("pos > 0").groupBy(*NODE, "pos").agg(
+        F.min_by("ts", "line").alias("ts"), F.min("start").alias("start"), F.max(F.col("start") + F.octet_length("text")).alias("_stop"),
+        F.bool_or("last").alias("_last"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_l"),
+    )
+    rest = F.slice("_l", F.lit(2), F.size("_l"))
+    body = F.array_join(F.transform(rest, lambda e: e["text"]), "\n")
+    return entries.select(
+        *NODE, "pos", "ts", F.when(F.col("_last") | (F.size("_l") < 2), body).otherwise(F.concat(body, F.lit("\n"))).alias("body"), "start",
+        F.when(F.col("_last"), F.col("_stop")).otherwise(F.col("_stop") + 1).cast("long").alias("end"),
     )
 
 

@@ -69,3 +69,12 @@ def test_journal_faults_and_fences(spark):
     assert [e.ts for e in entries] == ["2024-01-01T00:00:00.000Z", "2024-01-01T00:00:00.000Z", "2023-01-01", "soon"]
     raw = text.encode()
     assert all(raw[e.start:e.end].decode().endswith(e.body) for e in entries) and entries[-1].end == len(raw)
+
+
+def test_no_text_of_a_journal_in_windows_or_joins(spark):
+    journals = spark.createDataFrame([("g", "n", "## [a]\nx\n```\n## [b]\n```\n## [c]\ny"), ("g", "m", "no header\n"), ("g", "e", ""), ("g", "h", "## [a]\n## [b]")], "graph_id string, node_path string, content string")
+    split = jou.journal_split(journals)
+    got = sorted((r["node_path"], r["pos"], r["ts"], r["body"], r["start"], r["end"]) for r in split.collect())
+    assert got == [("h", 1, "a", "", 0, 7), ("h", 2, "b", "", 7, 13), ("n", 1, "a", "x\n```\n## [b]\n```\n", 0, 24), ("n", 2, "c", "y", 24, 32)]
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if ("Window" in line or "Join" in line or "Exchange" in line) and "content" in line]
