@@ -156,8 +156,9 @@ def implied_closure(rules: DataFrame, implies: DataFrame, max_rounds: int = 64)
 
     Rows ``(graph_id, rule_id, rank_in, implied, rank_out)``. Statuses form a chain and every hop is
     monotone, so the strictest status over all paths is what the cascade of any node would reach; nodes then
-    need one join with this table. Drafts pass nothing on. Each round joins the paths found so far with
-    themselves, so the number of rounds is the logarithm of the longest chain.
+    need one join with this table. Drafts pass nothing on. Each round goes on from the paths found in the round
+    before by all paths known, so paths double in length and the number of rounds is the logarithm of the longest
+    chain; runs jobs while the plan is built.
     """
     default = rules.select("graph_id", F.col("rule_id").alias("implied"), F.coalesce(status_rank("status"), F.lit(2)).alias("_d"))
     hops = implies.select("graph_id", F.col("implier").alias("rule_id"), "implied", "inherit").join(default, ["graph_id", "implied"], "left")
@@ -165,12 +166,12 @@ def implied_closure(rules: DataFrame, implies: DataFrame, max_rounds: int = 64)
     out = F.when(F.col("inherit") == "own-default", F.col("_d")).otherwise(F.greatest("rank_in", "_d"))
     key = ["graph_id", "rule_id", "rank_in", "implied"]
     path = [*key, "rank_out"]
-    known = cut_lineage(hops.select(*key, out.alias("rank_out")).distinct())
+    known = fresh = cut_lineage(hops.select(*key, out.alias("rank_out")).distinct())
     for _ in range(max_rounds):
         tail = known.select(
             "graph_id", F.col("rule_id").alias("_mid"), F.col("rank_in").alias("_r"), F.col("implied").alias("_end"), F.col("rank_out").alias("_out")
         )
-        head = known.select("graph_id", "rule_id", "rank_in", F.col("implied").alias("_mid"), F.col("rank_out").alias("_r"))
+        head = fresh.select("graph_id", "rule_id", "rank_in", F.col("implied").alias("_mid"), F.col("rank_out").alias("_r"))
         longer = salted_join(head, tail, ["graph_id", "_mid", "_r"]).select(
             "graph_id", "rule_id", "rank_in", F.col("_end").alias("implied"), F.col("_out").alias("rank_out")
         )

@@ -32,6 +32,21 @@ def issue(rows: DataFrame, code: str | Column, what: Column | None = None, sever
     )
 
 
+def as_issues(rows: DataFrame, code: str | None = None, severity: str = "error") -> DataFrame:
+    """Rows of any check in the shape of issues.
+
+    ``severity``, ``code``, ``node_path`` and ``rule_id`` are kept where a check gives them; all its other columns
+    make up ``what``, in their order.
+    """
+    if "code" not in rows.columns and code is None:
+        raise ValueError("rows without a code need one")
+    others = [c for c in rows.columns if c not in ISSUE]
+    what = [*([F.col("what")] if "what" in rows.columns else []), *[F.col(c).cast("string") for c in others]]
+    return issue(
+        rows, F.col("code") if "code" in rows.columns else code, F.concat_ws(" ", *what), F.col("severity") if "severity" in rows.columns else severity
+    )
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -329,16 +344,17 @@ def summary_by_node(issues: DataFrame) -> DataFrame:
     )
 
 
-def check_report(parts: list[DataFrame], states: DataFrame, coverage: DataFrame) -> tuple[DataFrame, DataFrame]:
+def check_report(parts: list[DataFrame | tuple[DataFrame, str]], states: DataFrame, coverage: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The full gate: all issues, and one summary row per graph.
 
-    ``parts`` are issue tables (validation, pairs, dependencies, journals, mapped but ignored);
-    ``coverage`` is coverage_summary.
+    ``parts`` are the rows of any checks (validation, dependencies, journals, waivers, store, mapped but ignored),
+    with the code to give them where they have none of their own; ``coverage`` is coverage_summary.
     """
+    shaped = [as_issues(*p) if isinstance(p, tuple) else as_issues(p) for p in parts]
     uncovered = issue(coverage.filter("required > 0"), "unmapped-files", F.col("required").cast("string")).unionByName(
         issue(coverage.filter("middle > 0"), "unmapped-files", F.col("middle").cast("string"), "warning")
     )
-    issues = union([*(p.select(*ISSUE) for p in parts), pair_issues(states), uncovered])
+    issues = union([*shaped, pair_issues(states), uncovered])
     counts = issues.groupBy("graph_id").agg(
         F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")
     )

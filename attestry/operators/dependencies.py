@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from attestry.functions import imports
 from attestry.functions.paths import parent_path, path_prefixes
 from attestry.functions.text import sha256_text
-from attestry.operators.keyed import salted_join
+from attestry.operators.keyed import cut_lineage, salted_join
 from attestry.operators.predicates import detect_language
 from attestry.operators.reach import STRUCTURAL
 
@@ -265,13 +265,17 @@ def detected_edges(edges: DataFrame) -> DataFrame:
     return _cross(edges).select("graph_id", "source", "target").distinct()
 
 
+def undeclared_pairs(pairs: DataFrame, relations: DataFrame) -> DataFrame:
+    """The detected ``pairs`` of nodes without a declared relation to the target or to an ancestor of it."""
+    declared = relations.select("graph_id", "source", F.col("target").alias("_via")).distinct()
+    ok = pairs.withColumn("_via", F.explode(path_prefixes("target"))).join(declared, ["graph_id", "source", "_via"], "left_semi")
+    return pairs.join(ok.select("graph_id", "source", "target").distinct(), ["graph_id", "source", "target"], "left_anti")
+
+
 def undeclared_dependencies(edges: DataFrame, relations: DataFrame) -> DataFrame:
     """Uses across nodes without a declared relation to the target or to an ancestor of it."""
-    declared = relations.select("graph_id", "source", F.col("target").alias("_via")).distinct()
-    pairs = detected_edges(edges)
     # distinct node pairs meet the declarations; the uses themselves only once at the end
-    ok = pairs.withColumn("_via", F.explode(path_prefixes("target"))).join(declared, ["graph_id", "source", "_via"], "left_semi")
-    bad = pairs.join(ok.select("graph_id", "source", "target").distinct(), ["graph_id", "source", "target"], "left_anti")
+    bad = undeclared_pairs(detected_edges(edges), relations)
     return salted_join(edges.distinct(), bad, ["graph_id", "source", "target"], "left_semi")
 
 
@@ -303,10 +307,10 @@ def sanctioning_relations(violations: DataFrame, nodes: DataFrame, types: DataFr
 
 
 def boundary_report(nodes: DataFrame, relations: DataFrame, edges: DataFrame, types: DataFrame) -> DataFrame:
-    """Edge classes: undeclared, declared-only, forbidden-type."""
-    found = detected_edges(edges)
+    """Edge classes: undeclared, declared-only, forbidden-type. The detected pairs are written once to the shared folder."""
+    found = cut_lineage(detected_edges(edges))
     pick = lambda df, c: df.select("graph_id", "source", "target", F.lit(c).alias("class"))
-    undeclared = undeclared_dependencies(edges, relations)
+    undeclared = undeclared_pairs(found, relations)
     known = nodes.select("graph_id", F.col("node_path").alias("target"))
     declared = _cross(relations.filter(F.col("type").isin(*STRUCTURAL))).select("graph_id", "source", "target").distinct()
     only = declared.join(known, ["graph_id", "target"], "left_semi").join(found, ["graph_id", "source", "target"], "left_anti")

@@ -112,17 +112,12 @@ def classify_files(files: DataFrame, types: list[tuple[str, dict]], k: int = 3)
                 unread.alias("unreadable"), score.alias("score"),
             )
         )
-    rows = guarded.select("graph_id", "path", F.explode(F.array(*tested)).alias("t")).select("graph_id", "path", "t.*")
-    matches = rows.filter("result").select("graph_id", "path", "type", "ord")
-    # one row per type and file, so the group is as large as the type model
-    misses = F.array_sort(
-        F.collect_list(F.when(~F.col("result"), F.struct((-F.col("score")).alias("s"), "ord", "type", "score")))
-    )
-    closest = (
-        rows.groupBy("graph_id", "path")
-        .agg(F.slice(misses, 1, k).alias("c"))
-        .select("graph_id", "path", F.posexplode("c").alias("rank", "c"))
-        .select("graph_id", "path", (F.col("rank") + 1).alias("rank"), "c.type", "c.score")
+    rows = guarded.select("graph_id", "path", F.array(*tested).alias("_t"))
+    matches = rows.select("graph_id", "path", F.explode(F.filter("_t", lambda t: t["result"])).alias("t")).select("graph_id", "path", "t.type", "t.ord")
+    # as many entries in a row as there are types: ranked in the row, nothing is moved
+    misses = F.transform(F.filter("_t", lambda t: ~t["result"]), lambda t: F.struct((-t["score"]).alias("s"), t["ord"].alias("ord"), t["type"].alias("type"), t["score"].alias("score")))
+    closest = rows.select("graph_id", "path", F.posexplode(F.slice(F.array_sort(misses), 1, k)).alias("rank", "c")).select(
+        "graph_id", "path", (F.col("rank") + 1).alias("rank"), "c.type", "c.score"
     )
     return matches, closest
 

@@ -201,18 +201,6 @@ def verify_pairs(i: Inputs) -> DataFrame:
     return _states(i).select("rule_id", "unit_key", "state")
 
 
-@query(
-    """SELECT count(*) AS pairs, count(*) FILTER (state = 'verified') AS verified,
-              count(*) FILTER (state <> 'verified' AND status = 'enforced') AS errors, count(*) FILTER (state <> 'verified' AND status <> 'enforced') AS warnings,
-              'unverified' AS next_code, (SELECT count(*) FROM paths) AS total FROM states""",
-    *STATES,
-)
-def check_report(i: Inputs) -> DataFrame:
-    coverage = own.coverage_summary(i.paths, i.dmappings, i.roots)
-    parts = [chk.broken_flows(i.flow_nodes.filter("flow = ''"), i.dnodes)]
-    return chk.check_report(parts, states(i), coverage)[1].select("pairs", "verified", "errors", "warnings", "next_code", "total")
-
-
 @query("SELECT kind, status, state, count(*) AS n FROM states GROUP BY ALL", *STATES)
 def pair_state_counts(i: Inputs) -> DataFrame:
     return _states(i).groupBy("kind", "status", "state").agg(F.count("*").alias("n"))
