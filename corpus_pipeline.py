@@ -40,18 +40,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier; one that is left with nothing of its lines goes."""
     left = lines.dedup_lines(docs.select(*COLUMNS))
-    return _documents(left.filter((F.col("lines_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")))
+    return _documents(left.filter((F.col("lines_dropped") == 0) | F.col("text").rlike(r"\S")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is alike in 0.8 of its five-word shingles: the one with the smallest id."""
-    rows = with_row_id(docs.select(*COLUMNS))
-    found = near_text.near_duplicates(rows, doc_id="_uid")
-    # ``doc_id`` is the row's number here; the smallest id of a group stays, and the first of equal ids
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_uid"))
-    groups = found.select(F.col("doc_id").alias("_uid"), F.col("component_id").alias("_group")).join(rows.select("_uid", "doc_id"), "_uid")
-    kept = groups.groupBy("_group").agg(first.alias("_first")).select(F.col("_first._uid").alias("_uid"))
-    return _documents(rows.join(kept, "_uid", "left_semi"))
+    """One document of each group that is alike in 0.8 of its five-word shingles: the one with the smallest id.
+
+    Rows are told apart by a hash of id and text; rows that repeat both are one document.
+    """
+    rows = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = near_text.near_duplicates(rows, doc_id="_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_key")).alias("_first")
+    kept = found.join(rows.select("_key", "doc_id"), "_key").groupBy("_group").agg(first).select(F.col("_first._key").alias("_key"))
+    return _documents(rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
