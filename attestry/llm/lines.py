@@ -6,8 +6,9 @@ goes if one like it stands earlier. A substitution leaves the same variant with
 insertion or deletion makes the variant of one line the whole of the other. Both need only the earliest line of
 a key, so a key that very many lines share costs one row for each of them, never pairs.
 
-Equal lines are one before anything else. A line can only be within one edit of another if one half of it is
-whole in the other, so only lines that share a half with a different line emit variants.
+Equal lines are one before anything else. A line can only be within one edit of another if one half of it, and all
+but one of its eighths, are whole in the other, so only lines that share such stretches with a different line emit
+variants.
 
 Order is that of ids (null last), then of a hash of the text, then of lines. Defined results: lines are compared
 trimmed of ASCII white space at their ends; blank lines stay and are not compared; lines under ``min_chars`` characters
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import mix64, slices, table
+from attestry.llm.common import mix64, running_total, slices, table
 from attestry.operators.keyed import cut_lineage
 
 MIN_CHARS = 20
@@ -62,8 +63,8 @@ def line_key(line: str | Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
-def halves(lines: DataFrame) -> DataFrame:
-    """``half, h1``: keys of the stretches of a line, one of which a line one edit away has whole.
+def halves() -> Column:
+    """Keys of the stretches of a ``line``, one of which a line one edit away has whole.
 
     For a pair of lengths m and m or m + 1 the stretches are those of the shorter: its first half, or the rest at
     the end, in long lines cut back to multiples of 8 characters, so that most neighbouring lengths have the same
@@ -75,11 +76,49 @@ def halves(lines: DataFrame) -> DataFrame:
         start = (F.floor(m / (2 * step)) * step).cast("int")
         rest = (F.floor((m - start) / step) * step).cast("int")
         keys += [F.xxhash64(F.lit("start"), F.substring("line", F.lit(1), start)), F.xxhash64(F.lit("end"), F.substring("line", (F.col("size") - rest + 1).cast("int"), rest))]
-    return lines.select("h1", F.explode(F.array_distinct(F.array(*keys))).alias("half"))
+    return F.array_distinct(F.array(*keys))
+
+
+def all_but_one(lines: DataFrame, pieces: int = 8) -> DataFrame:
+    """``h1, key``: keys of a line without one of its pieces; lines one edit apart share one of them.
+
+    The pieces are those of the shorter line of a pair; what stands before the piece left out is taken from the
+    start of a line, what stands after it from its end.
+    """
+    keys = []
+    for m in (F.col("size"), F.col("size") - 1):
+        for j in range(pieces):
+            before, after = F.floor(m * j / pieces).cast("int"), (m - F.floor(m * (j + 1) / pieces)).cast("int")
+            keys.append(F.xxhash64(F.lit(j), m, F.substring("line", F.lit(1), before), F.substring("line", (F.col("size") - after + 1).cast("int"), after)))
+    return lines.select("h1", F.explode(F.array(*keys)).alias("key"))
+
+
+def sharing(keyed: DataFrame, key: str) -> DataFrame:
+    """``h1`` of the lines that have a key in common with a different line."""
+    # all lines of a key are equal, or some differ: the smallest and the largest tell
+    some = keyed.groupBy(key).agg(F.min("h1").alias("_lo"), F.max("h1").alias("_hi")).filter("_lo <> _hi").select(key)
+    return keyed.join(some, key).select("h1").distinct()
+
+
+#: Bits of the bitmap that keeps most other lines out of the join for texts: one megabyte, whatever the data.
+SIEVE = 1 << 23
+
+
+def sieved(lines: DataFrame, near: DataFrame) -> DataFrame:
+    """``lines`` without most of those whose ``h1`` is not in ``near``; none that is in it goes.
+
+    The bitmap has a fixed size, so it can be sent to every task; if ``near`` outgrows it, fewer lines are kept out.
+    """
+    slot = F.pmod(F.col("h1"), F.lit(SIEVE)) + 1
+    maps = near.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = lines.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(maps), "_bucket")
+    return hit.filter(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1).drop("_bucket", "_bits")
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """``variant, gap, h1, h2, at``: one row for each character left out, and one with gap -1 for the line itself."""
+    """``variant, gap, rank``: one row for each character left out, and one with gap -1 for the line itself."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -92,11 +131,11 @@ def variants(lines: DataFrame) -> DataFrame:
             if columns[0]:
                 take = pa.array(np.concatenate(columns[2]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(columns[0])), pa.array(np.concatenate(columns[1]), pa.int32()), *(batch.column(c).take(take) for c in ("h1", "h2", "rank"))],
-                    ["variant", "gap", "h1", "h2", "rank"],
+                    [pa.array(np.concatenate(columns[0])), pa.array(np.concatenate(columns[1]), pa.int32()), batch.column("rank").take(take)],
+                    ["variant", "gap", "rank"],
                 )
 
-    return lines.select("line", "h1", "h2", "rank").mapInArrow(work, "variant long, gap int, h1 long, h2 long, rank binary")
+    return lines.select("line", "rank").mapInArrow(work, "variant long, gap int, rank long")
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,19 +144,21 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "do
     Runs jobs while the plan is built: the first occurrences and the lines that share a half are written.
     """
     found = occurrences(docs, doc_id, text)
-    place = F.struct(*ORDER).alias("place")
-    keyed = found.select(*line_key("line"), F.length("line").alias("size"), *ORDER)
+    size = F.length("line").alias("size")
+    narrow = found.select("line", size, *line_key("line"), *ORDER)
+    stretches = F.when(F.col("size") >= min_chars, halves()).alias("halves")
+    keyed = cut_lineage(narrow.select("h1", "h2", *ORDER, stretches))
     firsts = cut_lineage(keyed.groupBy("h1", "h2").agg(F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("times")))
-    # keys of halves come from the text once more: the text itself is not moved
-    parts = halves(found.filter(F.length("line") >= min_chars).select("line", F.length("line").alias("size"), line_key("line")[0]))
-    # all lines of a stretch are equal, or some differ: the smallest and the largest key tell
-    some = parts.groupBy("half").agg(F.min("h1").alias("_lo"), F.max("h1").alias("_hi")).filter("_lo <> _hi").select("half")
-    near = cut_lineage(parts.join(some, "half").select("h1").distinct())
-    # text of those lines, at their first place only
-    at_first = found.select("line", *line_key("line"), place)
+    near = cut_lineage(sharing(keyed.select("h1", F.explode("halves").alias("half")), "half"))
+    # the text of those lines, at their first place only
+    at_first = sieved(narrow.withColumn("place", F.struct(*ORDER)), near)
     firsts_near = near.join(firsts, "h1").select("h1", "h2", F.col("first").alias("place"))
-    candidates = cut_lineage(at_first.join(firsts_near, ["h1", "h2", "place"]).dropDuplicates(["h1", "h2"]))
-    ranked = candidates.withColumn("rank", rank_bytes("place"))
+    close = at_first.select("h1", "h2", "place", "line", "size").join(firsts_near, ["h1", "h2", "place"]).dropDuplicates(["h1", "h2"])
+    close = cut_lineage(close.withColumn("one", F.lit(1).cast("long")))
+    # of them those that have all but an eighth in common with another, numbered in order
+    closer = close.join(sharing(all_but_one(close), "key"), "h1", "left_semi")
+    ranked = running_total(closer.select("place.*", "h1", "h2", "line", "one"), [*ORDER, "h1"], "one", "rank").select("rank", "h1", "h2", "line")
+    ranked = cut_lineage(ranked)
     all_ = cut_lineage(variants(ranked))
 
     holes = all_.filter("gap >= 0")
@@ -140,12 +181,6 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "do
     return hit.select(*ORDER).distinct()
 
 
-def rank_bytes(place: str) -> Column:
-    """A place in the order as bytes that compare like it: flags and numbers as fixed-width big-endian hex."""
-    signed = lambda c: F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    return F.concat(F.col(f"{place}.nulls").cast("string"), F.coalesce(signed(f"{place}.doc_id"), F.lit("0" * 16)), signed(f"{place}.mark"), F.lpad(F.hex(F.col(f"{place}.line_no")), 8, "0")).cast("binary")
-
-
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text that is left and with ``lines_in, lines_dropped``, in place of columns of these names; no document goes."""
     gone = cut_lineage(dropped_lines(docs, min_chars, doc_id, text))
