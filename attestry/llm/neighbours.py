@@ -7,7 +7,8 @@ compared with each other, and what is better than a vector's worst neighbour is
 vectors rounded to one byte a component, with a scale each; searches and results use the original numbers.
 
 A search starts at the query's own place in the graph (or at hashed entry points, for queries from outside),
-expands the best ``beam`` candidates not yet expanded, all queries at once, and ends when no query has one left.
+expands the best ``beam`` candidates not yet expanded, all queries at once, and ends for a query when a step brings
+nothing new into the better half of its beam.
 Candidates are scored where their vectors lie: vectors are dealt into blocks of bounded size, and a query goes
 once to each block that holds some of its candidates. Every vector is in the graph and can be found.
 
@@ -32,7 +33,9 @@ from attestry.operators.keyed import cut_lineage, top_n
 #: Neighbours a vector keeps, and how many of those that have it as a neighbour take part in a round.
 DEGREE, MEMBERS = 32, 32
 #: Sortings at the start, vectors a block there, rounds, and candidates that a middle may send to one vector.
-SORTINGS, BLOCK, ROUNDS, SENT = 3, 512, 6, 12
+SORTINGS, BLOCK, ROUNDS, SENT = 2, 512, 6, 12
+#: Rounds end once fewer than this share of all neighbours are new.
+SETTLED = 0.01
 #: Candidates a search keeps in view, its most steps, and vectors a block of the search.
 BEAM, STEPS, HOLD = 200, 12, 4096
 
@@ -59,6 +62,8 @@ def lists_of(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 GRAPH = "uid long, ids array<long>, scores array<double>"
+#: With how many of the ids were not in the list before.
+COUNTED = f"{GRAPH}, news long"
 
 
 def graph_batch(uids: list, ids: list, scores: list) -> pa.RecordBatch:
@@ -106,22 +111,31 @@ def sorted_blocks(points: DataFrame, seed: int, size: int, degree: int) -> DataF
     return keyed.repartitionByRange("side", "at", "uid").sortWithinPartitions("side", "at", "uid").mapInArrow(within, GRAPH)
 
 
-def merged(graph: DataFrame, degree: int) -> DataFrame:
-    """One row for each vector with the best of all its rows."""
+def merged(before: DataFrame | None, found: DataFrame, degree: int) -> DataFrame:
+    """One row for each vector with the best of all its rows, and how many of them ``before`` did not have."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uids, ids, scores = [], [], []
+        uids, ids, scores, news = [], [], [], []
+
+        def batch() -> pa.RecordBatch:
+            rows = graph_batch(uids, ids, scores)
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(news, pa.int64())], [*rows.schema.names, "news"])
+
         for run in runs(batches, ["uid"]):
             uid = run["uid"][0].as_py()
             i, s = best(uid, run["ids"].combine_chunks().flatten().to_numpy(), run["scores"].combine_chunks().flatten().to_numpy(), degree)
-            uids.append(uid), ids.append(i), scores.append(s)
+            old = run.filter(run["old"])["ids"].combine_chunks().flatten().to_numpy()
+            uids.append(uid), ids.append(i), scores.append(s), news.append(len(i) - np.isin(i, old).sum())
             if len(uids) == 2000:
-                yield graph_batch(uids, ids, scores)
-                uids, ids, scores = [], [], []
+                yield batch()
+                uids, ids, scores, news = [], [], [], []
         if uids:
-            yield graph_batch(uids, ids, scores)
+            yield batch()
 
-    return graph.repartition("uid").sortWithinPartitions("uid").mapInArrow(work, GRAPH)
+    rows = found.withColumn("old", F.lit(False))
+    if before is not None:
+        rows = before.withColumn("old", F.lit(True)).union(rows)
+    return rows.repartition("uid").sortWithinPartitions("uid").mapInArrow(work, COUNTED)
 
 
 def descend(graph: DataFrame, coded: DataFrame, step: int, degree: int, members: int, sent: int) -> DataFrame:
@@ -153,7 +167,7 @@ def descend(graph: DataFrame, coded: DataFrame, step: int, degree: int, members:
     drawn = top_n(edges.withColumn("draw", draw), ["other"], [F.col("draw"), F.col("uid")], members)
     ahead, back = drawn.select(F.col("uid").alias("middle"), F.col("other").alias("uid")), drawn.select(F.col("other").alias("middle"), "uid")
     own = graph.select(F.col("uid").alias("middle"), "uid")
-    pairs = cut_lineage(ahead.union(back).union(own).distinct())
+    pairs = ahead.union(back).union(own).distinct()
     worst = graph.select("uid", F.when(F.size("ids") >= degree, F.array_min("scores")).otherwise(F.lit(float("-inf"))).alias("worst"))
     full = pairs.join(coded.join(worst, "uid"), "uid")
     return full.repartition("middle").sortWithinPartitions("middle", "uid").mapInArrow(work, GRAPH)
@@ -172,17 +186,27 @@ def neighbour_graph(points: DataFrame, degree: int = DEGREE, members: int = MEMB
     start = sorted_blocks(points, 0, BLOCK, degree)
     for seed in range(1, SORTINGS):
         start = start.union(sorted_blocks(points, seed, BLOCK, degree))
-    graph = cut_lineage(merged(start, degree))
+    counted = cut_lineage(merged(None, start, degree))
     for step in range(rounds):
-        graph = cut_lineage(merged(graph.union(descend(graph, coded, step, degree, members, sent)), degree))
-    return graph
+        graph = counted.select("uid", "ids", "scores")
+        counted = cut_lineage(merged(graph, descend(graph, coded, step, degree, members, sent), degree))
+        news, kept = counted.agg(F.sum("news"), F.sum(F.size("ids"))).first()
+        if not news or news < SETTLED * kept:
+            break
+    return counted.select("uid", "ids", "scores")
 
 
 BEAM_ROWS = "query long, ids array<long>, scores array<double>, open array<boolean>"
+#: With whether one of the best is new in this step.
+STATE_ROWS = f"{BEAM_ROWS}, moved boolean"
+
 
+def search(queries: DataFrame, points: DataFrame, graph: DataFrame, k: int, beam: int = BEAM, steps: int = STEPS, best_of: int | None = None) -> DataFrame:
+    """``query, ids, scores``: the ``k`` best found for each of ``queries`` (``uid, vec``), which may be rows of ``points``.
 
-def search(queries: DataFrame, points: DataFrame, graph: DataFrame, k: int, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """``query, ids, scores``: the ``k`` best found for each of ``queries`` (``uid, vec``), which may be rows of ``points``."""
+    A query is done once a step brings nothing new among its ``best_of`` (``k`` unless given) best.
+    """
+    best_of = k if best_of is None else best_of
     n = points.count()
     blocks = max(1, -(-n // HOLD))
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
@@ -236,10 +260,14 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, k: int, beam
             first = first[:beam]
             out.append((query, ids[first], scores[first], open_[first]))
             if len(out) >= 1000:
-                yield beam_batch(out)
+                yield state_batch(out)
                 out = []
         if out:
-            yield beam_batch(out)
+            yield state_batch(out)
+
+    def state_batch(rows: list[tuple]) -> pa.RecordBatch:
+        batch = beam_batch(rows)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([bool(o[:best_of].any()) for *_, o in rows], pa.bool_())], [*batch.schema.names, "moved"])
 
     vec_type = points.schema["vec"].dataType.simpleString()
     for _ in range(steps):
@@ -254,8 +282,8 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, k: int, beam
         if state is not None:
             done = state.select("query", "ids", "scores", F.transform("open", lambda o: F.lit(False)).alias("open"))
             scored = scored.union(done)
-        state = cut_lineage(scored.repartition("query").sortWithinPartitions("query").mapInArrow(narrow, BEAM_ROWS))
-        frontier = state.select("query", F.explode(F.arrays_zip("ids", "open")).alias("c")).filter("c.open").select("query", F.col("c.ids").alias("uid"))
+        state = cut_lineage(scored.repartition("query").sortWithinPartitions("query").mapInArrow(narrow, STATE_ROWS))
+        frontier = state.filter("moved").select("query", F.explode(F.arrays_zip("ids", "open")).alias("c")).filter("c.open").select("query", F.col("c.ids").alias("uid"))
         if frontier.isEmpty():
             break
         wanted = frontier.join(graph.select("uid", F.col("ids").alias("wanted")), "uid").select("query", "wanted")
@@ -270,7 +298,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, beam: int = BEAM, vec_id:
     rows = numbered(vectors, vec_id, embedding).filter("valid")
     points = cut_lineage(rows.select("uid", "vec_id", "vec"))
     graph = neighbour_graph(points.select("uid", "vec"))
-    found = search(points.filter(is_query).select("uid", "vec"), points.select("uid", "vec"), graph, beam, beam)
+    found = search(points.filter(is_query).select("uid", "vec"), points.select("uid", "vec"), graph, beam, beam, best_of=beam // 2)
     names = points.select("uid", "vec_id")
     flat = found.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query", F.col("c.ids").alias("uid"), F.col("c.scores").alias("score"))
     named = flat.join(names, "uid").join(names.select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id")), "query")
