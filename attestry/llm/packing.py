@@ -29,7 +29,7 @@ _CODERS: dict = {}
 
 
 def coder(path: str, pattern: str):
-    """The byte-level BPE of a rank file; one per Python worker. Its ids equal those of the JSON form of the vocabulary."""
+    """The byte-level BPE of a rank file; one per Python worker. Its ids equal those of the JSON form but for added tokens."""
     if path not in _CODERS:
         import tiktoken
 
@@ -39,6 +39,16 @@ def coder(path: str, pattern: str):
     return _CODERS[path]
 
 
+def exact_coder(path: str):
+    """The vocabulary in its JSON form and the tokens added to it, which are matched in texts; one per Python worker."""
+    if path not in _CODERS:
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(path)
+        _CODERS[path] = made, [t.content for t in made.get_added_tokens_decoder().values()]
+    return _CODERS[path]
+
+
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Place of each row of ``points`` (whole numbers below 2**bits) on the Hilbert curve of that many dimensions."""
     x = points.astype(np.int64).T.copy()
@@ -81,11 +91,21 @@ def place(ids: np.ndarray, table_: np.ndarray) -> np.ndarray:
     return np.clip(((flat + 3.0) / 6.0 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 
 
-def tokenise(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, row, key, n, ids``: ids of the whole text and the end mark as two bytes each, little-endian."""
+def tokenise(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", exact: str | None = None) -> DataFrame:
+    """``doc_id, row, key, n, ids``: ids of the whole text and the end mark as two bytes each, little-endian.
+
+    With ``exact``, the JSON form of the vocabulary, an added token that stands in a text gets its one id, as
+    ``Tokenizer.encode`` gives it; without, it is a text like any other.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(path, pattern).encode_ordinary
+        ordinary = coder(path, pattern).encode_ordinary
+        slow, added = exact_coder(exact) if exact else (None, [])
+
+        def encode(value: str) -> list[int]:
+            # the slower library only where the two differ
+            return slow.encode(value, add_special_tokens=False).ids if any(t in value for t in added) else ordinary(value)
+
         dirs = directions(1 << 16)
         for batch in slices(batches):
             kept, places, sizes = [], [], []
@@ -104,13 +124,13 @@ def tokenise(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     return rows.mapInArrow(work, "doc_id long, row long, key long, n long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, doc_id: str = "doc_id", text: str = "text", exact: str | None = None) -> DataFrame:
     """Pieces: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``, with the ids of each piece as two bytes each.
 
     Token ids are written once to the shared folder; only ``row, key, n`` are sorted, and the place of each
     document is joined back.
     """
-    coded = cut_lineage(tokenise(docs, path, pattern, doc_id, text))
+    coded = cut_lineage(tokenise(docs, path, pattern, doc_id, text, exact))
     order = coded.select("doc_id", "row", "key", "n")
     placed = running_total(order, ["key", "doc_id", "row"], "n", "at").select("row", "at")
 
@@ -152,5 +172,12 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def exact_vocabulary() -> str:
+    """Path of the same vocabulary in its JSON form."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op10_packing(spark, folder: str) -> DataFrame:
-    return digest(pack(table(spark, folder, "documents"), *vocabulary()))
+    return digest(pack(table(spark, folder, "documents"), *vocabulary(), exact=exact_vocabulary()))

@@ -65,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
-    return packing.digest(packing.pack(docs.select(*COLUMNS), *packing.vocabulary()))
+    return packing.digest(packing.pack(docs.select(*COLUMNS), *packing.vocabulary(), exact=packing.exact_vocabulary()))
 
 
 STAGES = [

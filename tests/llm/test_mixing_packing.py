@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from attestry.llm import mixing, packing
 
@@ -119,3 +120,20 @@ def test_pack_round_trip(spark):
     crc = {(r.sequence_id, r.offset): r.ids_crc32 for r in sums.itertuples()}
     assert all(crc[r.sequence_id, r.offset] == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in pieces.itertuples())
     assert packing.pack(docs.limit(0), *packing.vocabulary()).count() == 0
+
+
+def test_queries_give_added_tokens_their_id(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>  y\n", "<|endoftext|", "plain text", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.withColumn("lang", F.lit("")).withColumn("source", F.lit("")).withColumn("n_chars", F.lit(0)).write.parquet(f"{tmp_path}/documents.parquet")
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*exact.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    want = {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    for got in (packing.op10_packing(spark, str(tmp_path)), stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")):
+        assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in got.collect()} == want
