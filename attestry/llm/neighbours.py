@@ -2,9 +2,13 @@
 
 Nearness is the largest inner product. The graph starts from blocks: vectors are sorted along random projections,
 cut into blocks of bounded size, and each takes its best neighbours within its block. In each round of NN-descent
-every vector is the middle between its neighbours and those that have it as a neighbour; these are joined to it,
-compared with each other, and what is better than a vector's worst neighbour is sent to it. Rounds compare
-vectors rounded to one byte a component, with a scale each; searches and results use the original numbers.
+a vector with a new link, its own or into it, is the middle between its neighbours and those that have it as a
+neighbour; these are joined to it, compared with each other, and what is better than a vector's worst neighbour is
+sent to it. A vector rests while no link at it is new, and rounds end when all rest. Rounds compare vectors rounded
+to one byte a component, with a scale each; searches and results use the original numbers.
+
+Equal vectors are one class: the graph and the searches are over classes, and results take the members of the
+classes found in the order of their ids, so a group of copies fills no list and hides no smaller id.
 
 A search starts at the query's own place in the graph (or at hashed entry points, for queries from outside),
 expands the best ``beam`` candidates not yet expanded, all queries at once, and ends for a query when a step brings
@@ -28,16 +32,14 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import mix64, table
 from attestry.llm.vectors import matrix, numbered, runs
-from attestry.operators.keyed import cut_lineage, top_n
+from attestry.operators.keyed import cut_lineage, salted_join, top_n
 
 #: Neighbours a vector keeps, and how many of those that have it as a neighbour take part in a round.
 DEGREE, MEMBERS = 32, 32
-#: Sortings at the start, vectors a block there, rounds, and candidates that a middle may send to one vector.
-SORTINGS, BLOCK, ROUNDS, SENT = 2, 512, 6, 12
-#: Rounds end once fewer than this share of all neighbours are new.
-SETTLED = 0.01
-#: Candidates a search keeps in view, its most steps, and vectors a block of the search.
-BEAM, STEPS, HOLD = 200, 12, 4096
+#: Sortings at the start, and vectors a block there.
+SORTINGS, BLOCK = 2, 512
+#: Candidates a search keeps in view, and vectors a block of the search.
+BEAM, HOLD = 200, 4096
 
 
 def codes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +64,8 @@ def lists_of(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 GRAPH = "uid long, ids array<long>, scores array<double>"
-#: With how many of the ids were not in the list before.
-COUNTED = f"{GRAPH}, news long"
+#: With those of the ids that were not in the list before.
+FRESH = f"{GRAPH}, news array<long>"
 
 
 def graph_batch(uids: list, ids: list, scores: list) -> pa.RecordBatch:
@@ -112,20 +114,20 @@ def sorted_blocks(points: DataFrame, seed: int, size: int, degree: int) -> DataF
 
 
 def merged(before: DataFrame | None, found: DataFrame, degree: int) -> DataFrame:
-    """One row for each vector with the best of all its rows, and how many of them ``before`` did not have."""
+    """One row for each vector with the best of all its rows, and those of them that ``before`` did not have."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, ids, scores, news = [], [], [], []
 
         def batch() -> pa.RecordBatch:
             rows = graph_batch(uids, ids, scores)
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(news, pa.int64())], [*rows.schema.names, "news"])
+            return pa.RecordBatch.from_arrays([*rows.columns, lists_of(news, pa.int64())], [*rows.schema.names, "news"])
 
         for run in runs(batches, ["uid"]):
             uid = run["uid"][0].as_py()
             i, s = best(uid, run["ids"].combine_chunks().flatten().to_numpy(), run["scores"].combine_chunks().flatten().to_numpy(), degree)
             old = run.filter(run["old"])["ids"].combine_chunks().flatten().to_numpy()
-            uids.append(uid), ids.append(i), scores.append(s), news.append(len(i) - np.isin(i, old).sum())
+            uids.append(uid), ids.append(i), scores.append(s), news.append(i[~np.isin(i, old)])
             if len(uids) == 2000:
                 yield batch()
                 uids, ids, scores, news = [], [], [], []
@@ -135,22 +137,23 @@ def merged(before: DataFrame | None, found: DataFrame, degree: int) -> DataFrame
     rows = found.withColumn("old", F.lit(False))
     if before is not None:
         rows = before.withColumn("old", F.lit(True)).union(rows)
-    return rows.repartition("uid").sortWithinPartitions("uid").mapInArrow(work, COUNTED)
+    return rows.repartition("uid").sortWithinPartitions("uid").mapInArrow(work, FRESH)
 
 
-def descend(graph: DataFrame, coded: DataFrame, step: int, degree: int, members: int, sent: int) -> DataFrame:
-    """One round: better neighbours that vectors learn from those they share a neighbour with."""
+def descend(fresh: DataFrame, coded: DataFrame, step: int, degree: int, members: int) -> DataFrame:
+    """One round: better neighbours that vectors learn from those they share a neighbour with, at middles with a new link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, ids, scores = [], [], []
         for run in runs(batches, ["middle"]):
-            uid, worst = run["uid"].to_numpy(), run["worst"].to_numpy()
+            uid, worst, met = run["uid"].to_numpy(), run["worst"].to_numpy(), run["met"].to_numpy().astype(bool)
             code = np.frombuffer(b"".join(run["code"].to_pylist()), np.int8).reshape(len(uid), -1).astype(np.float32)
             scale = run["scale"].to_numpy()
             near = (code @ code.T).astype(np.float64) * scale[:, None] * scale[None, :]
+            near[np.ix_(met, met)] = -np.inf  # compared here in the round in which the later of them was new
             np.fill_diagonal(near, -np.inf)
-            if len(uid) > sent:
-                cut = np.partition(near, len(uid) - sent, axis=1)[:, len(uid) - sent]
+            if len(uid) > degree:  # a vector keeps no more than these
+                cut = np.partition(near, len(uid) - degree, axis=1)[:, len(uid) - degree]
                 worst = np.maximum(worst, np.nextafter(cut, -np.inf))
             good = near > worst[:, None]
             for row in np.flatnonzero(good.any(axis=1)):
@@ -161,20 +164,26 @@ def descend(graph: DataFrame, coded: DataFrame, step: int, degree: int, members:
         if uids:
             yield graph_batch(uids, ids, scores)
 
-    edges = graph.select("uid", F.explode("ids").alias("other"))
-    draw = F.xxhash64("uid", "other", F.lit(step))
-    # as many links into a vector as ``members``, others in each round: no vector is in more pieces of work than that and its own list
-    drawn = top_n(edges.withColumn("draw", draw), ["other"], [F.col("draw"), F.col("uid")], members)
-    ahead, back = drawn.select(F.col("uid").alias("middle"), F.col("other").alias("uid")), drawn.select(F.col("other").alias("middle"), "uid")
-    own = graph.select(F.col("uid").alias("middle"), "uid")
-    pairs = ahead.union(back).union(own).distinct()
-    worst = graph.select("uid", F.when(F.size("ids") >= degree, F.array_min("scores")).otherwise(F.lit(float("-inf"))).alias("worst"))
+    edges = fresh.select("uid", F.explode("ids").alias("other"), "news").select("uid", "other", F.array_contains("news", F.col("other")).alias("new"))
+    touched = edges.filter("new")
+    awake = cut_lineage(touched.select("uid").union(touched.select("other")).distinct().withColumnRenamed("uid", "middle"))
+    ahead = edges.select(F.col("uid").alias("middle"), F.col("other").alias("uid"), (~F.col("new")).alias("met")).join(awake, "middle", "left_semi")
+    # of the links into a vector at most ``members``, new ones first and then others in each round
+    into = edges.join(awake.withColumnRenamed("middle", "other"), "other", "left_semi")
+    drawn = top_n(into.withColumn("draw", F.xxhash64("uid", "other", F.lit(step))), ["other"], [F.desc("new"), F.col("draw"), F.col("uid")], members)
+    back = drawn.select(F.col("other").alias("middle"), "uid", F.lit(False).alias("met"))
+    own = awake.select("middle", F.col("middle").alias("uid"), F.lit(True).alias("met"))
+    pairs = ahead.union(back).union(own).groupBy("middle", "uid").agg(F.bool_or("met").alias("met"))
+    worst = fresh.select("uid", F.when(F.size("ids") >= degree, F.array_min("scores")).otherwise(F.lit(float("-inf"))).alias("worst"))
     full = pairs.join(coded.join(worst, "uid"), "uid")
     return full.repartition("middle").sortWithinPartitions("middle", "uid").mapInArrow(work, GRAPH)
 
 
-def neighbour_graph(points: DataFrame, degree: int = DEGREE, members: int = MEMBERS, rounds: int = ROUNDS, sent: int = SENT) -> DataFrame:
-    """``uid, ids, scores``: the neighbours found for each of ``points`` (``uid, vec``); each round is written."""
+def neighbour_graph(points: DataFrame, degree: int = DEGREE, members: int = MEMBERS, rounds: int | None = None) -> DataFrame:
+    """``uid, ids, scores``: the neighbours found for each of ``points`` (``uid, vec``); each round is written.
+
+    Rounds go on until no vector has a new neighbour, or for as many as ``rounds``.
+    """
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,14 +195,13 @@ def neighbour_graph(points: DataFrame, degree: int = DEGREE, members: int = MEMB
     start = sorted_blocks(points, 0, BLOCK, degree)
     for seed in range(1, SORTINGS):
         start = start.union(sorted_blocks(points, seed, BLOCK, degree))
-    counted = cut_lineage(merged(None, start, degree))
-    for step in range(rounds):
-        graph = counted.select("uid", "ids", "scores")
-        counted = cut_lineage(merged(graph, descend(graph, coded, step, degree, members, sent), degree))
-        news, kept = counted.agg(F.sum("news"), F.sum(F.size("ids"))).first()
-        if not news or news < SETTLED * kept:
-            break
-    return counted.select("uid", "ids", "scores")
+    fresh = cut_lineage(merged(None, start, degree))
+    step = 0
+    # what a list takes in is better than what it drops, so this ends
+    while (rounds is None or step < rounds) and not fresh.filter(F.size("news") > 0).isEmpty():
+        fresh = cut_lineage(merged(fresh.select("uid", "ids", "scores"), descend(fresh, coded, step, degree, members), degree))
+        step += 1
+    return fresh.select("uid", "ids", "scores")
 
 
 BEAM_ROWS = "query long, ids array<long>, scores array<double>, open array<boolean>"
@@ -201,7 +209,7 @@ BEAM_ROWS = "query long, ids array<long>, scores array<double>, open array<boole
 STATE_ROWS = f"{BEAM_ROWS}, moved boolean"
 
 
-def search(queries: DataFrame, points: DataFrame, graph: DataFrame, k: int, beam: int = BEAM, steps: int = STEPS, best_of: int | None = None) -> DataFrame:
+def search(queries: DataFrame, points: DataFrame, graph: DataFrame, k: int, beam: int = BEAM, best_of: int | None = None) -> DataFrame:
     """``query, ids, scores``: the ``k`` best found for each of ``queries`` (``uid, vec``), which may be rows of ``points``.
 
     A query is done once a step brings nothing new among its ``best_of`` (``k`` unless given) best.
@@ -258,7 +266,9 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, k: int, beam
             _, first = np.unique(ids, return_index=True)
             first.sort()
             first = first[:beam]
-            out.append((query, ids[first], scores[first], open_[first]))
+            # one scored anew may differ in its last bit; it stays expanded, so every search ends
+            open_ = open_[first] & ~np.isin(ids[first], ids[~open_])
+            out.append((query, ids[first], scores[first], open_))
             if len(out) >= 1000:
                 yield state_batch(out)
                 out = []
@@ -270,7 +280,7 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, k: int, beam
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([bool(o[:best_of].any()) for *_, o in rows], pa.bool_())], [*batch.schema.names, "moved"])
 
     vec_type = points.schema["vec"].dataType.simpleString()
-    for _ in range(steps):
+    while True:
         # ids that a query wants scored, in one row for each block that holds some
         each = wanted.select("query", F.explode("wanted").alias("id")).select("query", "id", block_of("id").alias("block"))
         grouped = each.groupBy("query", "block").agg(F.collect_set("id").alias("ids"))
@@ -295,16 +305,25 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, beam: int = BEAM, vec_id:
 
     Runs jobs while the plan is built: the graph and the state of the searches are written to the shared folder.
     """
-    rows = numbered(vectors, vec_id, embedding).filter("valid")
-    points = cut_lineage(rows.select("uid", "vec_id", "vec"))
-    graph = neighbour_graph(points.select("uid", "vec"))
-    found = search(points.filter(is_query).select("uid", "vec"), points.select("uid", "vec"), graph, beam, beam, best_of=beam // 2)
-    names = points.select("uid", "vec_id")
-    flat = found.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query", F.col("c.ids").alias("uid"), F.col("c.scores").alias("score"))
-    named = flat.join(names, "uid").join(names.select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id")), "query")
-    # at most ``beam`` rows a query
+    same = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2")]
+    marked = numbered(vectors, vec_id, embedding).filter("valid").select("uid", "vec_id", "vec", *same)
+    classes = marked.groupBy("h1", "h2").agg(F.min("uid").alias("head"))
+    members = cut_lineage(marked.select("uid", "vec_id", "h1", "h2").join(classes, ["h1", "h2"]).select("uid", "vec_id", "head"))
+    points = cut_lineage(marked.select("uid", "vec").join(members.filter("uid = head").select("uid"), "uid"))
+    graph = neighbour_graph(points)
+    asking = members.filter(is_query)
+    asked = cut_lineage(points.join(asking.select(F.col("head").alias("uid")), "uid", "left_semi"))
+    found = search(asked, points, graph, beam, beam, best_of=beam // 2)
+    others = found.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query", F.col("c.ids").alias("head"), F.col("c.scores").alias("score"))
+    square = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    itself = asked.select(F.col("uid").alias("query"), F.col("uid").alias("head"), square.alias("score"))
+    # a query needs k others, so k + 1 members of a class and k + 1 rows of a class of queries are enough
+    first = top_n(members, ["head"], [F.col("vec_id").isNull(), F.col("vec_id"), F.col("uid")], k + 1, "_rank").select("head", "uid", "vec_id")
     order = F.struct((-F.col("score")).alias("s"), F.col("vec_id").isNull().alias("n"), "vec_id", "uid", "score")
-    ranked = named.groupBy("query", "query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("top"))
+    # at most ``beam`` + 1 classes of k + 1 members a class of queries
+    tops = others.union(itself).join(first, "head").groupBy(F.col("query").alias("head")).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("top"))
+    mine = asking.select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id"), "head")
+    ranked = salted_join(mine, tops, ["head"]).withColumn("top", F.slice(F.filter("top", lambda c: c.uid != F.col("query")), 1, k))
     return ranked.select("query_id", F.posexplode("top").alias("rank", "c")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), F.col("c.score").alias("score"))
 
 

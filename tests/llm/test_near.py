@@ -207,3 +207,26 @@ def test_search_of_outside_queries(spark):
     matrix = np.array([v for _, v in rows])
     hits = sum(len(set(np.argsort(-(matrix @ np.array(vecs[r["query"]])))[:5]) & set(r["ids"])) for r in found)
     assert len(found) == 10 and hits >= 45
+
+
+def test_neighbours_of_repeated_vectors_by_id(spark):
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(1500, 8)).astype(np.float32)
+    points[200:1100] = points[0]  # more copies than a block holds
+    points[1100:1160] = points[1]
+    ids = [int(x) for x in rng.permutation(1500)]
+    rows = [(i, [float(x) for x in p], 0, 0, "") for i, p in zip(ids, points, strict=True)]
+    got: dict = {}
+    for r in sorted(neighbours.nearest(spark.createDataFrame(rows, VECTORS).repartition(5), F.col("vec_id") % 20 == 0, k=10).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    _, kind = np.unique(points, axis=0, return_inverse=True)
+    at = {i: n for n, i in enumerate(ids)}
+    hits = 0
+    for query in range(0, 1500, 20):
+        scores = points.astype(np.float64) @ points[at[query]].astype(np.float64)
+        of_kind = {c: s for c, s in zip(kind.ravel(), scores, strict=True)}  # one score for all copies
+        want = sorted((i for i in ids if i != query), key=lambda i: (-of_kind[kind.ravel()[at[i]]], i))[:10]
+        hits += len(set(want) & set(got[query]))
+        if 200 <= at[query] < 1100 and of_kind[kind.ravel()[0]] == max(of_kind.values()):
+            assert got[query] == want
+    assert hits >= 0.98 * 750
