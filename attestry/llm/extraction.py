@@ -1,10 +1,12 @@
 """Main text of HTML pages by tree scoring.
 
-Elements that are never part of an article (scripts, menus, footers, adverts, forms, comments and the like, known
-by tag, role or class words) are cut. Each remaining block of text gives points for its length and its commas,
+Elements that are never part of an article (scripts, menus, footers, forms and the like, known by tag or role, and
+hidden ones) are cut. An element whose class or id has a word of what surrounds an article counts half, and is cut
+only if it reads like a menu, if elements of its class hold little of the page's text, or if the whole name says so
+(``comments``, ``cookie-notice``) and the rest of the page is more than a little. Each remaining block of text gives points for its length and its commas,
 less its share of link text, to its container, half of them to the one above, and so on. The container with
 the most points is kept with those of its siblings that read like text; an ``article`` or ``main`` around it is
-kept whole.
+kept whole, with its own siblings by the same rule, or those of the outermost one where they are nested.
 
 Defined results: a null, empty or textless page has an empty text; character references are decoded once; an
 unclosed comment, script or tag runs to the end of the page; repeated pages give repeated rows.
@@ -24,6 +26,9 @@ from pyspark.sql import types as T
 from attestry.llm.common import extended, slices, table
 
 # fixed values: names of HTML elements and the words that pages use for what surrounds an article
+#: What is little of a page's text, from which share of text in links an element with a class word against it reads
+#: like a menu, and what its text counts if it is kept.
+LITTLE, MENU, SUSPECT = 0.25, 0.5, 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template select svg math object canvas audio video noembed noframes xmp".split())
 INLINE = frozenset(
@@ -52,23 +57,30 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 COMMA = re.compile("[,،、，;]")
 
 
-def is_cut(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element cannot be part of the article."""
+def is_cut(tag: str, attributes: str, in_article: bool) -> bool | tuple[str, bool]:
+    """Whether an element cannot be part of the article.
+
+    Where only a class or id speaks against it: that name, and whether one of its parts is of such words alone.
+    """
     if tag in CUT or tag == "header" and not in_article:
         return True
     if not attributes or attributes.isspace():
         return False
+    suspect: bool | tuple[str, bool] = False
     for name, value, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if hidden or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if tag in KEEP:
             continue
-        if name == "role" and value.lower() in CUT_ROLES or name in ("class", "id") and any(
-            w.lower() in CUT_WORDS and not (in_article and w.lower() == "header") for w in WORD.findall(value)
-        ):
+        if name == "role" and value.lower() in CUT_ROLES:
             return True
-    return False
+        if name in ("class", "id"):
+            against = [[w.lower() in CUT_WORDS and not (in_article and w.lower() == "header") for w in WORD.findall(part)] for part in value.split()]
+            if any(map(any, against)):
+                whole = any(part and all(part) for part in against)
+                suspect = (suspect[0], suspect[1] or whole) if suspect else (f"{tag} {name} {value}", whole)
+    return suspect
 
 
 class Page:
@@ -77,6 +89,7 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.parents, self.blocks = ["#"], [-1], []  # blocks: (element, text, characters in links)
         self.stack, self.off, self.links = [0], 0, 0  # off: the depth at which a cut element was opened
+        self.suspects: dict[int, tuple[str, bool]] = {}  # elements with a class word against them, as is_cut says it
         self._words: list[str] = []
         self._linked = 0
         self._read(html)
@@ -141,8 +154,12 @@ class Page:
         self.parents.append(self.stack[-1])
         self.stack.append(len(self.tags) - 1)
         self.links += tag == "a"
-        if not self.off and is_cut(tag, attributes, any(self.tags[e] in ("article", "main") for e in self.stack)):
-            self.off = len(self.stack)
+        if not self.off:
+            cut = is_cut(tag, attributes, any(self.tags[e] in ("article", "main") for e in self.stack))
+            if cut is True:
+                self.off = len(self.stack)
+            elif cut:
+                self.suspects[len(self.tags) - 1] = cut
 
     def _read(self, html: str) -> None:
         at = 0
@@ -173,17 +190,47 @@ class Page:
         self._pop_to(1)
         self._flush()
 
+    def _sizes(self) -> tuple[list[int], list[int]]:
+        """Characters of each element, and those of them in links."""
+        n = len(self.tags)
+        size, linked = [0] * n, [0] * n
+        for element, text, in_links in self.blocks:
+            size[element] += len(text)
+            linked[element] += in_links
+        for element in range(n - 1, 0, -1):  # parents come before their children
+            size[self.parents[element]] += size[element]
+            linked[self.parents[element]] += linked[element]
+        return size, linked
+
+    def _weights(self) -> list[float]:
+        """What the text in each element counts; blocks in suspects that are cut are taken out."""
+        n = len(self.tags)
+        weight = [1.0] * n
+        if self.suspects:
+            size, linked = self._sizes()
+            held: dict[str, int] = {}
+            for element, (why, _) in self.suspects.items():
+                held[why] = held.get(why, 0) + size[element]
+            for element in range(1, n):
+                weight[element] = weight[self.parents[element]]
+                if element in self.suspects:
+                    why, whole = self.suspects[element]
+                    cut = held[why] < (1 - LITTLE if whole else LITTLE) * size[0] or linked[element] > MENU * size[element]
+                    weight[element] = 0.0 if cut else weight[element] * SUSPECT
+            self.blocks = [b for b in self.blocks if weight[b[0]]]
+        return weight
+
     def main_text(self) -> list[str]:
         """Blocks of the best container and its siblings."""
         n = len(self.tags)
-        size, linked, points, n_links = [0] * n, [0] * n, [0.0] * n, [0] * n
+        weight = self._weights()
+        size, linked = self._sizes()
+        points, n_links = [0.0] * n, [0] * n
         for element, tag in enumerate(self.tags):
             if tag == "a":
                 n_links[element] += 1
         for element, text, in_links in self.blocks:
-            size[element] += len(text)
-            linked[element] += in_links
-            gain = (1.0 + len(COMMA.findall(text)) + len(text) / 100.0) * (1.0 - in_links / len(text))
+            gain = weight[element] * (1.0 + len(COMMA.findall(text)) + len(text) / 100.0) * (1.0 - in_links / len(text))
             above = element
             if self.tags[element] in PARTS:  # items and cells speak for what holds their list
                 while self.tags[above] in PARTS:
@@ -193,25 +240,24 @@ class Page:
             while above >= 0 and gain > 1e-3:
                 points[above] += gain
                 above, gain = self.parents[above], gain / 2
-        for element in range(n - 1, 0, -1):  # parents come before their children
-            size[self.parents[element]] += size[element]
-            linked[self.parents[element]] += linked[element]
+        for element in range(n - 1, 0, -1):
             n_links[self.parents[element]] += n_links[element]
         score = [p * (1.0 - link / s) if s else 0.0 for p, link, s in zip(points, linked, size, strict=True)]
         best = max(range(n), key=lambda e: (score[e], -e))
         if not score[best] > 0:
             return []
-        frame = best
-        while frame > 0 and self.tags[frame] not in ("article", "main"):
-            frame = self.parents[frame]
-        roots = {frame} if frame > 0 else {best}
-        if frame <= 0:
-            for element in range(1, n):
-                if self.parents[element] == self.parents[best] and element != best and size[element]:
-                    density = linked[element] / size[element]
-                    plain = self.tags[element] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") and density < 0.25
-                    if plain or score[element] >= 0.2 * score[best]:
-                        roots.add(element)
+        frame, above = best, best
+        while above > 0:  # the outermost article or main around the best
+            if self.tags[above] in ("article", "main"):
+                frame = above
+            above = self.parents[above]
+        roots = {frame}
+        for element in range(1, n):
+            if self.parents[element] == self.parents[frame] and element != frame and size[element]:
+                density = linked[element] / size[element]
+                plain = self.tags[element] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") and density < 0.25
+                if plain or score[element] >= 0.2 * score[best]:
+                    roots.add(element)
         inside = [False] * n
         for element in range(n):
             menu = self.tags[element] in LISTS and n_links[element] > 1 and linked[element] > 0.6 * size[element]

@@ -115,3 +115,23 @@ def test_extraction_over_rows(spark):
     assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got if r["page_id"] < 99} == {i: t for i, (_, t) in enumerate(LAYOUTS)}
     assert all(r["n_chars"] == len(r["text"]) for r in got) and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
     assert extraction.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+A, B = "The first part, long enough, with commas, says this.", "The second part, as long, with commas too, says that."
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<main><article><p>{A}</p></article><article><p>{B}</p></article></main>", f"{A}\n\n{B}"),
+        (f"<body><article><p>{A}</p></article><article><p>{B}</p></article></body>", f"{A}\n\n{B}"),
+        (f"<div><article><p>{A}</p></article><p>{B}</p><ul><li><a href=x>x</a></li><li><a href=y>y</a></li></ul></div>", f"{A}\n\n{B}"),
+        (f"<div class='post no-sidebar'><p>{A}</p></div>", A),
+        (f"<div class='hentry comments-open'><p>{A}</p></div><div class=share><a href=x>Share this</a></div>", A),
+        (f"<div class='content has-header'><p>{A}</p><div class='ad'>Buy, now</div></div>", A),
+        ("".join(f"<div class='post no-sidebar' id=p{i}><p>{A}</p></div>" for i in range(6)), "\n\n".join([A] * 6)),
+        (f"<div class=sidebar>{'<a href=x>many, links, here</a> ' * 20}</div><div><p>{A}</p></div>", A),
+    ],
+)
+def test_extraction_keeps_every_part(html, text):
+    assert extraction.extract(html) == text
