@@ -40,6 +40,23 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def weighted_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, how: str = "inner", parts: int = 256) -> DataFrame:
+    """Equi-join with a written table that has one row per key and, in ``weight``, how many rows of ``big`` have it.
+
+    A key with more than one part in ``parts`` of all rows is split in proportion to its weight, every other one
+    stays whole: ``small`` grows by less than ``2 * parts`` rows, and the list of split keys, which is broadcast,
+    has fewer than ``parts``. ``weight`` is not in the result.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    split = F.ceil(F.col(weight) * parts / F.lit(float(max(total, 1)))).cast("int")
+    n = F.when(F.col(weight) * parts > total, split).otherwise(F.lit(1))
+    heavy = small.filter(F.col(weight) * parts > total).select(*on, n.alias("_n"))
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in big.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))])
+    left = big.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(F.pmod(hashed, F.col("_n")), F.lit(0)).cast("int")).drop("_n")
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop(weight)
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach, from ``spark.checkpoint.dir``; a local session without one gets a temporary one."""
     context = spark.sparkContext
