@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.llm import extraction, language, lines, mixing, near_text, near_vectors, neighbours, packing, quality, urls
+from attestry.llm import alignment, extraction, language, lines, mixing, near_text, near_vectors, neighbours, packing, pieces, quality, urls, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
     "op9_minhash_near_dedup": near_text.op9_minhash_near_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
