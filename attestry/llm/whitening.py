@@ -185,7 +185,8 @@ def whiten(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     projected = cut_lineage(rows.mapInArrow(project, "vec_id long, size int, deviation long, white array<double>"))
     errors = identity_errors(projected, fits)
     facts = [(size, f.range.n, f.components, f.shares.tolist(), errors[size]) for size, f in fits.items()]
-    known = projected.join(rows.sparkSession.createDataFrame(facts, "size int, n long, k int, shares array<double>, identity_error double"), "size")
+    # one narrow row a length, made on the driver; all vectors of a length have one key, so a shuffle would not spread them
+    known = projected.join(F.broadcast(rows.sparkSession.createDataFrame(facts, "size int, n long, k int, shares array<double>, identity_error double")), "size")
     each = known.withColumn("component", F.explode(F.sequence(F.lit(1), F.col("k"))))
     return each.select(
         "vec_id",
