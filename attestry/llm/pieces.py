@@ -39,6 +39,10 @@ SPACE = "▁"  # how pieces write a space
 _VOCABULARIES: dict[str, MergeVocabulary] = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class MergeVocabulary:
     """Pieces of a merge-type model with byte fallback, and the library's processor for the same file."""
 
@@ -64,7 +68,7 @@ class MergeVocabulary:
         made = sorted((int(a) << BITS | int(b), m) for (a, b), m in pairs.items() if a >= 0 and b >= 0)
         self._keys, self._made = np.array(made, np.int64).reshape(-1, 2).T.copy()
         self._cuts = self._pattern([p for p in self.ids if len(p) > 1])
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, bytes] = {}
 
     @staticmethod
     def _pattern(pieces: list[str]) -> re.Pattern | None:
@@ -74,8 +78,8 @@ class MergeVocabulary:
         inner = "".join(re.escape(c) for c in sorted(set("".join(pieces)) - {SPACE}))
         return re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|.", re.DOTALL)
 
-    def merge(self, text: str) -> list[int]:
-        """Ids of a stretch: the best pair of the agenda is merged until none is left."""
+    def merge(self, text: str) -> bytes:
+        """Packed ids of a stretch: the best pair of the agenda is merged until none is left."""
         symbols, order, end = list(text), self.order, len(text)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
         agenda = [(order[p], i, p) for i, p in enumerate(map(str.__add__, symbols, symbols[1:])) if p in order]
@@ -98,7 +102,7 @@ class MergeVocabulary:
             if s:
                 found = self.ids.get(s)
                 out.extend([self.bytes[b] for b in s.encode()] if found is None else [found])
-        return out
+        return _packed(out)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Score's place and piece that two symbols make, as one number each; ``NONE`` where they make no piece."""
@@ -106,8 +110,8 @@ class MergeVocabulary:
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where((self._keys[at] == key) & (left >= 0) & (right >= 0), self._made[at], NONE)
 
-    def merge_all(self, cuts: list[str], width: int) -> list[list[int]]:
-        """Ids of stretches of ``width`` characters at most: a row of symbols and an agenda each, one merge a row and round."""
+    def merge_all(self, cuts: list[str], width: int) -> list[bytes]:
+        """Packed ids of stretches of ``width`` characters at most: a row of symbols and an agenda each, one merge a row and round."""
         chars = np.frombuffer("".join(c.ljust(width, "\0") for c in cuts).encode("utf-32-le"), np.uint32).reshape(-1, width)
         length = np.fromiter(map(len, cuts), np.int64, len(cuts))
         place = np.arange(width)
@@ -121,23 +125,30 @@ class MergeVocabulary:
             done[rows[~live]] = symbols[~live]
             rows, symbols, agenda, best, made = rows[live], symbols[live], agenda[live], best[live], made[live] & MASK
             every, stays = np.arange(len(rows)), place <= best[:, None]
-            symbols = np.where(stays, symbols, np.pad(symbols[:, 1:], ((0, 0), (0, 1)), constant_values=-1))
+            symbols = np.where(stays, symbols, self._shifted(symbols, -1))
             symbols[every, best] = made
-            agenda = np.where(stays[:, :-1], agenda, np.pad(agenda[:, 1:], ((0, 0), (0, 1)), constant_values=NONE))
+            agenda = np.where(stays[:, :-1], agenda, self._shifted(agenda, NONE))
             agenda[every, best] = self._pairs(made, symbols[every, best + 1])
             inner = np.flatnonzero(best)
             agenda[inner, best[inner] - 1] = self._pairs(symbols[inner, best[inner] - 1], made[inner])
-        flat, ends = done[done >= 0].tolist(), np.cumsum((done >= 0).sum(1)).tolist()
+        flat, ends = done[done >= 0].astype(np.int32).tobytes(), (4 * np.cumsum((done >= 0).sum(1))).tolist()
         out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         for i in np.flatnonzero((done >= len(self._pieces)).any(1)).tolist():
-            out[i] = [x for s in out[i] for x in self._spell(s)]
+            out[i] = _packed([x for s in done[i][done[i] >= 0].tolist() for x in self._spell(s)])
+        return out
+
+    @staticmethod
+    def _shifted(rows: np.ndarray, last: int) -> np.ndarray:
+        """Each row without its first entry, and ``last`` at its end."""
+        out = np.full_like(rows, last)
+        out[:, :-1] = rows[:, 1:]
         return out
 
     def _spell(self, symbol: int) -> list[int]:
         """The id of a piece, or those of a character's bytes."""
         return [symbol] if symbol < len(self._pieces) else [self.bytes[b] for b in chr(symbol - len(self._pieces)).encode()]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
         known = self._known
         cut = [self._cuts.findall(n) if self._cuts else [n] for n in map(self.library.normalize, texts)]
@@ -149,7 +160,7 @@ class MergeVocabulary:
                 known.update(zip(fresh[at:end], self.merge_all(fresh[at:end], width), strict=True))
             at = end
         known.update((c, self.merge(c)) for c in fresh[at:])
-        out = [list(chain.from_iterable(map(known.__getitem__, c))) for c in cut]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, c)), np.int32) for c in cut]
         for c in fresh[max(0, REMEMBERED - len(known) + len(fresh)) :] if len(known) > REMEMBERED else fresh[at:]:
             known.pop(c)
         return out
@@ -167,13 +178,16 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in slices(batches, 64):
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = words.encode(texts)
             library = words.library.encode(texts, num_threads=1)
-            decoded = words.library.decode(found, num_threads=1)
-            columns = [pa.array(found, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array([a == b for a, b in zip(found, library, strict=True)], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "ids", "decoded", "agrees"])
+            agrees = [np.array_equal(a, np.array(b, np.int32)) for a, b in zip(found, library, strict=True)]
+            same = [b if equal else a.tolist() for equal, a, b in zip(agrees, found, library, strict=True)]
+            decoded = words.library.decode(same, num_threads=1)
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(ends, np.concatenate([*found, np.zeros(0, np.int32)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], ["doc_id", "ids", "decoded", "agrees"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, ids array<int>, decoded string, agrees boolean")
