@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,16 +73,44 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write a loop state to the shared folder and go on from the table.
 
     The loss of an executor then costs no earlier round, and the planner knows the size of the state, so a
-    small one is broadcast and a large one is not.
+    small one is broadcast and a large one is not. ``done`` are earlier states that nothing reads from here on;
+    their folders go once this one is written. Other frames among them are left alone.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/attestry-state/{uuid.uuid4().hex}"
+    for scope in _SCOPES.get():
+        scope.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    give_back(spark, [p for p in (getattr(d, "_state_path", None) for d in done) if p])
+    state = spark.read.schema(df.schema).parquet(path)
+    state._state_path = path
+    return state
+
+
+#: Lists that take down the folders of states, one for each open scope.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def states() -> Iterator[list[str]]:
+    """Folders of the states written inside, for the caller to give back when nothing reads them any more."""
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
+    try:
+        yield mine
+    finally:
+        _SCOPES.reset(token)
+
+
+def give_back(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete folders below the shared one; those that are gone are passed over."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def entry_keys(entries: DataFrame, entry: str = "entry") -> DataFrame:

@@ -6,6 +6,10 @@ lines out and drops a document only if nothing is left of one that had lines; ne
 each group; mixing gives a document as often as its source's weight says, not at all if that is zero times. Packing
 turns what is left into pieces of sequences.
 
+A stage starts when the stage before has been written, so it first gives back the states of that one; ``run`` gives
+back the output of a stage as well once the next one is written. Documents of any length and ties are left to the
+operators: whole texts count, and of equal documents the smallest id stays.
+
 Models and statistics of a stage are those of its own input. Empty tables give empty results, null texts have no
 language, and columns besides those of ``documents`` are not passed on.
 """
@@ -13,6 +17,8 @@ language, and columns besides those of ``documents`` are not passed on.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +26,39 @@ from pyspark.sql import functions as F
 from attestry.llm import lines, mixing, near_text, packing
 from attestry.llm.common import table, with_row_id
 from attestry.llm.language import UNKNOWN, LanguageModel
-from attestry.operators.keyed import shared_folder
+from attestry.operators.keyed import give_back, shared_folder, states
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders of the states of the stage that ran last.
+_OPEN: list[str] = []
+
+
+def _stage(work: Stage) -> Stage:
+    """``work``, which first gives back what the stage before left, unless ``docs`` is still a plan over it."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()}
+        over = [folder for folder in _OPEN if folder.rsplit("/", 1)[-1] not in read]
+        if len(over) == len(_OPEN):
+            give_back(spark, over)
+            _OPEN.clear()
+        with states() as mine:
+            result = work(spark, docs, sf_dir)
+        _OPEN.extend(mine)
+        return result
+
+    return run_stage
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has one language; ``lang`` becomes what the text says."""
     docs = docs.select(*COLUMNS)
@@ -37,12 +67,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(kept.withColumn("lang", F.col("lang_pred")))
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier; one that is left with nothing of its lines goes."""
     left = lines.dedup_lines(docs.select(*COLUMNS))
     return _documents(left.filter((F.col("lines_dropped") == 0) | F.col("text").rlike(r"\S")))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is alike in 0.8 of its five-word shingles: the one with the smallest id.
 
@@ -55,6 +87,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     rows = with_row_id(docs.select(*COLUMNS))
@@ -63,6 +96,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
     return packing.digest(packing.pack(docs.select(*COLUMNS), *packing.vocabulary(), exact=packing.exact_vocabulary()))
@@ -83,8 +117,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-pipeline/{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/corpus-pipeline/{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            give_back(spark, [before])
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
+    result = STAGES[-1][1](spark, docs, sf_dir)
+    _OPEN.clear()  # the result still reads the states of its stage; they are the caller's
+    return result

@@ -80,3 +80,32 @@ def test_child_carves_out_of_its_parent_only_below_the_parents_entries(spark):
     maps = spark.createDataFrame([("g", "n", "src"), ("g", "n", "l*/*.py"), ("g", "n/k", "src/x"), ("g", "n/k", "lib/c.py")], "graph_id string, node_path string, entry string")
     got = {(r.node_path, r.path) for r in own.expand_mapping(nodes, maps, files).collect()}
     assert got == {("n", "src/a.py"), ("n", "lib/c.py"), ("n/k", "src/x/b.py"), ("n/k", "lib/c.py")}
+
+
+def test_weighted_join_splits_keys_by_weight(spark):
+    from attestry.operators.keyed import cut_lineage, weighted_join
+
+    big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(3000)] + [(None, -1), ("none", -2)], "k string, v int")
+    small = cut_lineage(big.filter("k <> 'none'").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top")))
+    want = sorted(map(tuple, big.join(small.drop("n"), "k", "left").collect()), key=str)
+    joined = weighted_join(big, small, ["k"], "n", "left", parts=16)
+    assert joined.columns == ["k", "v", "top"]
+    assert sorted(map(tuple, joined.collect()), key=str) == want
+    assert weighted_join(big.limit(0), small.limit(0), ["k"], "n").collect() == []
+
+
+def test_states_are_given_back(spark):
+    from pathlib import Path
+
+    from attestry.operators.keyed import cut_lineage, give_back, shared_folder, states
+
+    root = Path(shared_folder(spark).removeprefix("file:")) / "attestry-state"
+    with states() as mine:
+        first = cut_lineage(spark.range(5))
+        second = cut_lineage(first.withColumn("two", F.col("id") * 2), done=(first, spark.range(1)))
+    assert len(mine) == 2 and [(root / m.rsplit("/", 1)[-1]).exists() for m in mine] == [False, True]
+    assert second.count() == 5
+    give_back(spark, mine)
+    assert not any((root / m.rsplit("/", 1)[-1]).exists() for m in mine)
+    cut_lineage(spark.range(2))
+    assert len(mine) == 2
