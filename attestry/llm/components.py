@@ -23,13 +23,14 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         points = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_n")).select("node", F.least("node", "_n").alias("to")))
         onward = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        far = points
         for _ in range(2):
-            points = points.join(onward, "to").select("node", F.col("next").alias("to"))
-        points = cut_lineage(points)
+            far = far.join(onward, "to").select("node", F.col("next").alias("to"))
+        points = cut_lineage(far, done=(points,))
         moved = points.select(F.col("node").alias("label"), "to")
-        labels = cut_lineage(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        labels = cut_lineage(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), done=(labels,))
         a, b = points.select(F.col("node").alias("a"), F.col("to").alias("_a")), points.select(F.col("node").alias("b"), F.col("to").alias("_b"))
-        edges = cut_lineage(edges.join(a, "a").join(b, "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        edges = cut_lineage(edges.join(a, "a").join(b, "b").filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), done=(edges, points))
     return labels
 
 

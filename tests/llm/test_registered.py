@@ -90,3 +90,17 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         spark.createDataFrame(data, COLUMNS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         got = pipeline.run(spark, f"{tmp_path}/{name}").toPandas()
         assert set(got["doc_id"].dropna()) <= {10, 11, 12} and (len(got) > 0) == (name == "odd")
+
+
+def test_pipeline_leaves_only_what_its_result_reads(spark, tmp_path):
+    from attestry.operators.keyed import shared_folder
+
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = {p for top in ("attestry-state", "corpus-pipeline") for p in root.glob(f"{top}/*")}
+    rows = [(k, f"the old house by the river number {k} " * 9 + "\n" + "und der alte Mann am Fluss " * 3, "en", "s", 10, "x") for k in range(60)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/in/documents.parquet")
+    pieces = pipeline.run(spark, f"{tmp_path}/in")
+    left = {p for top in ("attestry-state", "corpus-pipeline") for p in root.glob(f"{top}/*")} - before
+    states, outputs = [p for p in left if p.parent.name == "attestry-state"], [p for p in left if p.parent.name == "corpus-pipeline"]
+    assert len(states) == 2 and [sorted(d.name for d in o.iterdir()) for o in outputs] == [["mixing"]]
+    assert pieces.count() > 0
