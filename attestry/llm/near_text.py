@@ -38,13 +38,17 @@ HUB_ROUNDS, PART = 2, 512
 WIDTH = 5
 
 
+#: Words whose hash a task remembers, about 30 MB; any other is hashed when it comes.
+REMEMBERED = 200_000
+
+
 class Words(dict):
-    """Word to 64-bit hash; emptied when it grows large."""
+    """Word to 64-bit hash; the first ones met are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < REMEMBERED:
+            self[word] = value
         return value
 
 
