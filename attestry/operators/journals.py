@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.text import sha256_text
-from attestry.operators.keyed import salted_join, top_n
+from attestry.operators.keyed import cut_lineage, salted_join, top_n
 
 NODE = ["graph_id", "node_path"]
 # The forms of a header line and of a timestamp.
@@ -54,37 +55,138 @@ def fence_spans(content: Column | str) -> Column:
     return F.aggregate(marks, start, step, finish)
 
 
-def journal_lines(journals: DataFrame) -> DataFrame:
-    """Lines of each journal with their byte offset; ``fenced`` marks those inside a code fence, ends included, ``last`` the last."""
-    rows = journals.filter("content <> ''").withColumn("_fences", F.when(F.col("content").contains("```"), fence_spans("content")))
-    w = Window.partitionBy(*NODE).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.exists("_fences", lambda f: (F.col("line") >= f["first"]) & (f["last"].isNull() | (F.col("line") <= f["last"])))
-    return (
-        rows.select(*NODE, "_fences", F.split("content", "\n", -1).alias("_l")).select(*NODE, "_fences", F.size("_l").alias("_n"), F.posexplode("_l").alias("_i", "text"))
-        .withColumn("line", (F.col("_i") + 1).cast("long"))
-        .select(
-            *NODE, "line", "text", (F.col("line") == F.col("_n")).alias("last"),
-            F.coalesce(F.sum(F.octet_length("text") + 1).over(w), F.lit(0)).cast("long").alias("start"),
-            F.coalesce(inside, F.lit(False)).alias("fenced"),
-        )
+#: Lines of a block. Windows and folds stay inside one; what crosses blocks is one small row for each.
+BLOCK = 4096
+
+
+def _mark(text: Column) -> dict[str, Column]:
+    """What a line means to the scan: how many ticks it opens or closes a fence with, whether it may close one, its header."""
+    return {
+        "ticks": F.length(F.regexp_extract(text, r"^(`{3,})", 1)),
+        "bare": F.trim(F.regexp_replace(text, r"^`{3,}", "")) == "",
+        "head": F.regexp_extract(text, HEADER, 1) != "",
+    }
+
+
+def _after(open_: Column, m: Column) -> Column:
+    """Ticks open after a fence line, given those open before it; 0 is none."""
+    return F.when(open_ == 0, m["ticks"]).when(m["bare"] & (m["ticks"] >= open_), F.lit(0)).otherwise(open_)
+
+
+def blocks_of_text(journals: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``block, texts, n``: each journal's lines in blocks, cut where the text is read; ``n`` counts its lines."""
+    rows = journals.filter("content <> ''").select(*NODE, F.split("content", "\n", -1).alias("_l")).withColumn("n", F.size("_l").cast("long"))
+    cut = lambda k: F.struct(k.alias("block"), F.slice("_l", k * size + 1, F.lit(size)).alias("texts"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int")), cut)
+    return rows.select(*NODE, "n", F.explode(blocks).alias("_b")).select(*NODE, F.col("_b.block").cast("long").alias("block"), "_b.texts", "n")
+
+
+def blocks_of_lines(lines: DataFrame, size: int = BLOCK) -> DataFrame:
+    """As ``blocks_of_text``, from rows ``(line, text)`` with lines counted from 1, so that no task holds a whole journal."""
+    block = F.floor((F.col("line") - 1) / size).alias("block")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])
+    blocks = lines.groupBy(*NODE, block).agg(texts.alias("texts"))
+    return blocks.join(lines.groupBy(*NODE).agg(F.max("line").alias("n")), NODE)
+
+
+def block_states(blocks: DataFrame) -> DataFrame:
+    """What a block does to the scan, whatever stands before it: ``opened, heads, closers, size``.
+
+    Entered with no fence open it leaves ``opened`` ticks open after ``heads`` headers. Entered with ``k`` open, the first
+    of ``closers`` with ``ticks >= k`` says the same; if there is none, ``k`` stay open and no header counts. These
+    functions compose, so blocks are folded apart from each other.
+    """
+    marks = F.filter(F.transform("texts", lambda t: F.struct(*[c.alias(n) for n, c in _mark(t).items()])), lambda m: (m["ticks"] > 0) | m["head"])
+    start = F.struct(F.lit(0).alias("opened"), F.lit(0).cast("long").alias("heads"), F.array().cast("array<struct<ticks:int,opened:int,heads:bigint>>").alias("closers"))
+
+    def moved(state: Column, m: Column) -> list[Column]:
+        fence = m["ticks"] > 0
+        return [
+            F.when(fence, _after(state["opened"], m)).otherwise(state["opened"]).alias("opened"),
+            (state["heads"] + (~fence & (state["opened"] == 0)).cast("long")).alias("heads"),
+        ]
+
+    def step(acc: Column, m: Column) -> Column:
+        seen = F.transform(acc["closers"], lambda c: F.struct(c["ticks"].alias("ticks"), *moved(c, m)))
+        widest = F.coalesce(F.try_element_at(acc["closers"], F.lit(-1))["ticks"], F.lit(0))
+        new = F.struct(m["ticks"].alias("ticks"), F.lit(0).alias("opened"), F.lit(0).cast("long").alias("heads"))
+        return F.struct(*moved(acc, m), F.when(m["bare"] & (m["ticks"] > widest), F.concat(seen, F.array(new))).otherwise(seen).alias("closers"))
+
+    size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t) + 1)
+    return blocks.select(*NODE, "block", F.aggregate(marks, start, step).alias("_s"), size.alias("size")).select(*NODE, "block", "_s.*", "size")
+
+
+def block_starts(states: DataFrame) -> DataFrame:
+    """``open0, pos0, start0`` of each block: ticks open, headers and bytes before it. One row a block goes through a journal's group."""
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        open_ = pos = start = 0
+        out = []
+        for opened, heads, closers, size in zip(rows["opened"], rows["heads"], rows["closers"], rows["size"], strict=True):
+            out.append((open_, pos, start))
+            if open_:
+                closer = next((c for c in closers if c["ticks"] >= open_), None)
+                opened, heads = (closer["opened"], closer["heads"]) if closer else (open_, 0)
+            open_, pos, start = int(opened), pos + int(heads), start + int(size)
+        return rows[[*NODE, "block"]].assign(**dict(zip(("open0", "pos0", "start0"), zip(*out, strict=True), strict=True)))
+
+    return states.groupBy(*NODE).applyInPandas(scan, "graph_id string, node_path string, block long, open0 int, pos0 long, start0 long")
+
+
+def scan_lines(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``line, text, ts, pos, start, fenced, opened, fence, last`` of each line.
+
+    ``ts`` is what a header holds, else empty; ``pos`` the headers outside fences up to here; ``start`` the byte offset;
+    ``fenced`` lines lie in a code fence, its ends included; ``opened`` ticks are open behind the line.
+    """
+    several = blocks.filter(F.col("n") > size)
+    held = blocks.join(block_starts(block_states(several)), [*NODE, "block"], "left").fillna(0, ["open0", "pos0", "start0"])
+    first = F.col("block") * size + 1
+    each = held.select(*NODE, "block", "n", "open0", "pos0", "start0", F.posexplode("texts").alias("_i", "text")).withColumn("line", first + F.col("_i"))
+    m = _mark(F.col("text"))
+    lines = each.select(
+        *NODE, "block", "line", "text", F.regexp_extract("text", HEADER, 1).alias("ts"), (m["ticks"] > 0).alias("fence"), (F.col("line") == F.col("n")).alias("last"),
+        (F.octet_length("text") + 1).cast("long").alias("_size"), "open0", "pos0", "start0", F.lit(None).cast("int").alias("_opened"), F.lit(True).alias("_is_line"),
     )
+    # fence lines are few: their states are folded for each block and meet the lines as rows of their own
+    marks = F.filter(F.transform("texts", lambda t, i: F.struct(i.alias("i"), *[c.alias(n) for n, c in _mark(t).items()])), lambda x: x["ticks"] > 0)
+    start = F.struct(F.array().cast("array<struct<i:int,opened:int>>").alias("out"), F.col("open0").alias("opened"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = _after(acc["opened"], x)
+        return F.struct(F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), now.alias("opened")))).alias("out"), now.alias("opened"))
+
+    fenced = held.filter(F.exists("texts", lambda t: t.startswith("```")))
+    told = fenced.select(*NODE, "block", first.alias("_first"), F.explode(F.aggregate(marks, start, step)["out"]).alias("_m"))
+    events = told.select(*NODE, "block", (F.col("_first") + F.col("_m.i")).alias("line"), F.col("_m.opened").alias("_opened"), F.lit(False).alias("_is_line"))
+    w = Window.partitionBy(*NODE, "block").orderBy("line", "_is_line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.unionByName(events, allowMissingColumns=True).withColumn("opened", F.coalesce(F.last("_opened", ignorenulls=True).over(w), "open0"))
+    rows = rows.withColumn("fenced", F.col("fence") | (F.col("opened") > 0)).withColumn("_head", (F.col("_is_line") & (F.col("ts") != "") & ~F.col("fenced")).cast("long"))
+    return rows.withColumns({
+        "pos": F.col("pos0") + F.sum(F.coalesce("_head", F.lit(0))).over(w),
+        "start": F.col("start0") + F.sum(F.coalesce("_size", F.lit(0))).over(w) - F.col("_size"),
+    }).filter("_is_line").select(*NODE, "line", "text", "ts", "pos", "start", "fenced", "opened", "fence", "last")
+
+
+def journal_lines(journals: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``scan_lines`` of whole texts."""
+    return scan_lines(blocks_of_text(journals, size), size)
 
 
 def entry_spans(headers: DataFrame) -> DataFrame:
-    """Adds ``end``: the start of the next header, else the text length ``size``."""
-    w = Window.partitionBy(*NODE).orderBy("start")
-    return headers.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("size")))
+    """Adds ``end``: the start of the next header, else the text length ``size``. Headers come with their ``pos`` from 1."""
+    following = headers.select(*NODE, (F.col("pos") - 1).alias("pos"), F.col("start").alias("_next"))
+    return headers.join(following, [*NODE, "pos"], "left").withColumn("end", F.coalesce("_next", "size")).drop("_next")
 
 
-def journal_split(journals: DataFrame) -> DataFrame:
-    """Entries ``(node, pos, ts, body, start, end)`` at headers outside fences.
+def journal_split(journals: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Entries ``(node, pos, ts, body, start, end)`` at headers outside fences; see ``split_lines``."""
+    return split_lines(journal_lines(journals, size))
 
-    Lines are numbered by a running count of headers and put together for each entry; the text of a journal is in
-    no window and no join.
-    """
-    w = Window.partitionBy(*NODE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    ts = F.when(~F.col("fenced"), F.regexp_extract("text", HEADER, 1))
-    lines = journal_lines(journals).withColumn("ts", ts).withColumn("pos", F.sum(F.when(F.col("ts") != "", 1).otherwise(0)).over(w).cast("long"))
+
+def split_lines(lines: DataFrame) -> DataFrame:
+    """Entries of scanned lines. Only the lines of one entry come together."""
     entries = lines.filter("pos > 0").groupBy(*NODE, "pos").agg(
         F.min_by("ts", "line").alias("ts"), F.min("start").alias("start"), F.max(F.col("start") + F.octet_length("text")).alias("_stop"),
         F.bool_or("last").alias("_last"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_l"),
@@ -121,10 +223,12 @@ def journal_order(entries: DataFrame) -> DataFrame:
 
 
 def latest_entry(journals: DataFrame, entries: DataFrame) -> DataFrame:
-    """Newest entry per node and the baseline it gives: timestamp and digest of the bytes up to its end."""
-    last = entries.groupBy(*NODE).agg(F.max_by(F.struct("ts", "end"), F.col("pos")).alias("l")).select(*NODE, "l.ts", "l.end")
-    text = journals.select(*NODE, F.encode("content", "UTF-8").alias("_b"))
-    return last.join(text, NODE).select(*NODE, "ts", F.sha2(F.substring("_b", F.lit(1), F.col("end").cast("int")), 256).alias("prefix_hash"))
+    """Newest entry per node and the baseline it gives: timestamp and digest of the bytes up to its end.
+
+    The last entry ends where the text does, so the digest is taken where the text is read; the text is in no join.
+    """
+    last = entries.groupBy(*NODE).agg(F.max_by("ts", "pos").alias("ts"))
+    return last.join(journals.select(*NODE, sha256_text("content").alias("prefix_hash")), NODE)
 
 
 def recent_entries(entries: DataFrame, n: int | None = 10) -> DataFrame:
@@ -134,31 +238,32 @@ def recent_entries(entries: DataFrame, n: int | None = 10) -> DataFrame:
     return top_n(entries, NODE, [F.col("pos").desc()], n)
 
 
-def journal_format(journals: DataFrame) -> DataFrame:
-    """Format faults with line numbers: bad start, header or timestamp, level-2 header in a body, out of order,
-    duplicate, unclosed fence."""
-    lines = journal_lines(journals).withColumn("ts", F.regexp_extract("text", HEADER, 1))
-    free = lines.filter(~F.col("fenced"))
-    fault = lambda df, why: df.select(*NODE, "line", F.lit(why).alias("reason"))
-    bad_start = fault(lines.filter("line = 1 and ts = ''"), "invalid_start")
-    heads = free.filter("ts <> ''")
-    strict = heads.filter(F.col("ts").rlike(STRICT_TS))
-    loose = heads.filter(~F.col("ts").rlike(STRICT_TS))
-    readable = F.try_to_timestamp("ts").isNotNull()
-    bad_head, bad_ts = fault(loose.filter(~readable), "invalid_header"), fault(loose.filter(readable), "invalid_datetime")
-    first = heads.groupBy(*NODE).agg(F.min("line").alias("_first"))
-    inner = free.filter("ts = '' and text like '## %'").join(first, NODE).filter("line > _first")
-    order = journal_order(strict.select(*NODE, F.col("line").alias("pos"), "ts")).select(*NODE, F.col("pos").alias("line"), "reason")
-    unclosed = (
-        journals.filter(F.col("content").contains("```"))
-        .select(*NODE, F.try_element_at(fence_spans("content"), F.lit(-1)).alias("f"))
-        .filter("f is not null and f.last is null")
-        .select(*NODE, F.col("f.first").alias("line"))
-    )
-    return (
-        bad_start.unionByName(bad_head).unionByName(bad_ts).unionByName(fault(inner, "level2_header_in_body"))
-        .unionByName(order).unionByName(fault(unclosed, "unclosed_code_fence"))
+def journal_format(journals: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Format faults of whole texts; see ``format_faults``."""
+    return format_faults(journal_lines(journals, size))
+
+
+def format_faults(lines: DataFrame) -> DataFrame:
+    """Format faults of scanned lines with line numbers: bad start, header or timestamp, level-2 header in a body, out of
+    order, duplicate, unclosed fence."""
+    strict, readable = F.col("ts").rlike(STRICT_TS), F.try_to_timestamp("ts").isNotNull()
+    header = (F.col("ts") != "") & ~F.col("fenced")
+    stray = ~F.col("fenced") & (F.col("ts") == "") & F.col("text").like("## %") & (F.col("pos") > 0)
+    why = F.array_compact(F.array(
+        F.when((F.col("line") == 1) & (F.col("ts") == ""), F.lit("invalid_start")),
+        F.when(header & ~strict & ~readable, F.lit("invalid_header")),
+        F.when(header & ~strict & readable, F.lit("invalid_datetime")),
+        F.when(stray, F.lit("level2_header_in_body")),
+    ))
+    single = lines.select(*NODE, "line", F.explode(why).alias("reason"))
+    order = journal_order(lines.filter(header & strict).select(*NODE, F.col("line").alias("pos"), "ts")).select(*NODE, F.col("pos").alias("line"), "reason")
+    # the fence line behind which ticks stay open to the end: the first of the last run of open ones
+    fences = lines.filter("fence").groupBy(*NODE).agg(
+        F.max_by("opened", "line").alias("_opened"), F.max(F.when(F.col("opened") == 0, F.col("line"))).alias("_closed")
     )
+    open_ = fences.filter("_opened > 0").select(*NODE, F.coalesce("_closed", F.lit(0)).alias("_closed"))
+    unclosed = lines.filter("fence").select(*NODE, "line").join(open_, NODE).filter("line > _closed").groupBy(*NODE).agg(F.min("line").alias("line"))
+    return single.unionByName(order).unionByName(unclosed.select(*NODE, "line", F.lit("unclosed_code_fence").alias("reason")))
 
 
 def journal_integrity(journals: DataFrame, entries: DataFrame, node_facts: DataFrame) -> DataFrame:
@@ -208,12 +313,18 @@ def merge_journals(versions: DataFrame) -> DataFrame:
     kept = F.col("merged").startswith(F.col("base"))
     flag = lambda df, why: df.select(*NODE, F.lit(why).alias("reason"), F.lit("").alias("ts"))
     whole = clean.filter(kept)
-    side = lambda c: journal_split(whole.select(*NODE, F.col(c).alias("content")))
-    old = side("base").groupBy(*NODE).agg(F.count("*").alias("_n"))
+    # the four texts of a node go through one scan, each as a journal of its own
+    texts = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("content")) for c in ("base", "left", "right", "merged")]))
+    each = whole.select(*NODE, texts.alias("_t")).select("graph_id", F.concat("_t.side", F.lit(":"), "node_path").alias("node_path"), "_t.content")
+    split = cut_lineage(journal_split(each).select(
+        "graph_id", F.substring_index("node_path", ":", 1).alias("_side"), F.expr("substr(node_path, instr(node_path, ':') + 1)").alias("node_path"), "pos", "ts",
+        sha256_text(F.concat("ts", F.lit("\n"), "body")).alias("key"),
+    ))
+    old = split.filter("_side = 'base'").groupBy(*NODE).agg(F.count("*").alias("_n"))
+    later = split.filter("_side <> 'base'").join(old, NODE, "left").filter(F.col("pos") > F.coalesce("_n", F.lit(0)))
 
     def fresh(name: str) -> DataFrame:
-        rows = side(name).join(old, NODE, "left").filter(F.col("pos") > F.coalesce("_n", F.lit(0)))
-        return rows.select(*NODE, "pos", "ts", sha256_text(F.concat("ts", F.lit("\n"), "body")).alias("key"))
+        return later.filter(F.col("_side") == name).select(*NODE, "pos", "ts", "key")
 
     merged = fresh("merged")
     both = fresh("left").unionByName(fresh("right")).select(*NODE, "ts", "key").distinct()

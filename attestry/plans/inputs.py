@@ -182,6 +182,16 @@ INPUTS: dict[str, str] = {
                row_number() OVER (PARTITION BY user_id ORDER BY event_id % 50, event_id) AS pos,
                CONCAT(substr(CAST(ts AS STRING), 1, 10), 'T', substr(CAST(ts AS STRING), 12, 8), '.', lpad(CAST(event_id % 1000 AS STRING), 3, '0'), 'Z') AS ts,
                event_type AS body FROM events""",
+    # journals with every fault there is: entries by kind, with the lines that each takes
+    "rough_entries": """
+        SELECT graph_id, node_path, pos, ts, k, CASE k WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 4 THEN 4 ELSE 2 END AS n,
+               CASE k WHEN 0 THEN concat('## [', substr(ts, 1, 10), ']', chr(10), body, chr(10))
+                      WHEN 1 THEN concat('## [soon]', chr(10), body, chr(10))
+                      WHEN 2 THEN concat('## [', ts, ']', chr(10), '## stray', chr(10), body, chr(10))
+                      WHEN 3 THEN concat('## [', ts, ']', chr(10), '```', chr(10), '## [fenced]', chr(10), '## stray', chr(10), '```', chr(10))
+                      WHEN 4 THEN concat('## [', ts, ']', chr(10), '````x', chr(10), '```', chr(10), '````', chr(10))
+                      ELSE concat('## [', ts, ']', chr(10), body, chr(10)) END AS block
+        FROM (SELECT *, (pos + length(body)) % 11 AS k FROM journal_entries) e""",
     "markers": """
         SELECT 'g0' AS graph_id, concat('u', user_id, '.txt') AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line,
                CASE event_id % 5 WHEN 0 THEN '*' ELSE concat('p', event_id % 5) END AS rule_id,
@@ -300,6 +310,18 @@ class Inputs:
     def journals(self) -> DataFrame:
         return self._stage("journals", self._journals)
 
+    @property
+    def rough_journals(self) -> DataFrame:
+        return self._stage("rough_journals", self._rough_journals)
+
+    def _rough_journals(self) -> DataFrame:
+        """Journal text per node out of the rough entries, some with a line in front, some with a fence left open."""
+        rows = self.rough_entries.groupBy("graph_id", "node_path").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("l"))
+        text = F.array_join(F.transform("l", lambda e: e["block"]), "")
+        front = F.when(F.length("node_path") == 3, "hello\n").otherwise("")
+        tail = F.when(F.col("node_path").endswith("7"), "```\nopen\n## [late]").otherwise("")
+        return rows.select("graph_id", "node_path", F.concat(front, text, tail).alias("content"))
+
     def _journals(self) -> DataFrame:
         """Journal text per node out of its entries."""
         block = F.concat(F.lit("## ["), "ts", F.lit("]\n"), "body", F.lit("\n"))

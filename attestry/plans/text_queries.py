@@ -214,9 +214,35 @@ def journal_order(i: Inputs) -> DataFrame:
     return jou.journal_order(i.journal_entries).select("node_path", "pos", "ts", "reason")
 
 
-@query("SELECT node_path, pos * 2 - 1 AS line, reason FROM faults", FAULTS)
+ROUGH = (
+    "rough",
+    """SELECT *, CAST(sum(n) OVER (PARTITION BY node_path ORDER BY pos) - n + 1 + CASE length(node_path) WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS line FROM rough_entries""",
+)
+
+
+@query(
+    """SELECT node_path, line, 'invalid_datetime' AS reason FROM rough WHERE k = 0
+       UNION ALL SELECT node_path, line, 'invalid_header' FROM rough WHERE k = 1
+       UNION ALL SELECT node_path, line + 1, 'level2_header_in_body' FROM rough WHERE k = 2
+       UNION ALL SELECT DISTINCT node_path, 1, 'invalid_start' FROM rough WHERE length(node_path) = 3
+       UNION ALL SELECT node_path, max(line + n), 'unclosed_code_fence' FROM rough WHERE node_path LIKE '%7' GROUP BY node_path
+       UNION ALL SELECT node_path, line, 'out_of_order' FROM (SELECT *, lag(ts) OVER (PARTITION BY node_path ORDER BY pos) AS p FROM rough WHERE k > 1) WHERE ts <= p
+       UNION ALL SELECT node_path, line, 'duplicate_datetime' FROM (SELECT *, row_number() OVER (PARTITION BY node_path, ts ORDER BY pos) AS c FROM rough WHERE k > 1) WHERE c > 1""",
+    ROUGH,
+)
 def journal_format(i: Inputs) -> DataFrame:
-    return jou.journal_format(i.journals).select("node_path", "line", "reason")
+    return jou.journal_format(i.rough_journals).select("node_path", "line", "reason")
+
+
+@query(
+    """SELECT node_path, CAST(row_number() OVER (PARTITION BY node_path ORDER BY pos) AS BIGINT) AS pos, line,
+              CASE k WHEN 0 THEN substr(ts, 1, 10) WHEN 1 THEN 'soon' ELSE ts END AS ts FROM rough""",
+    ROUGH,
+)
+def journal_headers(i: Inputs) -> DataFrame:
+    """Headers of texts with fences, bad headers and stray lines."""
+    lines = jou.journal_lines(i.rough_journals)
+    return lines.filter("ts <> '' AND NOT fenced").select("node_path", "pos", "line", "ts")
 
 
 @query("SELECT j.node_path, arg_max(ts, pos) AS ts, sha256(any_value(content)) AS prefix_hash FROM journal_entries j JOIN whole w ON w.node_path = j.node_path GROUP BY j.node_path", WHOLE)
@@ -231,7 +257,10 @@ def recent_entries(i: Inputs) -> DataFrame:
 
 @query(
     """SELECT node_path, CASE WHEN length(node_path) = 2 THEN 'boundary_missing' ELSE 'prefix_modified' END AS reason
-       FROM (SELECT DISTINCT node_path FROM journal_entries) WHERE length(node_path) < 4"""
+       FROM (SELECT node_path, arg_max(ts, pos) AS ts, max(pos) AS last FROM journal_entries GROUP BY node_path) l
+       WHERE length(node_path) < 4
+          -- a time that came twice binds to its first entry, whose prefix is not that of the last
+          OR EXISTS (SELECT 1 FROM journal_entries e WHERE e.node_path = l.node_path AND e.ts = l.ts AND e.pos < l.last)"""
 )
 def journal_integrity(i: Inputs) -> DataFrame:
     n = F.length("node_path")
@@ -240,10 +269,7 @@ def journal_integrity(i: Inputs) -> DataFrame:
         "graph_id", "node_path", F.when(n == 2, "1999-01-01T00:00:00.000Z").otherwise(F.col("ts")).alias("last_ts"),
         F.when(n == 3, F.reverse("prefix_hash")).otherwise(F.col("prefix_hash")).alias("prefix_hash"),
     )
-    # a timestamp that came twice binds to its first entry; the digest there is another one
-    first = split.groupBy("graph_id", "node_path", F.col("ts").alias("last_ts")).agg(F.count("*").alias("c"))
-    once = facts.join(first, ["graph_id", "node_path", "last_ts"], "left").filter("c IS NULL OR c = 1 OR length(node_path) < 4").drop("c")
-    return jou.journal_integrity(i.journals, split, once).drop("graph_id")
+    return jou.journal_integrity(i.journals, split, facts).drop("graph_id")
 
 
 @query("SELECT node_path, 'log-entry-missing' AS code FROM (SELECT DISTINCT node_path FROM journal_entries) WHERE length(node_path) = 3")

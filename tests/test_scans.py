@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from attestry.operators import journals as jou
 from attestry.operators import waivers as wai
 
@@ -78,3 +80,60 @@ def test_no_text_of_a_journal_in_windows_or_joins(spark):
     assert got == [("h", 1, "a", "", 0, 7), ("h", 2, "b", "", 7, 13), ("n", 1, "a", "x\n```\n## [b]\n```\n", 0, 24), ("n", 2, "c", "y", 24, 32)]
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.split("\n") if ("Window" in line or "Join" in line or "Exchange" in line) and "content" in line]
+
+
+def _plain_scan(text):
+    """Lines of a journal by a plain state machine: (line, pos, start, fenced, opened)."""
+    import re
+
+    ticks = pos = start = 0
+    out = []
+    for n, line in enumerate(text.split("\n"), 1):
+        m = re.match(r"`{3,}", line)
+        inside = ticks > 0
+        if m:
+            if not ticks:
+                ticks = len(m[0])
+            elif not line[len(m[0]):].strip(" ") and len(m[0]) >= ticks:
+                ticks = 0
+        elif not ticks and re.match(jou.HEADER, line):
+            pos += 1
+        out.append((n, pos, start, bool(m) or inside, ticks))
+        start += len(line.encode()) + 1
+    return out
+
+
+def test_scan_in_blocks_equals_a_plain_scan(spark):
+    rng = random.Random(8)
+    kinds = ["## [2024-01-01T00:00:00.000Z]", "## [b]", "text é", "", "```", "````", "`````", "```py", "````  ", "## stray", "``` x"]
+    texts = {f"n{k}": "\n".join(rng.choices(kinds, k=rng.randint(1, 60))) for k in range(60)}
+    rows = spark.createDataFrame([("g", k, t) for k, t in texts.items()], "graph_id string, node_path string, content string")
+    loose = rows.select("graph_id", "node_path", F.posexplode(F.split("content", "\n", -1)).alias("i", "text")).withColumn("line", F.col("i").cast("long") + 1)
+    for blocks in (jou.blocks_of_text(rows, 4), jou.blocks_of_lines(loose, 4), jou.blocks_of_text(rows, 1)):
+        size = 1 if blocks.filter("size(texts) > 1").isEmpty() else 4
+        got = {k: [] for k in texts}
+        for r in jou.scan_lines(blocks, size).collect():
+            got[r.node_path].append((r.line, r.pos, r.start, r.fenced, r.opened))
+        assert {k: sorted(v) for k, v in got.items()} == {k: _plain_scan(t) for k, t in texts.items() if t}
+    faults = [sorted(map(tuple, jou.journal_format(rows, size).collect())) for size in (1, 5, 1000)]
+    assert faults[0] == faults[1] == faults[2]
+    entries = [sorted(map(tuple, jou.journal_split(rows, size).collect())) for size in (2, 1000)]
+    assert entries[0] == entries[1]
+
+
+def test_no_window_over_a_whole_journal(spark):
+    journals = spark.createDataFrame([("g", "n", "## [a]\nx")], "graph_id string, node_path string, content string")
+    for frame in (jou.journal_split(journals), jou.format_faults(jou.journal_lines(journals)).filter("reason not like '%order%'")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        specs = [line for line in plan.split("\n") if "windowspecdefinition" in line]
+        assert specs and all("block" in line or "_s#" in line for line in specs)
+        assert not [line for line in specs if "_s#" in line and "lead" not in line and "lag" not in line]
+
+
+def test_a_long_journal_is_scanned_in_many_tasks(spark):
+    n = 400_000
+    text = F.when(F.col("id") % 50 == 0, F.lit("## [2024-01-01T00:00:00.000Z]")).when(F.col("id") % 50 == 7, F.lit("```")).when(F.col("id") % 50 == 9, F.lit("```")).otherwise(F.lit("x"))
+    lines = spark.range(n).select(F.lit("g").alias("graph_id"), F.lit("n").alias("node_path"), (F.col("id") + 1).alias("line"), text.alias("text"))
+    scanned = jou.scan_lines(jou.blocks_of_lines(lines))
+    top = scanned.withColumn("task", F.spark_partition_id()).agg(F.max("pos"), F.max("line"), F.sum(F.col("fenced").cast("int")), F.countDistinct("task")).first()
+    assert tuple(top)[:3] == (n // 50, n, 3 * n // 50) and top[3] > 1
