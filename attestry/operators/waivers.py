@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.paths import is_glob, normalize_path
-from attestry.operators.keyed import salt_of, salted_join, salts_of
+from attestry.operators.keyed import cut_lineage, salted_join, weighted_join
 
 MARKER_WORD = "waive"
 SPAN = ["graph_id", "file", "rule_id"]
@@ -94,20 +94,44 @@ def waived_ranges(markers: DataFrame, file_sizes: DataFrame) -> DataFrame:
     return single.unionByName(spans)
 
 
-def drop_waived(findings: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Remove findings on waived lines; one without file or line always stays."""
-    n = salts_of(findings)
-    r = ranges.select(
-        F.col("graph_id").alias("_g"), F.col("file").alias("_f"), F.col("rule_id").alias("_r"), "start_line", "end_line", "wildcard",
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_t"),
-    )
-    # findings of one file spread over the salts, its few spans are repeated
-    hit = (
-        (F.col("graph_id") == F.col("_g")) & (F.col("file") == F.col("_f")) & (F.col("_salt") == F.col("_t"))
-        & F.col("line").between(F.col("start_line"), F.col("end_line"))
-        & (F.col("wildcard") | (F.col("rule_id") == F.col("_r")))
-    )
-    return findings.withColumn("_salt", salt_of(findings, n)).join(r, hit, "left_anti").drop("_salt")
+#: Lines of a file that one window looks at; what crosses is one number for each stretch.
+STRETCH = 4096
+
+
+def waived_lines(places: DataFrame, ranges: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Which of the distinct ``places`` (graph, file, rule, line) lie in a span of their rule or of all rules.
+
+    Spans open and close at lines; a place is waived if more spans are open there than none. Opens, closes and places
+    are one stream for each file and rule (and one for all rules), summed in stretches of lines, so no place meets a span.
+    """
+    at = ["graph_id", "file", "rule_id", "wildcard"]
+    rule = F.when(F.col("wildcard"), F.lit("")).otherwise(F.col("rule_id")).alias("rule_id")
+    spans = ranges.filter("start_line <= end_line").select("graph_id", "file", rule, "wildcard", "start_line", "end_line")
+    ends = F.explode(F.array(F.struct(F.col("start_line").alias("line"), F.lit(1).alias("by")), F.struct((F.col("end_line") + 1).alias("line"), F.lit(-1).alias("by"))))
+    turns = spans.select(*at, ends.alias("_e")).groupBy(*at, "_e.line").agg(F.sum("_e.by").alias("by")).filter("by <> 0")
+    both = places.withColumn("wildcard", F.lit(False)).unionByName(places.select("graph_id", "file", F.lit("").alias("rule_id"), "line", F.lit(True).alias("wildcard")).distinct())
+    stream = turns.select(*at, "line", "by", F.lit(False).alias("_place")).unionByName(both.select(*at, "line", F.lit(0).cast("long").alias("by"), F.lit(True).alias("_place")))
+    stream = stream.withColumn("_s", F.floor(F.col("line") / stretch))
+    before = Window.partitionBy(*at).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a stretch with turns: the open spans it hands on
+    sums = stream.groupBy(*at, "_s").agg(F.sum("by").alias("_sum")).withColumn("_open", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    inside = Window.partitionBy(*at, "_s").orderBy("line", "_place").rowsBetween(Window.unboundedPreceding, 0)
+    running = stream.withColumn("_inside", F.sum("by").over(inside)).join(sums.select(*at, "_s", "_open"), [*at, "_s"])
+    open_ = running.filter(F.col("_place") & (F.col("_inside") + F.col("_open") > 0))
+    own = open_.filter("NOT wildcard").select("graph_id", "file", "rule_id", "line")
+    every = places.join(open_.filter("wildcard").select("graph_id", "file", "line"), ["graph_id", "file", "line"], "left_semi")
+    return own.unionByName(every.select(*own.columns)).distinct()
+
+
+def drop_waived(findings: DataFrame, ranges: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Remove findings on waived lines; one without file or line always stays.
+
+    Findings are counted by place first; a place that holds many of them is split by its count.
+    """
+    key = ["graph_id", "file", "rule_id", "line"]
+    places = cut_lineage(findings.filter("file is not null and line is not null").groupBy(*key).agg(F.count("*").alias("n")))
+    waived = cut_lineage(places.join(waived_lines(places.select(*key), ranges, stretch), key, "left_semi"))
+    return weighted_join(findings, waived, key, "n", "left_anti")
 
 
 def spans_of_rule(ranges: DataFrame, rule_id: str) -> DataFrame:

@@ -467,25 +467,58 @@ def invalidated_pairs(i: Inputs) -> DataFrame:
     return prs.invalidated_pairs(docs.select("graph_id", "path"), rows, refs, verdicts_of(i), touched, _scope(i)[0]).drop("graph_id")
 
 
+SEEN_NODES = (
+    "seen_nodes",
+    """SELECT DISTINCT n.node_path, v.node_path AS visible_node, v.type FROM dnodes n JOIN dnodes v ON v.node_path = n.node_path OR starts_with(n.node_path, concat(v.node_path, '/'))
+         OR starts_with(v.node_path, concat(n.node_path, '/')) OR (n.node_path = 'g' AND (v.node_path = 'n/src1' OR starts_with(v.node_path, 'n/src1/')))""",
+)
+LISTED = (
+    "listed",
+    """SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir, concat(regexp_extract(path, '[^/]*$'), ':file') AS line FROM files
+       UNION SELECT DISTINCT source, concat(lang, ':dir') FROM files""",
+)
+TOLD = (
+    "told",
+    """SELECT concat('node:', node_path) AS unit_key, node_path, key, split_part(key, ':', 1) AS kind, substr(key, length(split_part(key, ':', 1)) + 2) AS target FROM (
+         SELECT concat('n/', source) AS node_path, unnest([concat('read:', path), concat('read:gone/', path), concat('exists:', path), concat('exists:', source), 'exists:nowhere',
+                concat('list:', source, '/', lang), concat('list:', source), concat('list:gone/', source)]) AS key FROM files
+         UNION SELECT node_path, unnest([concat('graph:', node_path), 'graph:nowhere', concat('graph-children:', node_path), 'graph-children:nowhere',
+                'graph-bytype:shelf', 'graph-bytype:root', 'graph-bytype:none', 'graph-flow:source', 'graph-flow:none']) FROM dnodes)""",
+)
+
+
 @query(
     """SELECT unit_key, key, CASE kind
          WHEN 'read' THEN coalesce((SELECT hash FROM files f WHERE f.path = target), 'missing')
          WHEN 'exists' THEN sha256(CASE WHEN target IN (SELECT path FROM paths) THEN 'file' WHEN target IN (SELECT source FROM documents) THEN 'dir' ELSE 'false' END)
-         WHEN 'graph-children' THEN sha256(coalesce((SELECT string_agg(node_path, chr(10) ORDER BY node_path) FROM dnodes n WHERE n.parent_path = target), '')) ELSE 'missing' END AS hash_now
-       FROM (SELECT concat('node:n/', source) AS unit_key, unnest([concat('read:', path), concat('read:gone/', path), concat('exists:', path), concat('exists:', source), 'exists:nowhere',
-                    concat('graph-children:n/', source), 'graph-children:nowhere', concat('list:gone/', source)]) AS key, split_part(key, ':', 1) AS kind, substr(key, length(split_part(key, ':', 1)) + 2) AS target FROM files)"""
+         WHEN 'list' THEN coalesce((SELECT d FROM listings l WHERE l.dir = target), 'missing')
+         WHEN 'graph' THEN coalesce((SELECT sha256(description) FROM dnodes n WHERE n.node_path = target), 'missing')
+         WHEN 'graph-children' THEN coalesce((SELECT d FROM children c WHERE c.parent_path = target), sha256(''))
+         WHEN 'graph-bytype' THEN coalesce((SELECT d FROM bytype b WHERE b.node_path = t.node_path AND b.type = target), sha256(''))
+         ELSE coalesce((SELECT d FROM byflow f WHERE f.flow = target), sha256('')) END AS hash_now
+       FROM told t""",
+    SEEN_NODES, LISTED, TOLD,
+    ("listings", digest_sql("dir", "SELECT dir, line FROM listed", "d")),
+    ("children", digest_sql("parent_path", "SELECT parent_path, node_path AS line FROM dnodes WHERE parent_path IS NOT NULL", "d")),
+    ("bytype", digest_sql("node_path, type", "SELECT node_path, type, visible_node AS line FROM seen_nodes", "d")),
+    ("byflow", digest_sql("flow", "SELECT type AS flow, node_path AS line FROM dnodes", "d")),
 )
 def reobserve(i: Inputs) -> DataFrame:
     c, lit = F.concat, F.lit
-    keys = F.explode(F.array(
-        c(lit("read:"), "path"), c(lit("read:gone/"), "path"), c(lit("exists:"), "path"), c(lit("exists:"), "source"), lit("exists:nowhere"),
-        c(lit("graph-children:n/"), "source"), lit("graph-children:nowhere"), c(lit("list:gone/"), "source"),
-    ))
     node = c(lit("n/"), "source")
-    touched = i.files.select("graph_id", lit("r").alias("rule_id"), c(lit("node:"), node).alias("unit_key"), node.alias("node_path"), keys.alias("key"))
+    of_files = F.array(
+        c(lit("read:"), "path"), c(lit("read:gone/"), "path"), c(lit("exists:"), "path"), c(lit("exists:"), "source"), lit("exists:nowhere"),
+        c(lit("list:"), "source", lit("/"), "lang"), c(lit("list:"), "source"), c(lit("list:gone/"), "source"),
+    )
+    of_nodes = F.array(
+        c(lit("graph:"), "node_path"), lit("graph:nowhere"), c(lit("graph-children:"), "node_path"), lit("graph-children:nowhere"),
+        lit("graph-bytype:shelf"), lit("graph-bytype:root"), lit("graph-bytype:none"), lit("graph-flow:source"), lit("graph-flow:none"),
+    )
+    asked = i.files.select("graph_id", node.alias("node_path"), F.explode(of_files).alias("key")).union(i.dnodes.select("graph_id", "node_path", F.explode(of_nodes))).distinct()
+    touched = asked.select("graph_id", lit("r").alias("rule_id"), c(lit("node:"), "node_path").alias("unit_key"), "node_path", "key")
     nodes = i.dnodes.withColumn("doc", F.col("description"))
     members = i.dnodes.select("graph_id", F.col("type").alias("flow"), "node_path")
-    return prs.reobserve(touched, i.files, nodes, members).select("unit_key", "key", "hash_now")
+    return prs.reobserve(touched, i.files, nodes, members, _scope(i)[1]).select("unit_key", "key", "hash_now")
 
 
 @query(

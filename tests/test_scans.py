@@ -131,9 +131,30 @@ def test_no_window_over_a_whole_journal(spark):
 
 
 def test_a_long_journal_is_scanned_in_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     n = 400_000
     text = F.when(F.col("id") % 50 == 0, F.lit("## [2024-01-01T00:00:00.000Z]")).when(F.col("id") % 50 == 7, F.lit("```")).when(F.col("id") % 50 == 9, F.lit("```")).otherwise(F.lit("x"))
     lines = spark.range(n).select(F.lit("g").alias("graph_id"), F.lit("n").alias("node_path"), (F.col("id") + 1).alias("line"), text.alias("text"))
     scanned = jou.scan_lines(jou.blocks_of_lines(lines))
     top = scanned.withColumn("task", F.spark_partition_id()).agg(F.max("pos"), F.max("line"), F.sum(F.col("fenced").cast("int")), F.countDistinct("task")).first()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert tuple(top)[:3] == (n // 50, n, 3 * n // 50) and top[3] > 1
+
+
+def test_findings_on_waived_lines_by_sweep(spark):
+    rng = random.Random(12)
+    spans = [("g", f"f{rng.randint(0, 2)}", rng.choice("ab*"), s := rng.randint(1, 40), s + rng.randint(-2, 9)) for _ in range(60)]
+    spans.append(("g", "f9", "a", 3, None))
+    ranges = spark.createDataFrame([(*x[:3], x[3], x[4], x[2] == "*") for x in spans], "graph_id string, file string, rule_id string, start_line long, end_line long, wildcard boolean")
+    found = [("g", f"f{rng.randint(0, 3)}", rng.choice("abc"), rng.randint(1, 50), k) for k in range(500)] + [("g", None, "a", 3, 900), ("g", "f0", "a", None, 901), ("g", "f9", "a", 4, 902)]
+    found += [("g", "f0", "a", 5, 1000)] * 300
+    findings = spark.createDataFrame(found, "graph_id string, file string, rule_id string, line long, k int")
+
+    def kept(f):
+        return not any(f[1] == s[1] and f[3] is not None and s[4] is not None and s[3] <= f[3] <= s[4] and s[2] in ("*", f[2]) for s in spans)
+
+    for stretch in (4, 4096):
+        left = wai.drop_waived(findings, ranges, stretch)
+        assert sorted((tuple(r[c] for c in findings.columns) for r in left.collect()), key=str) == sorted(filter(kept, found), key=str)
+    plan = wai.waived_lines(findings.select("graph_id", "file", "rule_id", "line").distinct(), ranges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "start_line" not in "".join(line for line in plan.split("\n") if "Join" in line)
