@@ -1,15 +1,19 @@
 """Main text of HTML pages by tree scoring.
 
 Elements that are never part of an article (scripts, menus, footers, forms and the like, known by tag or role, and
-hidden ones) are cut. An element whose class or id has a word of what surrounds an article counts half, and is cut
-only if it reads like a menu, if elements of its class hold little of the page's text, or if the whole name says so
-(``comments``, ``cookie-notice``) and the rest of the page is more than a little. Each remaining block of text gives points for its length and its commas,
-less its share of link text, to its container, half of them to the one above, and so on. The container with
-the most points is kept with those of its siblings that read like text; an ``article`` or ``main`` around it is
-kept whole, with its own siblings by the same rule, or those of the outermost one where they are nested.
+hidden ones) are cut. So is an element whose class or id names what surrounds an article (``comments``,
+``cookie-notice``, ``related-posts``), however much text it holds, unless no article or sentence stands outside such elements; an
+``article`` only if the name is that of a comment or the like. A name with such a word among others counts half, and
+its element is cut if it reads like a menu or elements of that name hold little of the page's text; ``no-sidebar``
+or ``comments-open`` say nothing. Each remaining block of text gives points for its length and its commas, less its
+share of link text, to its container, half of them to the one above, and so on. The container with the most points is
+kept with those of its siblings that read like text; an ``article`` or ``main`` around it is kept whole, with its own
+siblings by the same rule, or those of the outermost one where they are nested. Lists of links are left out, but in
+such an ``article`` or ``main`` only where they are its first or last part, without a sentence and without a heading.
 
 Defined results: a null, empty or textless page has an empty text; character references are decoded once; an
-unclosed comment, script or tag runs to the end of the page; repeated pages give repeated rows.
+unclosed comment, script or tag runs to the end of the page; pages of any length are read whole, in one pass; repeated
+pages give repeated rows; of containers with equal points the outermost is the best.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from attestry.llm.common import extended, slices, table
 
 # fixed values: names of HTML elements and the words that pages use for what surrounds an article
 #: What is little of a page's text, from which share of text in links an element with a class word against it reads
-#: like a menu, and what its text counts if it is kept.
-LITTLE, MENU, SUSPECT = 0.25, 0.5, 0.5
+#: like a menu, what its text counts if it is kept, and from how many characters on a block without a full stop is text.
+LITTLE, MENU, SUSPECT, LINE = 0.25, 0.5, 0.5, 60
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template select svg math object canvas audio video noembed noframes xmp".split())
 INLINE = frozenset(
@@ -42,7 +46,15 @@ CUT_WORDS = frozenset(
     " promoted related remark replies reply respond share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription syndication"
     " toolbar widget widgets".split()
 )
-KEEP = frozenset("html body main article".split())
+KEEP = frozenset("html body main".split())
+#: Words that say where or in what shape a part stands, words that turn a name into a remark on the layout, and what speaks against an article.
+SHAPES = frozenset(
+    "area list section box block wrapper wrap container inner outer posts articles items thread form links link bar slot unit panel group post entry"
+    " article page site main top bottom left right".split()
+)
+REMARKS = frozenset("no not non has with without is open closed enabled disabled off".split())
+ARTICLE_WORDS = frozenset("comment comments remark reply replies related ad ads advert advertisement promo".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div section article main body html td th aside nav form footer header blockquote".split())
 LISTS = frozenset("ul ol dl table".split())
@@ -55,12 +67,13 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?<=\s)(hidden)(?=[\s/]|\Z)""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 COMMA = re.compile("[,،、，;]")
+SENTENCE = re.compile(r"[.!?…。！？]['\")\]»”’]*\Z")
 
 
 def is_cut(tag: str, attributes: str, in_article: bool) -> bool | tuple[str, bool]:
     """Whether an element cannot be part of the article.
 
-    Where only a class or id speaks against it: that name, and whether one of its parts is of such words alone.
+    Where only a class or id speaks against it: that name, and whether a part of it is of such words alone.
     """
     if tag in CUT or tag == "header" and not in_article:
         return True
@@ -76,10 +89,13 @@ def is_cut(tag: str, attributes: str, in_article: bool) -> bool | tuple[str, boo
         if name == "role" and value.lower() in CUT_ROLES:
             return True
         if name in ("class", "id"):
-            against = [[w.lower() in CUT_WORDS and not (in_article and w.lower() == "header") for w in WORD.findall(part)] for part in value.split()]
-            if any(map(any, against)):
-                whole = any(part and all(part) for part in against)
-                suspect = (suspect[0], suspect[1] or whole) if suspect else (f"{tag} {name} {value}", whole)
+            for part in value.split():
+                words = [w.lower() for w in WORD.findall(part)]
+                against = [w in (ARTICLE_WORDS if tag == "article" else CUT_WORDS) and not (in_article and w == "header") for w in words]
+                if any(against) and REMARKS.isdisjoint(words):
+                    whole = all(bad or w in SHAPES for bad, w in zip(against, words, strict=True))
+                    if whole or tag != "article":
+                        suspect = (suspect[0], suspect[1] or whole) if suspect else (f"{tag} {name} {value}", whole)
     return suspect
 
 
@@ -211,11 +227,18 @@ class Page:
             held: dict[str, int] = {}
             for element, (why, _) in self.suspects.items():
                 held[why] = held.get(why, 0) + size[element]
+            named, framed = [False] * n, [False] * n
+            for element in range(1, n):
+                named[element] = named[self.parents[element]] or element in self.suspects and self.suspects[element][1]
+                framed[element] = framed[self.parents[element]] or self.tags[element] in ("article", "main")
+            others = any(
+                not named[e] and (framed[e] or SENTENCE.search(text) or len(text) >= LINE) and in_links < MENU * len(text) for e, text, in_links in self.blocks
+            )
             for element in range(1, n):
                 weight[element] = weight[self.parents[element]]
                 if element in self.suspects:
                     why, whole = self.suspects[element]
-                    cut = held[why] < (1 - LITTLE if whole else LITTLE) * size[0] or linked[element] > MENU * size[element]
+                    cut = (others if whole else held[why] < LITTLE * size[0]) or linked[element] > MENU * size[element]
                     weight[element] = 0.0 if cut else weight[element] * SUSPECT
             self.blocks = [b for b in self.blocks if weight[b[0]]]
         return weight
@@ -259,11 +282,44 @@ class Page:
                 if plain or score[element] >= 0.2 * score[best]:
                     roots.add(element)
         inside = [False] * n
+        kept_whole = self.tags[frame] in ("article", "main")
+        at_edge = self._edge_lists(frame) if kept_whole else set()
         for element in range(n):
             menu = self.tags[element] in LISTS and n_links[element] > 1 and linked[element] > 0.6 * size[element]
+            if menu and kept_whole and self._within(element, frame):
+                menu = element in at_edge
             inside[element] = (element in roots or element > 0 and inside[self.parents[element]]) and not menu
         return [text for element, text, _ in self.blocks if inside[element]]
 
+    def _within(self, element: int, frame: int) -> bool:
+        while element > frame:
+            element = self.parents[element]
+        return element == frame
+
+    def _edge_lists(self, frame: int) -> set[int]:
+        """Lists that hold the first or last blocks of ``frame``, have no sentence and no heading in front of them."""
+        mine = [(e, text) for e, text, _ in self.blocks if self._within(e, frame)]
+
+        def list_of(element: int) -> int | None:
+            found = None
+            while element > frame:
+                if self.tags[element] in LISTS:
+                    found = element
+                element = self.parents[element]
+            return found
+
+        out = set()
+        for blocks in (mine, mine[::-1]):
+            edge = list_of(blocks[0][0]) if blocks else None
+            if edge is None:
+                continue
+            held = [k for k, (e, _) in enumerate(blocks) if list_of(e) == edge]
+            before = blocks[len(held)] if blocks is not mine and len(held) < len(blocks) else None
+            plain = not any(SENTENCE.search(blocks[k][1]) for k in held)
+            if plain and len(held) < len(blocks) and not (before and self.tags[before[0]] in HEADINGS):
+                out.add(edge)
+        return out
+
 
 def extract(html: str | None) -> str:
     """Main text of one page: blocks joined by an empty line."""

@@ -135,3 +135,30 @@ A, B = "The first part, long enough, with commas, says this.", "The second part,
 )
 def test_extraction_keeps_every_part(html, text):
     assert extraction.extract(html) == text
+
+
+LONG = "A reader writes at some length, with commas, and with more words than the article itself has in all of its text."
+COMMENTS = "<section id=comments>" + f"<div class=comment><p>{LONG}</p></div>" * 5 + "</section>"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class=post><p>{A}</p></div>{COMMENTS}", A),
+        (f"<main><article><p>{A}</p></article>{COMMENTS}</main>", A),
+        (f"<article><p>Short.</p></article><div class=newsletter><p>{LONG}</p><p>{LONG}</p></div>", "Short."),
+        (f"<article><p>Short.</p></article><div class=related-posts><p>{LONG}</p></div>", "Short."),
+        (f"<div class='cookie-notice'><p>{LONG}</p></div><div><p>{A}</p></div>", A),
+        (f"<div id=cookieBanner><p>{LONG}</p></div><p>Short.</p>", "Short."),
+        (f"<article><p>{A}</p></article><article class=comment><p>{LONG}</p></article>", A),
+        (f"<article class='post comments-open'><p>{A}</p><article class='comment even'><p>{LONG}</p></article></article>", A),
+        (f"<article><p>{A}</p><h2>Further reading</h2><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></article>", f"{A}\n\nFurther reading\n\nOne\n\nTwo"),
+        (f"<article><p>{A}</p><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul><p>{B}</p></article>", f"{A}\n\nOne\n\nTwo\n\n{B}"),
+        (f"<article><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><p>{A}</p><ul><li><a href=x>tag</a></li><li><a href=y>tag two</a></li></ul></article>", A),
+        (f"<div class='widget'><p>{A}</p></div>", A),
+        (f"<div class='widget'><p>{A}</p></div><p>© 2024</p>", f"{A}\n\n© 2024"),
+        (f"<div class=ad>{LONG}</div><article><h1>title only</h1></article>", "title only"),
+    ],
+)
+def test_extraction_by_what_a_part_is(html, text):
+    assert extraction.extract(html) == text
