@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import imports
@@ -353,18 +353,29 @@ def audit_cache(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     return only(a, b, "cached-only").unionByName(only(b, a, "fresh-only"))
 
 
-def global_imports(facts: DataFrame, uses: DataFrame) -> DataFrame:
-    """Offer file-level imports that hold for a whole project to every use of the language, as last candidates.
+def imported_symbols(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Index from a last name to the declared symbols that a project-wide import reaches: ``name, symbol, rank``.
 
-    ``facts`` (graph_id, language, spec) are prefixes; each use gets one more symbol candidate per prefix,
-    after its own.
+    ``facts`` (graph_id, language, spec) are prefixes. A symbol is reached if what stands before its last name is one
+    of them, which is an equality; names of one language are ranked by symbol.
     """
-    prefixes = facts.select("graph_id", "language", "spec").distinct().groupBy("graph_id", "language").agg(
-        F.array_sort(F.collect_set("spec")).alias("_p")
+    key = ["graph_id", "language"]
+    last = F.substring_index("symbol", ".", -1)
+    split = symbols.filter(F.col("symbol").contains(".")).select(
+        *key, "symbol", last.alias("name"), F.expr("left(symbol, length(symbol) - length(substring_index(symbol, '.', -1)) - 1)").alias("spec")
     )
-    rows = salted_join(uses, prefixes, ["graph_id", "language"], "left")
-    name = F.substring_index(F.col("candidates")[0]["spec"], ".", -1)
-    extra = F.transform(
-        "_p", lambda p: F.struct(F.lit("symbol").alias("kind"), F.concat(p, F.lit("."), name).alias("spec"), F.lit(False).alias("is_package"))
-    )
-    return rows.withColumn("candidates", F.when(F.col("_p").isNull(), F.col("candidates")).otherwise(F.concat("candidates", extra))).drop("_p")
+    reached = salted_join(split.distinct(), facts.select(*key, "spec").distinct(), [*key, "spec"], "left_semi")
+    # the symbols of one name, a part of the declarations
+    return reached.select(*key, "name", "symbol").withColumn("rank", F.row_number().over(Window.partitionBy(*key, "name").orderBy("symbol")))
+
+
+def global_imports(facts: DataFrame, uses: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Symbols that exist and that project-wide imports offer to each use, behind its own candidates.
+
+    The last name of a use's first candidate meets the index of names; a use gets a row for each symbol that is
+    declared, with ``pos`` as the place after its own, and no row for a prefix that has no such symbol.
+    """
+    name = F.substring_index(F.get("candidates", F.lit(0))["spec"], ".", -1)
+    named = uses.withColumn("_own", F.size("candidates")).withColumn("name", name).drop("candidates")
+    found = salted_join(named, imported_symbols(facts, symbols), ["graph_id", "language", "name"])
+    return found.withColumn("pos", (F.col("_own") + F.col("rank") - 1).cast("int")).drop("_own", "rank", "name")

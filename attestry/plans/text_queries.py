@@ -397,14 +397,17 @@ def audit_cache(i: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT p.p_partkey AS use_id, CAST(1 + n AS INT) AS candidates FROM part p JOIN (SELECT p_type, count(DISTINCT p_brand) AS n FROM part GROUP BY p_type) k ON k.p_type = p.p_type"""
+    """SELECT p.p_partkey AS use_id, s.symbol, CAST(row_number() OVER (PARTITION BY p.p_partkey ORDER BY s.symbol) AS INT) AS pos FROM part p
+       JOIN (SELECT DISTINCT p_type, p_size % 10 AS n, concat(p_brand, '.Name', p_size % 10) AS symbol, p_brand FROM part WHERE p_partkey % 3 > 0) s ON s.p_type = p.p_type AND s.n = p.p_size % 10
+       WHERE EXISTS (SELECT 1 FROM part f WHERE f.p_type = s.p_type AND f.p_brand = s.p_brand AND f.p_size > 25)"""
 )
 def global_imports(i: Inputs) -> DataFrame:
-    part = i.base("part").withColumn("graph_id", F.lit("g0"))
-    uses = part.select("graph_id", F.col("p_type").alias("language"), F.col("p_partkey").alias("use_id"),
-                       F.array(F.struct(F.lit("symbol").alias("kind"), F.col("p_name").alias("spec"), F.lit(False).alias("is_package"))).alias("candidates"))
-    facts = part.select("graph_id", F.col("p_type").alias("language"), F.col("p_brand").alias("spec"))
-    return dep.global_imports(facts, uses).select("use_id", F.size("candidates").alias("candidates"))
+    part = i.base("part").withColumns({"graph_id": F.lit("g0"), "language": F.col("p_type"), "name": F.concat(F.lit("Name"), F.col("p_size") % 10)})
+    own_candidate = F.struct(F.lit("symbol").alias("kind"), F.concat(F.lit("own."), "name").alias("spec"), F.lit(False).alias("is_package"))
+    uses = part.select("graph_id", "language", F.col("p_partkey").alias("use_id"), F.array(own_candidate).alias("candidates"))
+    facts = part.filter("p_size > 25").select("graph_id", "language", F.col("p_brand").alias("spec"))
+    symbols = part.filter("p_partkey % 3 > 0").select("graph_id", "language", F.concat("p_brand", F.lit("."), "name").alias("symbol"))
+    return dep.global_imports(facts, uses, symbols).select("use_id", "symbol", "pos")
 
 
 _TERMS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> '')"

@@ -51,3 +51,24 @@ def test_ambiguous_candidates_silence_a_use_and_absent_ones_pass(spark):
     none = spark.createDataFrame([], "graph_id string, file string, line long, use_id string, pos int, target string")
     got = {(r.use_id, r.target) for r in dep.resolve_candidates(uses, dep.unique_symbols(decl), none, owners).collect()}
     assert got == {("u1", "na"), ("u3", "na")}
+
+
+def test_project_wide_imports_reach_declared_symbols_only(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    facts = {("g", lang, p) for lang, p in itertools.product("xy", ["A", "A.B", "C"]) if rng.random() < 0.8}
+    symbols = {("g", rng.choice("xy"), f"{rng.choice(['A', 'A.B', 'C', 'D'])}.{rng.choice('pqr')}") for _ in range(30)} | {("g", "x", "plain")}
+    uses = [("g", rng.choice("xyz"), k, [(f"own.{rng.choice('pqr')}",)] * rng.randint(0, 2)) for k in range(40)]
+    key = "graph_id string, language string, "
+    got = dep.global_imports(
+        spark.createDataFrame(sorted(facts), key + "spec string"), spark.createDataFrame(uses, key + "use_id int, candidates array<struct<spec:string>>"),
+        spark.createDataFrame(sorted(symbols), key + "symbol string"),
+    )
+    want = set()
+    for g, lang, use, own in uses:
+        name = own[0][0].rsplit(".", 1)[1] if own else None
+        found = sorted(s for h, m, s in symbols if m == lang and s.rsplit(".", 1)[-1] == name and (g, lang, s.rpartition(".")[0]) in facts)
+        want |= {(use, s, len(own) + k) for k, s in enumerate(found)}
+    assert {(r.use_id, r.symbol, r.pos) for r in got.collect()} == want
