@@ -191,7 +191,8 @@ INPUTS: dict[str, str] = {
                       WHEN 3 THEN concat('## [', ts, ']', chr(10), '```', chr(10), '## [fenced]', chr(10), '## stray', chr(10), '```', chr(10))
                       WHEN 4 THEN concat('## [', ts, ']', chr(10), '````x', chr(10), '```', chr(10), '````', chr(10))
                       ELSE concat('## [', ts, ']', chr(10), body, chr(10)) END AS block
-        FROM (SELECT *, (pos + length(body)) % 11 AS k FROM journal_entries) e""",
+        FROM (SELECT graph_id, node_path, pos, body, k, CASE WHEN k = 6 THEN coalesce(lag(ts) OVER (PARTITION BY node_path ORDER BY pos), ts) ELSE ts END AS ts
+              FROM (SELECT *, (pos + length(body)) % 11 AS k FROM journal_entries) e) r""",
     "markers": """
         SELECT 'g0' AS graph_id, concat('u', user_id, '.txt') AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line,
                CASE event_id % 5 WHEN 0 THEN '*' ELSE concat('p', event_id % 5) END AS rule_id,
