@@ -132,42 +132,6 @@ def run_judges(texts: DataFrame, judge: Callable[[str], str], votes: DataFrame |
     return rows.mapInPandas(batches, schema)
 
 
-def graph_lookups(
-    units: DataFrame, visible: DataFrame, nodes: DataFrame, relations: DataFrame, flow_nodes: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """What a check on a unit may ask of the graph, and the observations that answering it leaves.
-
-    First: context rows ``(PAIR, topic, item, detail)`` over nodes in read scope (node, child, relation-to,
-    relation-from, flow). Second: ``(PAIR, key)`` of the kinds graph, graph-children, graph-bytype, graph-flow.
-    """
-    u = units.select(*PAIR, "node_path").distinct()
-    scope = salted_join(u, visible, ["graph_id", "node_path"])
-    n = nodes.select("graph_id", F.col("node_path").alias("visible_node"), "type", "parent_path")
-    seen = salted_join(scope, n, ["graph_id", "visible_node"])
-    ctx = seen.select(*PAIR, F.lit("node").alias("topic"), F.col("visible_node").alias("item"), F.col("type").alias("detail"))
-    kids = nodes.select("graph_id", F.col("parent_path").alias("visible_node"), F.col("node_path").alias("child")).filter("visible_node is not null")
-    inside = visible.select("graph_id", "node_path", F.col("visible_node").alias("child"))
-    children = scope.join(kids, ["graph_id", "visible_node"]).join(inside, ["graph_id", "node_path", "child"], "left_semi")
-    ctx = ctx.unionByName(children.select(*PAIR, F.lit("child").alias("topic"), F.col("visible_node").alias("item"), F.col("child").alias("detail")))
-    out = relations.select("graph_id", F.col("source").alias("visible_node"), "target", F.col("type").alias("rel"))
-    there = salted_join(out, scope, ["graph_id", "visible_node"])
-    ctx = ctx.unionByName(there.select(*PAIR, F.lit("relation-to").alias("topic"), F.concat_ws(" ", "visible_node", "rel").alias("item"), F.col("target").alias("detail")))
-    ctx = ctx.unionByName(
-        there.join(inside.withColumnRenamed("child", "target"), ["graph_id", "node_path", "target"], "left_semi")
-        .select(*PAIR, F.lit("relation-from").alias("topic"), F.concat_ws(" ", "target", "rel").alias("item"), F.col("visible_node").alias("detail"))
-    )
-    members = salted_join(flow_nodes.select("graph_id", "flow", F.col("node_path").alias("visible_node")), scope, ["graph_id", "visible_node"])
-    ctx = ctx.unionByName(members.select(*PAIR, F.lit("flow").alias("topic"), F.col("flow").alias("item"), F.col("visible_node").alias("detail")))
-    key = lambda df, kind, target: df.select(*PAIR, F.concat(F.lit(kind + ":"), target).alias("key"))
-    observed = (
-        key(seen, "graph", F.col("visible_node"))
-        .unionByName(key(children, "graph-children", F.col("visible_node")))
-        .unionByName(key(seen, "graph-bytype", F.col("type")))
-        .unionByName(key(members, "graph-flow", F.col("flow")))
-    )
-    return ctx.distinct(), observed.distinct()
-
-
 def findings_to_verdicts(pairs: DataFrame, findings: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Verdict per pair: any finding refuses; the reason is the number of its findings and the digest of their lines.
 

@@ -177,3 +177,20 @@ def top_n(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: s
     w2 = Window.partitionBy(*keys).orderBy(*order)
     cut = part.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n).drop("_r", "_salt")
     return cut.withColumn(rank, F.row_number().over(w2)).filter(F.col(rank) <= n)
+
+
+def running_total(rows: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``amount`` over each row and all before it, in the order given.
+
+    Rows are dealt by range, written, and summed inside each range; one number per range crosses ranges.
+    """
+    from pyspark.sql import Window
+
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    # one row per range: as many as there are shuffle partitions, whatever the data
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.sum(amount).alias("_size"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn(name, F.sum(amount).over(inside))
+    return summed.join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")

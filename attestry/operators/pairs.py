@@ -71,13 +71,13 @@ def reobserve(
     files: DataFrame,
     nodes: DataFrame,
     flow_nodes: DataFrame,
-    visible: DataFrame | None = None,
+    scope: DataFrame | None = None,
 ) -> DataFrame:
     """Current value of every stored observation.
 
     ``touched`` holds ``(graph_id, rule_id, unit_key, node_path, key)``; ``files`` carries ``hash`` and
     ``nodes`` carries ``doc``. Gone files, directories and documents give ``missing``; existence hashes its
-    token; sets hash their members, also when empty. ``visible`` (node, visible_node) bounds by-type sets.
+    token; sets hash their members, also when empty. ``scope`` (``visibility.scope_rows``) bounds by-type sets.
     """
     kind, target = split_key("key")
     rows = touched.withColumn("_kind", kind).withColumn("_target", target)
@@ -102,10 +102,11 @@ def reobserve(
     # a target many units looked at is looked up once, then handed out over the salts
     asked = rows.select(g, "_kind", "_target").distinct()
     simple = salted_join(rows, asked.join(table, [g, "_kind", "_target"]), [g, "_kind", "_target"], "left")
-    if visible is not None:
-        typed = nodes.select(g, F.col("node_path").alias("visible_node"), F.col("type").alias("_target"))
-        seen = rows.filter("_kind = 'graph-bytype'").select(g, "node_path", "_target").distinct()
-        members = seen.join(visible, [g, "node_path"]).join(typed, [g, "visible_node", "_target"])
+    if scope is not None:
+        from attestry.operators.visibility import members_by_type
+
+        typed = rows.filter("_kind = 'graph-bytype'").select(g, "node_path", F.col("_target").alias("type"))
+        members = members_by_type(typed, scope, nodes).withColumnRenamed("type", "_target")
         by_type = node_set_hash(members, [g, "node_path", "_target"], "visible_node", "_bt").withColumn("_kind", F.lit("graph-bytype"))
         simple = simple.join(by_type, [g, "node_path", "_target", "_kind"], "left")
     else:
@@ -361,37 +362,11 @@ def invalidated_pairs(
 
 
 def read_scope(nodes: DataFrame, mappings: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a rule on a node may look at: entries ``(node_path, entry)`` and nodes ``(node_path, visible_node)``.
+    """What a rule on a node may look at: entries ``(node_path, entry)``, and nodes as scope rows (see ``visibility``)."""
+    from attestry.operators.visibility import scope_entries, scope_rows
 
-    Own entries without direct-child entries; all entries of ancestors; relation targets with their
-    descendants; own descendants, where direct-child entries in a directory the node itself maps into are
-    carved out.
-    """
-    from attestry.functions.paths import normalize_path
-    from attestry.operators.ownership import node_closure
-
-    g = "graph_id"
-    entries = mappings.select(g, "node_path", normalize_path("entry").alias("entry")).filter("entry <> ''").distinct()
-    closure = node_closure(nodes)
-    everything = node_closure(nodes, with_self=True)
-    direct = closure.filter("dist = 1").select(g, F.col("ancestor").alias("node_path"), F.col("descendant").alias("_child"))
-    child_entries = direct.join(entries.withColumnRenamed("node_path", "_child"), [g, "_child"]).select(g, "node_path", "entry").distinct()
-    own = entries.join(child_entries, [g, "node_path", "entry"], "left_anti")
-    targets = relations.select(g, F.col("source").alias("node_path"), F.col("target").alias("ancestor")).distinct()
-    reached = salted_join(targets, everything.select(g, "ancestor", F.col("descendant").alias("visible_node")), [g, "ancestor"]).select(
-        g, "node_path", "visible_node"
-    ).distinct()
-    above = closure.select(g, F.col("descendant").alias("node_path"), F.col("ancestor").alias("visible_node"))
-    below = closure.select(g, F.col("ancestor").alias("node_path"), F.col("descendant").alias("visible_node"))
-    of = entries.withColumnRenamed("node_path", "visible_node")
-    # every node sees the top of its tree, so the top is a hot key
-    full = salted_join(reached.unionByName(above).distinct(), of, [g, "visible_node"]).select(g, "node_path", "entry")
-    own_dirs = entries.select(g, "node_path", parent_path("entry").alias("_dir")).filter("_dir <> ''").distinct()
-    carve = child_entries.withColumn("_dir", parent_path("entry")).join(own_dirs, [g, "node_path", "_dir"], "left_semi").select(g, "node_path", "entry")
-    down = salted_join(below, of, [g, "visible_node"]).select(g, "node_path", "entry").distinct().join(carve, [g, "node_path", "entry"], "left_anti")
-    me = nodes.select(g, "node_path", F.col("node_path").alias("visible_node"))
-    visible = me.unionByName(reached).unionByName(above).unionByName(below).distinct()
-    return own.unionByName(full).unionByName(down).distinct(), visible
+    scope = scope_rows(nodes, relations)
+    return scope_entries(nodes, mappings, scope), scope
 
 
 def review_cost(pairs: DataFrame, rules: DataFrame, tiers: DataFrame, verdicts: DataFrame, by: list[str]) -> DataFrame:
@@ -444,12 +419,3 @@ def conflicting_observations(observations: DataFrame) -> DataFrame:
         F.min("hash").alias("_lo"), F.max("hash").alias("_hi"), F.min_by("hash", "seq").alias("first_hash")
     )
     return seen.filter("_lo <> _hi").select(*PAIR, "key", "first_hash")
-
-
-def scope_audit(reads: DataFrame, scope: DataFrame) -> DataFrame:
-    """Observed reads ``(graph_id, node_path, path)`` outside the read scope of the node."""
-    from attestry.operators.keyed import entry_matches_file
-
-    hit = entry_matches_file(reads.select("graph_id", "path").distinct(), scope).select("graph_id", "node_path", "path").distinct()
-    return reads.join(hit, ["graph_id", "node_path", "path"], "left_anti")
-

@@ -11,6 +11,7 @@ from attestry.operators import hooks
 from attestry.operators import journals as jou
 from attestry.operators import ownership as own
 from attestry.operators import reach
+from attestry.operators import visibility as vis
 from attestry.operators import waivers as wai
 from attestry.operators.search import search as ranked_search
 from attestry.plans.cascade_queries import CASCADE, effective
@@ -460,19 +461,76 @@ def run_judges(i: Inputs) -> DataFrame:
     return read.select(F.col("rule_id").cast("long").alias("conv_id"), F.col("unit_key").cast("long").alias("turn"), "vote_no", "satisfied")
 
 
+# ancestors of the nodes, scope rows and pairs of who sees whom in the organisation graph, every relation included
+SCOPED = (
+    ("parts", "SELECT node_path, type, parent_path, string_split(node_path, '/') AS p FROM nodes"),
+    ("ups", "SELECT node_path, type, parent_path, unnest([array_to_string(p[1:k], '/') FOR k IN range(1, len(p) + 1)]) AS top FROM parts"),
+    ("numbered", "SELECT node_path, first, first + (SELECT count(*) FROM ups u WHERE u.top = l.node_path) - 1 AS last FROM (SELECT node_path, row_number() OVER (ORDER BY replace(node_path, '/', chr(1))) AS first FROM nodes) l"),
+    ("scoped", """SELECT node_path, top, bool_or(whole) AS whole FROM (SELECT node_path, top, top = node_path AS whole FROM ups
+                  UNION ALL SELECT source, target, TRUE FROM relations) GROUP BY ALL"""),
+    ("sees", "SELECT DISTINCT s.node_path, u.node_path AS visible_node, u.type, u.parent_path FROM scoped s JOIN ups u ON u.top = s.top WHERE s.whole OR u.node_path = s.top"),
+)
+
+
+@query(
+    """SELECT s.node_path, s.top, s.whole, a.first, CASE WHEN s.whole THEN a.last ELSE a.first END AS last FROM scoped s JOIN numbered a ON a.node_path = s.top
+       WHERE NOT EXISTS (SELECT 1 FROM scoped c WHERE c.node_path = s.node_path AND c.whole AND starts_with(s.top, concat(c.top, '/')))""",
+    *SCOPED,
+)
+def visible_stretches(i: Inputs) -> DataFrame:
+    return vis.numbered_stretches(vis.scope_rows(i.nodes, i.relations), vis.tree_labels(i.nodes)).drop("graph_id")
+
+
+ASKS = (
+    "asks",
+    """SELECT node_path, unnest(['node', 'children', 'relations-to', 'relations-from']) AS topic, node_path AS target FROM nodes
+       UNION SELECT node_path, unnest(['node', 'children']), parent_path FROM nodes WHERE parent_path IS NOT NULL
+       UNION SELECT source, unnest(['node', 'relations-from']), target FROM relations
+       UNION SELECT target, 'node', source FROM relations
+       UNION SELECT node_path, 'by-type', unnest(['supplier', 'nation', 'none']) FROM nodes
+       UNION SELECT node_path, 'flow', unnest(['F', 'O', 'none']) FROM nodes
+       UNION SELECT node_path, 'node', 'nowhere' FROM nodes""",
+)
+ANSWERS = (
+    ("permitted", """SELECT a.* FROM asks a WHERE topic IN ('by-type', 'flow') OR EXISTS (SELECT 1 FROM sees s WHERE s.node_path = a.node_path AND s.visible_node = a.target)"""),
+    ("facts", """SELECT 'node' AS topic, node_path AS target, node_path AS item, type AS detail FROM nodes
+                 UNION SELECT 'children', parent_path, node_path, type FROM nodes WHERE parent_path IS NOT NULL
+                 UNION SELECT 'relations-to', source, target, type FROM relations UNION SELECT 'relations-from', target, source, type FROM relations
+                 UNION SELECT 'flow', f.flow, f.node_path, n.type FROM flow_nodes f JOIN nodes n ON n.node_path = f.node_path
+                 UNION SELECT 'by-type', type, node_path, type FROM nodes"""),
+)
+
+
 @query(
-    """SELECT 'node' AS topic, count(*) AS n FROM (SELECT s.node_path, v.node_path FROM nodes s JOIN nodes v ON v.node_path = s.node_path OR starts_with(s.node_path, concat(v.node_path, '/')) OR starts_with(v.node_path, concat(s.node_path, '/')))
-       UNION ALL SELECT 'child', count(*) FROM nodes s JOIN nodes c ON c.parent_path IS NOT NULL AND (starts_with(c.node_path, concat(s.node_path, '/')) OR c.node_path = s.node_path OR starts_with(s.node_path, concat(c.node_path, '/')))
-       UNION ALL SELECT 'flow', count(*) FROM flow_nodes f JOIN nodes s ON s.node_path = f.node_path OR starts_with(s.node_path, concat(f.node_path, '/')) OR starts_with(f.node_path, concat(s.node_path, '/'))"""
+    """SELECT p.node_path, p.topic, p.target, f.item, f.detail FROM permitted p JOIN facts f ON f.topic = p.topic AND f.target = p.target
+         JOIN sees s ON s.node_path = p.node_path AND s.visible_node = f.item
+       UNION ALL SELECT DISTINCT node_path, 'observed', concat(CASE topic WHEN 'children' THEN 'graph-children' WHEN 'by-type' THEN 'graph-bytype' WHEN 'flow' THEN 'graph-flow' ELSE 'graph' END, ':', target), '', '' FROM permitted
+       UNION ALL SELECT node_path, concat('refused ', topic), target, '', '' FROM asks WHERE (node_path, topic, target) NOT IN (SELECT (node_path, topic, target) FROM permitted)""",
+    *SCOPED, ASKS, *ANSWERS,
 )
 def graph_lookups(i: Inputs) -> DataFrame:
-    closure = own.node_closure(i.nodes, with_self=True)
-    up = closure.select("graph_id", F.col("descendant").alias("node_path"), F.col("ancestor").alias("visible_node"))
-    down = closure.select("graph_id", F.col("ancestor").alias("node_path"), F.col("descendant").alias("visible_node"))
-    visible = up.unionByName(down).distinct()
-    units = i.nodes.select("graph_id", F.lit("r").alias("rule_id"), F.concat(F.lit("node:"), "node_path").alias("unit_key"), "node_path")
-    context, _ = hooks.graph_lookups(units, visible, i.nodes, i.relations.filter("type = ''"), i.flow_nodes)
-    return context.groupBy("topic").agg(F.count("*").alias("n"))
+    every = lambda *topics: F.explode(F.array(*[F.lit(t) for t in topics]))
+    nodes, rel = i.nodes.select("graph_id", "node_path", "parent_path"), i.relations
+    cols = ["graph_id", "node_path", "topic", "target"]
+    asks = nodes.select("graph_id", "node_path", every("node", "children", "relations-to", "relations-from").alias("topic"), F.col("node_path").alias("target"))
+    for more in (
+        nodes.filter("parent_path is not null").select("graph_id", "node_path", every("node", "children").alias("topic"), F.col("parent_path").alias("target")),
+        rel.select("graph_id", F.col("source").alias("node_path"), every("node", "relations-from").alias("topic"), "target"),
+        rel.select("graph_id", F.col("target").alias("node_path"), F.lit("node").alias("topic"), F.col("source").alias("target")),
+        nodes.select("graph_id", "node_path", F.lit("by-type").alias("topic"), every("supplier", "nation", "none").alias("target")),
+        nodes.select("graph_id", "node_path", F.lit("flow").alias("topic"), every("F", "O", "none").alias("target")),
+        nodes.select("graph_id", "node_path", F.lit("node").alias("topic"), F.lit("nowhere").alias("target")),
+    ):
+        asks = asks.unionByName(more.select(*cols))
+    units = asks.withColumns({"rule_id": F.lit("r"), "unit_key": F.concat(F.lit("node:"), "node_path")})
+    answers, observed, refused = vis.graph_lookups(units, vis.scope_rows(i.nodes, rel), i.nodes, rel, i.flow_nodes)
+    node = F.substring_index("unit_key", ":", -1).alias("node_path")
+    nothing = [F.lit("").alias("item"), F.lit("").alias("detail")]
+    return (
+        answers.select(node, "topic", "target", "item", "detail")
+        .unionByName(observed.select(node, F.lit("observed").alias("topic"), F.col("key").alias("target"), *nothing))
+        .unionByName(refused.select(node, F.concat(F.lit("refused "), "topic").alias("topic"), "target", *nothing))
+    )
 
 
 @query("SELECT doc_id, replace(to_json(concat(text, chr(92), chr(31), chr(9), '\"')), 'u001F', 'u001f') AS literal FROM documents")

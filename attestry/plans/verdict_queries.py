@@ -13,6 +13,7 @@ from attestry.operators import hooks
 from attestry.operators import ownership as own
 from attestry.operators import pairs as prs
 from attestry.operators import reports as rep
+from attestry.operators import visibility as vis
 from attestry.plans.inputs import Inputs
 from attestry.plans.ownership_queries import CLEAN, MATCH, NODE_FILES
 from attestry.plans.registry import query
@@ -416,30 +417,35 @@ def close_nodes(i: Inputs) -> DataFrame:
     return rows.select("node_path", was.alias("source_is"))
 
 
-READ = (
-    "read_entries",
-    """SELECT DISTINCT n.node_path, c.entry FROM dnodes n JOIN clean c ON
-         starts_with(n.node_path, concat(c.node_path, '/')) OR c.node_path = n.node_path OR starts_with(c.node_path, concat(n.node_path, '/'))
-         OR (n.node_path = 'g' AND (c.node_path = 'n/src1' OR starts_with(c.node_path, 'n/src1/')))""",
+# each shelf uses the shelves of its language in sources with a longer name; french files use a whole source
+DREL = (
+    "drel",
+    """SELECT a.node_path AS source, b.node_path AS target FROM (SELECT DISTINCT source AS s, lang, concat('n/', source, '/', lang) AS node_path FROM documents) a
+       JOIN (SELECT DISTINCT source AS s, lang, concat('n/', source, '/', lang) AS node_path FROM documents) b ON a.lang = b.lang AND length(b.s) > length(a.s)
+       UNION ALL SELECT 'g', 'n/src1' UNION ALL SELECT 'n', 'nowhere'""",
 )
+SEES = """(v.node_path = n.node_path OR starts_with(n.node_path, concat(v.node_path, '/')) OR starts_with(v.node_path, concat(n.node_path, '/'))
+         OR EXISTS (SELECT 1 FROM drel r WHERE r.source = n.node_path AND (v.node_path = r.target OR starts_with(v.node_path, concat(r.target, '/')))))"""
+READ = ("read_entries", f"SELECT DISTINCT n.node_path, v.entry FROM dnodes n JOIN clean v ON {SEES}")
 
 
 def _scope(i: Inputs) -> tuple[DataFrame, DataFrame]:
-    rel = i.dnodes.filter("node_path = 'g'").select("graph_id", F.col("node_path").alias("source"), F.lit("n/src1").alias("target"), F.lit("uses").alias("type"))
-    return prs.read_scope(i.dnodes, i.dmappings, rel)
+    shelves = i.base("documents").select("source", "lang").distinct()
+    one = shelves.select("lang", F.length("source").alias("_n"), F.concat(F.lit("n/"), "source", F.lit("/"), "lang").alias("source"))
+    other = one.select("lang", F.col("_n").alias("_m"), F.col("source").alias("target"))
+    alike = one.join(other, "lang").filter("_m > _n").select(F.lit("g0").alias("graph_id"), "source", "target")
+    fixed = i.dnodes.filter("node_path IN ('g', 'n')").select("graph_id", F.col("node_path").alias("source"), F.when(F.col("node_path") == "g", "n/src1").otherwise("nowhere").alias("target"))
+    return prs.read_scope(i.dnodes, i.dmappings, alike.unionByName(fixed))
 
 
-@query("SELECT node_path, entry FROM read_entries", CLEAN, READ)
+@query("SELECT node_path, entry FROM read_entries", CLEAN, DREL, READ)
 def read_scope(i: Inputs) -> DataFrame:
     return _scope(i)[0].drop("graph_id")
 
 
-@query(
-    """SELECT DISTINCT n.node_path, v.node_path AS visible_node FROM dnodes n JOIN dnodes v ON v.node_path = n.node_path OR starts_with(n.node_path, concat(v.node_path, '/'))
-         OR starts_with(v.node_path, concat(n.node_path, '/')) OR (n.node_path = 'g' AND (v.node_path = 'n/src1' OR starts_with(v.node_path, 'n/src1/')))"""
-)
+@query(f"SELECT DISTINCT n.node_path, v.node_path AS visible_node FROM dnodes n JOIN dnodes v ON {SEES}", DREL)
 def visible_nodes(i: Inputs) -> DataFrame:
-    return _scope(i)[1].drop("graph_id")
+    return vis.visible_nodes(_scope(i)[1], i.dnodes).drop("graph_id")
 
 
 @query(
@@ -457,7 +463,7 @@ def visible_nodes(i: Inputs) -> DataFrame:
        JOIN (SELECT f.path FROM files f JOIN labels l ON l.doc_id = f.doc_id WHERE toxic = 1) f ON f.path = e.entry OR starts_with(f.path, concat(e.entry, '/'))
        WHERE NOT EXISTS (SELECT 1 FROM pair_files q WHERE q.rule_id = p.rule_id AND q.unit_key = p.unit_key AND q.path = f.path)
          AND NOT EXISTS (SELECT 1 FROM pair_files q WHERE q.rule_id = p.rule_id AND q.unit_key = p.unit_key AND q.status = 'enforced' AND regexp_replace(q.path, '/[^/]*$', '') = regexp_replace(f.path, '/[^/]*$', ''))""",
-    *BASE_PAIRS, SUBJECTS, HASHED, READ,
+    *BASE_PAIRS, SUBJECTS, HASHED, DREL, READ,
 )
 def invalidated_pairs(i: Inputs) -> DataFrame:
     docs = i.files.join(i.base("labels"), "doc_id").filter("toxic = 1")
@@ -467,11 +473,7 @@ def invalidated_pairs(i: Inputs) -> DataFrame:
     return prs.invalidated_pairs(docs.select("graph_id", "path"), rows, refs, verdicts_of(i), touched, _scope(i)[0]).drop("graph_id")
 
 
-SEEN_NODES = (
-    "seen_nodes",
-    """SELECT DISTINCT n.node_path, v.node_path AS visible_node, v.type FROM dnodes n JOIN dnodes v ON v.node_path = n.node_path OR starts_with(n.node_path, concat(v.node_path, '/'))
-         OR starts_with(v.node_path, concat(n.node_path, '/')) OR (n.node_path = 'g' AND (v.node_path = 'n/src1' OR starts_with(v.node_path, 'n/src1/')))""",
-)
+SEEN_NODES = ("seen_nodes", f"SELECT DISTINCT n.node_path, v.node_path AS visible_node, v.type FROM dnodes n JOIN dnodes v ON {SEES}")
 LISTED = (
     "listed",
     """SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir, concat(regexp_extract(path, '[^/]*$'), ':file') AS line FROM files
@@ -497,7 +499,7 @@ TOLD = (
          WHEN 'graph-bytype' THEN coalesce((SELECT d FROM bytype b WHERE b.node_path = t.node_path AND b.type = target), sha256(''))
          ELSE coalesce((SELECT d FROM byflow f WHERE f.flow = target), sha256('')) END AS hash_now
        FROM told t""",
-    SEEN_NODES, LISTED, TOLD,
+    DREL, SEEN_NODES, LISTED, TOLD,
     ("listings", digest_sql("dir", "SELECT dir, line FROM listed", "d")),
     ("children", digest_sql("parent_path", "SELECT parent_path, node_path AS line FROM dnodes WHERE parent_path IS NOT NULL", "d")),
     ("bytype", digest_sql("node_path, type", "SELECT node_path, type, visible_node AS line FROM seen_nodes", "d")),
