@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.text import content_hash, json_object, json_string, sha256_text
@@ -14,6 +16,7 @@ from attestry.operators import ownership as own
 from attestry.operators import pairs as prs
 from attestry.operators import reports as rep
 from attestry.operators import visibility as vis
+from attestry.operators.keyed import shared_folder
 from attestry.plans.inputs import Inputs
 from attestry.plans.ownership_queries import CLEAN, MATCH, NODE_FILES
 from attestry.plans.registry import query
@@ -663,6 +666,44 @@ def export_verdict_lines(i: Inputs) -> DataFrame:
     return store.export_verdict_lines(rows).drop("graph_id")
 
 
+STORED = (
+    "written",
+    """SELECT concat('q', doc_id % 9) AS rule_id, concat('file:', doc_id) AS unit_key, CASE WHEN doc_id % 9 < 6 THEN 'computed' ELSE 'judged' END AS kind,
+              CASE WHEN quality = 1 THEN 'approved' ELSE 'refused' END AS verdict, sha256(CAST(doc_id AS VARCHAR)) AS hash, doc_id, toxic FROM labels""",
+)
+
+
+def _verdict_rows(rows: DataFrame, verdict: Column) -> DataFrame:
+    doc = F.col("doc_id").cast("string")
+    return rows.select(
+        F.lit("g0").alias("graph_id"), F.when(F.col("doc_id") % 9 < 6, "computed").otherwise("judged").alias("kind"), F.concat(F.lit("q"), F.col("doc_id") % 9).alias("rule_id"),
+        F.concat(F.lit("file:"), doc).alias("unit_key"), verdict.alias("verdict"), sha256_text(doc).alias("hash"), F.lit(None).cast("string").alias("reason"),
+        F.array(F.struct(F.concat(F.lit("read:"), doc).alias("key"), sha256_text(F.lit("x")).alias("hash"))).alias("touched"),
+    )
+
+
+@query(
+    """SELECT rule_id, unit_key, kind, CASE WHEN toxic = 1 THEN 'refused' WHEN doc_id % 4 = 1 THEN 'approved' ELSE verdict END AS verdict, hash, concat('read:', doc_id) AS seen, 'facts' AS parts
+       FROM (SELECT DISTINCT * FROM written)""",
+    STORED,
+)
+def verdict_store(i: Inputs) -> DataFrame:
+    """All labelled documents through the store: written, written again unchanged, two batches, one of them twice, compacted, read."""
+    path = f"{shared_folder(i.spark)}/attestry-store/{uuid.uuid4().hex}"
+    rows = i.base("labels").distinct()
+    first = _verdict_rows(rows, F.when(F.col("quality") == 1, "approved").otherwise("refused"))
+    facts = rows.select(F.lit("g0").alias("graph_id"), F.col("doc_id").cast("string").alias("node_path"), F.lit("f").alias("source"), F.lit(None).cast("string").alias("last_ts"), F.lit(None).cast("string").alias("prefix_hash"))
+    store.write_verdicts(first, facts, path)
+    changed = store.write_verdicts(first, facts.withColumn("source", F.lit("g")), path)
+    fourth = _verdict_rows(rows.filter("doc_id % 4 = 1"), F.lit("approved"))
+    for batch_id, batch in ((0, fourth), (1, _verdict_rows(rows.filter("toxic = 1"), F.lit("refused"))), (0, fourth)):
+        store.fold_batch(batch, path, "labels", batch_id)
+    store.compact(i.spark, path)
+    store.vacuum(i.spark, path, keep=1)
+    verdicts = store.read_verdicts(i.spark, path)[0]
+    return verdicts.select("rule_id", "unit_key", "kind", "verdict", "hash", F.col("touched")[0]["key"].alias("seen"), F.lit(",".join(changed)).alias("parts"))
+
+
 @query(digest_sql("graph_id", "SELECT lang AS graph_id, concat(doc_id, ':', sha256(text)) AS line FROM documents", "hash"))
 def store_content_hash(i: Inputs) -> DataFrame:
     return store.store_content_hash(i.base("documents").select(F.col("lang").alias("graph_id"), F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("bytes")))

@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from attestry.operators.digests import PAIR
 from attestry.operators.journals import fence_spans
-from attestry.operators.pairs import invalidated_pairs, upsert_verdicts
+from attestry.operators.pairs import invalidated_pairs
+from attestry.sources.verdict_store import fold_batch
 
 STAMPED = "graph_id string, node_path string, ts string, body string"
 
@@ -86,27 +87,10 @@ def change_stream(
     return real.writeStream.foreachBatch(write)
 
 
-def verdict_stream(verdicts: DataFrame, path: str) -> DataStreamWriter:
-    """Fold finished verdicts into the store as they come.
+def verdict_stream(verdicts: DataFrame, path: str, name: str = "verdicts") -> DataStreamWriter:
+    """Fold finished verdicts into the store below ``path`` as they come.
 
-    Each batch is appended under its id, so a repeated batch replaces itself; read with folded_verdicts.
+    The store's manifest is the commit log: a batch repeated after a failure is passed over, and one cut off does
+    not count. Compact the store from time to time, while this runs.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return verdicts.writeStream.foreachBatch(write)
-
-
-def folded_verdicts(store: DataFrame, arrived: DataFrame) -> DataFrame:
-    """The store with all arrived batches folded in, the last batch winning."""
-    cols = [c for c in store.columns if c not in PAIR]
-    latest = arrived.groupBy(*PAIR).agg(F.max_by(F.struct(*cols), F.col("version")).alias("v")).select(*PAIR, "v.*")
-    return upsert_verdicts(store, latest.select(*store.columns))
-
-
-def compact(store: DataFrame, target: str) -> None:
-    """Write a folded store to a new folder, to start the next run from."""
-    store.write.mode("overwrite").parquet(target)
-
-
+    return verdicts.writeStream.foreachBatch(lambda batch, batch_id: fold_batch(batch, path, name, batch_id) and None)

@@ -79,13 +79,70 @@ def test_change_and_verdict_streams(spark, tmp_path):
     _drain(writer.option("checkpointLocation", str(tmp_path / "ck1")).trigger(availableNow=True).start())
     assert [(r.unit_key, r.reason) for r in spark.read.parquet(str(tmp_path / "stale")).collect()] == [("file:a", "own")]
 
-    new = spark.createDataFrame([("g", "r", "file:a", "approved", "2")], key + ", verdict string, hash string")
+
+def _verdict(rule, unit, verdict, digit, kind="computed"):
+    return ("g", kind, rule, unit, verdict, digit * 64, None, None)
+
+
+def _states(spark, path):
+    return {(r.rule_id, r.unit_key): r.verdict for r in store.read_verdicts(spark, path)[0].collect()}
+
+
+def test_verdict_stream_folds_each_batch_once(spark, tmp_path):
+    path, facts = str(tmp_path / "store"), spark.createDataFrame([("g", "a", "f", None, None)], store.FACTS)
+    old = spark.createDataFrame([_verdict("r", "file:a", "refused", "1"), _verdict("r", "file:b", "refused", "1")], VERDICTS)
+    store.write_verdicts(old, facts, path)
+    new = spark.createDataFrame([_verdict("r", "file:a", "approved", "2")], VERDICTS)
     new.write.parquet(str(tmp_path / "new"))
-    writer = streams.verdict_stream(spark.readStream.schema(new.schema).parquet(str(tmp_path / "new")), str(tmp_path / "folded"))
+    writer = streams.verdict_stream(spark.readStream.schema(new.schema).parquet(str(tmp_path / "new")), path)
     _drain(writer.option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start())
-    old = spark.createDataFrame([("g", "r", "file:a", "refused", "1"), ("g", "r", "file:b", "refused", "1")], key + ", verdict string, hash string")
-    folded = streams.folded_verdicts(old, spark.read.parquet(str(tmp_path / "folded")))
-    assert {r.unit_key: r.verdict for r in folded.collect()} == {"file:a": "approved", "file:b": "refused"}
+    assert _states(spark, path) == {("r", "file:a"): "approved", ("r", "file:b"): "refused"}
+    # the batch again, as after a failure: passed over; the next one counts
+    again = spark.createDataFrame([_verdict("r", "file:a", "refused", "3")], VERDICTS)
+    assert not store.fold_batch(again, path, "verdicts", 0) and _states(spark, path)["r", "file:a"] == "approved"
+    assert store.fold_batch(again, path, "verdicts", 1) and _states(spark, path)["r", "file:a"] == "refused"
+    before, seen = store.manifest(spark, path)["version"], store.read_verdicts(spark, path)[0]
+    store.compact(spark, path)
+    assert store.manifest(spark, path)["batches"] == [] and store.manifest(spark, path)["streams"] == {"verdicts": 1}
+    # who read before goes on, and the store is the same
+    assert {(r.unit_key, r.verdict) for r in seen.collect()} == {("file:a", "refused"), ("file:b", "refused")}
+    assert _states(spark, path) == {("r", "file:a"): "refused", ("r", "file:b"): "refused"}
+    assert store.manifest(spark, path)["version"] == before + 1 and not store.fold_batch(again, path, "verdicts", 1)
+    store.vacuum(spark, path, keep=1)
+    assert _states(spark, path) == {("r", "file:a"): "refused", ("r", "file:b"): "refused"} and len(store.versions(spark, path)) == 1
+
+
+def test_a_write_cut_off_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    path, facts = str(tmp_path / "store"), spark.createDataFrame([], store.FACTS)
+    store.write_verdicts(spark.createDataFrame([_verdict("r", "file:a", "refused", "1")], VERDICTS), facts, path)
+    other = spark.createDataFrame([_verdict("r", "file:b", "approved", "2"), _verdict("s", "file:b", "approved", "2", "judged")], VERDICTS)
+    with monkeypatch.context() as m:
+        m.setattr(store, "commit", lambda *a, **k: (_ for _ in ()).throw(OSError("cut off")))
+        for write in (lambda: store.write_verdicts(other, facts, path), lambda: store.fold_batch(other, path, "s", 0)):
+            try:
+                write()
+                raise AssertionError("went through")
+            except OSError:
+                pass
+    assert _states(spark, path) == {("r", "file:a"): "refused"}
+    assert store.vacuum(spark, path) > 0 and _states(spark, path) == {("r", "file:a"): "refused"}
+    # rows of the store itself may be written back
+    assert store.write_verdicts(store.read_verdicts(spark, path)[0].unionByName(other), facts, path) == ["judged", "computed"]
+    assert len(_states(spark, path)) == 3
+
+
+def test_a_writer_that_comes_second_is_asked_again(spark, tmp_path):
+    path, seen = str(tmp_path / "store"), []
+
+    def change(m):
+        seen.append(m["version"])
+        if len(seen) == 1:
+            store.commit(spark, path, lambda n: {**n, "streams": {"first": 1}})
+        m["streams"]["second"] = 2
+        return m
+
+    assert store.commit(spark, path, change) == 2 and seen == [0, 1]
+    assert store.manifest(spark, path)["streams"] == {"first": 1, "second": 2}
 
 
 def test_scan_of_text_and_binary_files(spark, tmp_path):
