@@ -17,6 +17,7 @@ components have no links and are their own component; equal and null ids take pa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import table, unit
 from attestry.llm.components import components, roots
-from attestry.llm.vectors import matrix, numbered, runs, unit_rows
+from attestry.llm.vectors import by_length, matrix, numbered, runs, unit_rows
 from attestry.operators.keyed import cut_lineage
 
 #: Nearest pivots that describe a vector, how many of them two vectors must share, and most sampled vectors.
@@ -86,11 +87,10 @@ def linked_in(left: tuple, right: tuple | None, lowest: int, shared: int, cosine
     return (i[i < j], j[i < j]) if right is None else (i, j)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, nearest: int = NEAREST, shared: int = SHARED, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``vec_id, uid, n_links, component_id, first`` for each row; runs jobs while the plan is built."""
-    rows = numbered(vectors, vec_id, embedding)
+def linked_vectors(rows: DataFrame, cosine: float, nearest: int, shared: int) -> DataFrame:
+    """``uid, n_links, component`` of rows ``uid, vec`` that all count and have one length."""
     same = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2")]
-    marked = rows.filter("valid").select("uid", "vec", *same)
+    marked = rows.select("uid", "vec", *same)
     sizes = marked.groupBy("h1", "h2").agg(F.min("uid").alias("head"), F.count("*").alias("weight"))
     members = cut_lineage(marked.select("uid", "h1", "h2").join(sizes, ["h1", "h2"]).select("uid", "head", "weight"))
     heads = cut_lineage(marked.select("uid", "vec").join(members.filter("uid = head"), "uid").select("uid", "vec", "weight"))
@@ -160,9 +160,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, nearest: int = NEARES
     pieces = cut_lineage(pieces)
     degrees = pieces.groupBy("uid").agg(F.sum("degree").alias("degree")).withColumnRenamed("uid", "head")
     labels = components(pieces.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "head")
-    linked = members.join(degrees, "head", "left").join(labels, "head", "left").select(
+    return members.join(degrees, "head", "left").join(labels, "head", "left").select(
         "uid", (F.coalesce("degree", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "head").alias("component")
     )
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, nearest: int = NEAREST, shared: int = SHARED, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """``vec_id, uid, n_links, component_id, first`` for each row; runs jobs while the plan is built.
+
+    Vectors are compared with those of their own length. Columns other than the two named are not looked at.
+    """
+    rows = numbered(vectors, vec_id, embedding)
+    parts = [linked_vectors(part, cosine, nearest, shared) for part in by_length(rows)]
+    linked = reduce(DataFrame.unionByName, parts) if parts else rows.select("uid", F.lit(0).cast("long").alias("n_links"), F.col("uid").alias("component")).limit(0)
     out = rows.select("uid", "vec_id").join(linked, "uid", "left").withColumn("component", F.coalesce("component", -1 - F.col("uid")))
     first = F.min(F.struct(F.col("vec_id").isNull().alias("_null"), "vec_id", "uid")).alias("_first")
     tops = out.groupBy("component").agg(first).select("component", F.col("_first.vec_id").alias("component_id"), F.col("_first.uid").alias("_top"))

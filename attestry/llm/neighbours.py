@@ -24,6 +24,7 @@ own; with fewer vectors than asked for, each query gets all others; no queries g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.common import mix64, table
-from attestry.llm.vectors import matrix, numbered, runs
+from attestry.llm.vectors import by_length, matrix, numbered, runs
 from attestry.operators.keyed import cut_lineage, salted_join, top_n
 
 #: Neighbours a vector keeps, and how many of those that have it as a neighbour take part in a round.
@@ -300,13 +301,10 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, k: int, beam
     return state.select("query", F.slice("ids", 1, k).alias("ids"), F.slice("scores", 1, k).alias("scores"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, beam: int = BEAM, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: for the rows that ``is_query`` (a condition on ``vec_id``) picks, their ``k`` nearest others.
-
-    Runs jobs while the plan is built: the graph and the state of the searches are written to the shared folder.
-    """
+def nearest_of_length(rows: DataFrame, is_query, k: int, beam: int) -> DataFrame:
+    """``nearest`` for rows ``uid, vec_id, vec`` that all count and have one length."""
     same = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2")]
-    marked = numbered(vectors, vec_id, embedding).filter("valid").select("uid", "vec_id", "vec", *same)
+    marked = rows.select("uid", "vec_id", "vec", *same)
     classes = marked.groupBy("h1", "h2").agg(F.min("uid").alias("head"))
     members = cut_lineage(marked.select("uid", "vec_id", "h1", "h2").join(classes, ["h1", "h2"]).select("uid", "vec_id", "head"))
     points = cut_lineage(marked.select("uid", "vec").join(members.filter("uid = head").select("uid"), "uid"))
@@ -327,5 +325,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, beam: int = BEAM, vec_id:
     return ranked.select("query_id", F.posexplode("top").alias("rank", "c")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), F.col("c.score").alias("score"))
 
 
+def nearest(vectors: DataFrame, is_query, k: int = 20, beam: int = BEAM, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score``: for the rows that ``is_query`` (a condition on ``vec_id``) picks, their ``k`` nearest others.
+
+    Vectors are searched among those of their own length. Runs jobs while the plan is built: the graph and the state of
+    the searches are written to the shared folder. Columns other than the two named are not looked at.
+    """
+    parts = [nearest_of_length(rows, is_query, k, beam) for rows in by_length(numbered(vectors, vec_id, embedding))]
+    empty = "query_id long, rank int, vec_id long, score double"
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], empty)
+
+
 def op8_nearest_neighbours(spark, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)

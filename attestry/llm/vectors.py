@@ -13,17 +13,20 @@ from attestry.operators.keyed import cut_lineage
 
 
 def numbered(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """``uid, vec_id, vec, valid``; a vector counts if it is of the usual length, not zero and of finite numbers only.
-
-    The usual length is the most frequent one, the smaller of equally frequent ones.
-    """
+    """``uid, vec_id, vec, valid``; a vector counts if it is neither null nor zero and of finite numbers only."""
     value = F.col("vec")
     finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vec")).withColumn("valid", F.coalesce(finite, F.lit(False)))
-    rows = cut_lineage(rows.withColumn("uid", F.monotonically_increasing_id()))
-    usual = rows.filter("valid").groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = usual["size"] if usual else 0
-    return rows.withColumn("valid", F.col("valid") & (F.size("vec") == size))
+    return cut_lineage(rows.withColumn("uid", F.monotonically_increasing_id()))
+
+
+def by_length(rows: DataFrame) -> list[DataFrame]:
+    """The vectors that count, one frame for each length, shortest first; vectors of different lengths are not comparable.
+
+    An operator runs once for each length: a table is meant to have few.
+    """
+    lengths = [r.n for r in rows.filter("valid").select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]
+    return [rows.filter(F.col("valid") & (F.size("vec") == n)) for n in lengths]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
