@@ -112,23 +112,45 @@ def attachments(
     return by_node.unionByName(by_type).unionByName(by_flow).unionByName(by_port)
 
 
+def condition_reach(rules: DataFrame, implies: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Conditions that implications ask for once a rule is in force: ``(graph_id, rule_id, condition)``.
+
+    A hop asks its own condition and that of the rule it leads to. Each round goes ``2^k`` hops up at once, so rounds
+    are the logarithm of the longest chain, cycles included: if no rule gains a condition over the lengths of one round,
+    none would over longer ones. Runs jobs while the plan is built; grows with the rules, not with the nodes.
+    """
+    when = rules.filter("condition is not null").select("graph_id", F.col("rule_id").alias("implied"), F.col("condition").alias("_when"))
+    edges = implies.select("graph_id", F.col("implier").alias("rule_id"), "implied", "condition").join(when, ["graph_id", "implied"], "left")
+    both = edges.select("graph_id", "rule_id", F.explode(F.array("condition", "_when")).alias("condition"))
+    known = cut_lineage(both.filter("condition is not null").distinct())
+    if known.isEmpty():
+        return known
+    jump = cut_lineage(edges.select("graph_id", "rule_id", F.col("implied").alias("_to")).distinct())
+    for _ in range(max_rounds):
+        ahead = known.withColumnRenamed("rule_id", "_to")
+        fresh = salted_join(jump, ahead, ["graph_id", "_to"]).select(*known.columns).distinct().join(known, known.columns, "left_anti")
+        fresh = cut_lineage(fresh)
+        if fresh.isEmpty():
+            return known
+        known = cut_lineage(known.unionByName(fresh), done=(known, fresh))
+        onward = jump.select("graph_id", F.col("rule_id").alias("_to"), F.col("_to").alias("_end"))
+        jump = cut_lineage(salted_join(jump, onward, ["graph_id", "_to"]).select("graph_id", "rule_id", F.col("_end").alias("_to")).distinct(), done=(jump,))
+    raise RuntimeError("conditions of implications did not settle")
+
+
 def condition_demand(attached: DataFrame, rules: DataFrame, implies: DataFrame | None = None) -> DataFrame:
     """(node, condition) rows the cascade has to know; feed them to eval_node_predicate.
 
-    With conditional implications any node of the graph may be asked, so those are demanded for all nodes
-    that hold an attachment.
+    A node is asked the conditions of its attachments and of their rules, and those of implications only where a rule
+    attached to it can reach the hop.
     """
     rule_when = rules.filter("condition is not null").select("graph_id", "rule_id", F.col("condition").alias("_when"))
+    held = attached.select(*NODE_RULE).distinct()
     direct = attached.filter("condition is not null").select("graph_id", "node_path", "condition")
-    by_rule = salted_join(attached.select(*NODE_RULE).distinct(), rule_when, ["graph_id", "rule_id"]).select(
-        "graph_id", "node_path", F.col("_when").alias("condition")
-    )
+    by_rule = salted_join(held, rule_when, ["graph_id", "rule_id"]).select("graph_id", "node_path", F.col("_when").alias("condition"))
     out = direct.unionByName(by_rule)
     if implies is not None:
-        hops = implies.filter("condition is not null").select("graph_id", "condition")
-        heads = implies.select("graph_id", F.col("implied").alias("rule_id")).join(rule_when, ["graph_id", "rule_id"])
-        asked = hops.unionByName(heads.select("graph_id", F.col("_when").alias("condition"))).distinct()
-        out = out.unionByName(salted_join(attached.select("graph_id", "node_path").distinct(), asked, ["graph_id"]).select(*out.columns))
+        out = out.unionByName(salted_join(held, condition_reach(rules, implies), ["graph_id", "rule_id"]).select(*out.columns))
     return out.distinct()
 
 

@@ -92,3 +92,35 @@ def test_file_predicates_in_tables_agree_with_columns(spark):
         demand = files.selectExpr("graph_id", "path", f"'{json.dumps(tree)}' AS condition".replace("\\", "\\\\"))
         table = {r.path: (r["pass"], r.unreadable) for r in pred.eval_path_predicates(demand, files).collect()}
         assert table == col, tree
+
+
+def test_conditions_are_asked_only_where_a_rule_can_reach_the_hop(spark):
+    import random
+
+    from attestry.operators import cascade
+
+    rng = random.Random(5)
+    names = [f"r{n}" for n in range(24)]
+    hops = {(f"r{n}", f"r{n + 1}"): None for n in range(11)}  # a chain of eleven hops, and a part with cycles
+    hops |= {tuple(rng.sample(names[12:], 2)): rng.choice([None, "c1", "c2"]) for _ in range(10)}
+    hops["r10", "r11"] = "end"
+    when = {"r5": "at five", "r20": "at twenty"}
+    rules = spark.createDataFrame([("g", r, when.get(r)) for r in names], "graph_id string, rule_id string, condition string")
+    implies = spark.createDataFrame([("g", a, b, c) for (a, b), c in hops.items()], "graph_id string, implier string, implied string, condition string")
+    want = set()
+    for rule in names:
+        seen, todo = set(), [rule]
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += [b for a, b in hops if a == at]
+        for (a, b), c in hops.items():
+            if a in seen:
+                want |= {(rule, x) for x in (c, when.get(b)) if x}
+    assert {(r.rule_id, r.condition) for r in cascade.condition_reach(rules, implies).collect()} == want
+    attached = spark.createDataFrame([("g", "n1", "r0", None), ("g", "n1", "r0", None), ("g", "n2", "r6", "own"), ("g", "n3", "r23", None)], "graph_id string, node_path string, rule_id string, condition string")
+    asked = {(r.node_path, r.condition) for r in cascade.condition_demand(attached, rules, implies).collect()}
+    assert {c for n, c in asked if n == "n1"} == {"at five", "end"} and {c for n, c in asked if n == "n2"} == {"own", "end"}
+    assert {c for n, c in asked if n == "n3"} == {c for r, c in want if r == "r23"} | ({when["r23"]} if "r23" in when else set())
+    assert cascade.condition_demand(attached, rules, implies.limit(0)).count() == 1

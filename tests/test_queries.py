@@ -11,7 +11,7 @@ from attestry.plans.inputs import BASE
 FOLDER = "/root/testdata/sf0.001"
 #: ``ATTESTRY_ALL_QUERIES=1`` compares every query that has SQL.
 SAMPLE = [
-    "reobserve", "journal_format", "journal_headers", "journal_integrity", "merge_journals", "drop_waived", "global_imports", "resolve_owner", "attachments", "mapping_overlap", "boundary_report", "waived_ranges", "journal_split", "classify_closest", "code_dependencies",
+    "journal_stream", "digest_changes", "reobserve", "journal_format", "journal_headers", "journal_integrity", "merge_journals", "drop_waived", "global_imports", "resolve_owner", "attachments", "mapping_overlap", "boundary_report", "waived_ranges", "journal_split", "classify_closest", "code_dependencies",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ATTESTRY_ALL_QUERIES") else SAMPLE
 

@@ -57,14 +57,33 @@ def _drain(query):
 
 
 def test_journal_stream_stamps_strictly_later(spark, tmp_path):
-    rows = [("g", "n", "2024-01-01 00:00:00", "one"), ("g", "n", "2024-01-01 00:00:00", "two"), ("g", "n", "2024-01-01 00:00:00", "  "), ("g", "m", "2024-01-01 00:00:05", "## no")]
+    rows = [("g", "n", "2024-01-01 00:00:00", "one"), ("g", "n", "2024-01-01 00:00:00", "two"), ("g", "n", "2024-01-01 00:00:00", "  "), ("g", "m", "2024-01-01 00:00:05", "## no"),
+            ("g", "n", None, "no time"), ("g", "n", "2024-01-01 00:00:03", None), ("g", "n", "2023-12-31 23:59:59", "zero"), ("g", "m", "2024-01-01 05:00:00", "newest")]
     schema = "graph_id string, node_path string, arrived timestamp, body string"
     source = str(tmp_path / "in")
     spark.createDataFrame(rows, "graph_id string, node_path string, arrived string, body string").withColumn("arrived", F.to_timestamp("arrived")).coalesce(1).write.parquet(source)
     out = streams.journal_stream(spark.readStream.schema(schema).parquet(source))
     _drain(out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start())
     got = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.ts for r in got.collect()) == ["2024-01-01T00:00:00.000Z", "2024-01-01T00:00:00.001Z"]
+    # in the order of arrival, not of the rows; the newest waits for the watermark
+    assert sorted((r.ts, r.body) for r in got.collect()) == [
+        ("2023-12-31T23:59:59.000Z", "zero\n"), ("2024-01-01T00:00:00.000Z", "one\n"), ("2024-01-01T00:00:00.001Z", "two\n")]
+
+
+def test_a_change_its_way_back_and_the_change_again_are_three_events(spark, tmp_path):
+    schema = "graph_id string, path string, hash string, at timestamp"
+    known = spark.createDataFrame([("g", "a", "old"), ("g", "a", "old"), ("g", "c", "same")], "graph_id string, path string, hash string")
+    runs = [
+        [("g", "a", "new", "2024-01-01 10:00:00"), ("g", "a", "new", "2024-01-01 10:00:00"), ("g", "c", "same", "2024-01-01 10:00:00"), ("g", "b", "x", "2024-01-01 10:00:00")],
+        [("g", "a", "new", "2024-01-01 10:30:00"), ("g", "a", "old", "2024-01-01 10:40:00"), ("g", "a", "new", "2024-01-01 10:50:00"), ("g", "b", "y", "2024-01-01 09:00:00"), ("g", "b", None, "2024-01-01 11:00:00")],
+    ]
+    for rows in runs:
+        spark.createDataFrame(rows, "graph_id string, path string, hash string, at string").withColumn("at", F.to_timestamp("at")).write.mode("append").parquet(str(tmp_path / "in"))
+        out = streams.digest_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), known)
+        _drain(out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start())
+    got = sorted((r.path, r.ms, r.was, r.hash) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # the older event of b came late
+    assert [(p, w, h) for p, _, w, h in got] == [("a", "old", "new"), ("a", "new", "old"), ("a", "old", "new"), ("b", None, "x")]
 
 
 def test_change_and_verdict_streams(spark, tmp_path):
