@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.paths import glob_to_regex, normalize_path, path_prefixes
 from attestry.operators import ownership as own
-from attestry.operators.keyed import entry_matches_file, salted_join, set_digest, top_n
+from attestry.operators.keyed import BROADCAST_BYTES, COPIES_BYTES, cut_lineage, entry_matches_file, estimated_bytes, salted_join, set_digest, shuffled_join, small_broadcasts, top_n
 
 
 def plan_of(df):
@@ -21,6 +21,53 @@ def test_salted_join_keeps_meaning(spark, how):
     assert sorted(map(tuple, salted_join(big, small, ["graph_id", "k"], how).collect()), key=str) == want
 
 
+@pytest.fixture(scope="module")
+def sides(spark, tmp_path_factory):
+    """A data-sized side and one whose files are below the planner's limit for broadcasts, though it has 200,000 rows."""
+    at = str(tmp_path_factory.mktemp("sides"))
+    keys = spark.range(200_000).select(F.lit("g").alias("graph_id"), F.concat(F.lit("r1/n1/c"), "id").alias("k"), (F.col("id") % 7).alias("w"))
+    keys.coalesce(1).write.parquet(f"{at}/small")
+    keys.select("graph_id", F.when(F.col("w") < 3, "r1/n1/c5").otherwise(F.col("k")).alias("k"), F.xxhash64("k").alias("v")).coalesce(1).write.parquet(f"{at}/big")
+    return spark.read.parquet(f"{at}/big"), spark.read.parquet(f"{at}/small")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_broadcasts_no_copies(spark, sides, how):
+    big, small = sides
+    assert BROADCAST_BYTES < estimated_bytes(small) < 10 * 1024 * 1024
+    joined = salted_join(big, small, ["graph_id", "k"], how)
+    assert "Broadcast" not in plan_of(joined)
+    assert joined.count() == big.join(small, ["graph_id", "k"], how).count() == (0 if how == "left_anti" else 200_000)
+    assert "Broadcast" not in plan_of(shuffled_join(big, small, ["graph_id", "k"], how))
+
+
+def test_a_side_beyond_the_limit_is_not_copied(spark, sides, monkeypatch):
+    from attestry.operators import keyed
+
+    big, small = sides
+    assert "_salt" in plan_of(salted_join(big, small, ["graph_id", "k"]))
+    monkeypatch.setattr(keyed, "COPIES_BYTES", estimated_bytes(small))
+    assert "_salt" not in plan_of(salted_join(big, small, ["graph_id", "k"]))
+    assert estimated_bytes(small) < COPIES_BYTES
+
+
+def test_states_are_written_without_large_broadcasts(spark, sides):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    with small_broadcasts(spark):
+        assert "BroadcastHashJoin" not in plan_of(sides[0].join(sides[1], ["graph_id", "k"]))
+    assert spark.conf.get(name) == before
+    cut_lineage(spark.range(3))
+    try:
+        for limit in ("-1", "1k", "100MB"):
+            spark.conf.set(name, limit)
+            with small_broadcasts(spark):
+                assert spark.conf.get(name) == (limit if limit != "100MB" else str(BROADCAST_BYTES))
+            assert spark.conf.get(name) == limit
+    finally:
+        spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize(
     ("glob", "path", "hit"),
     [
