@@ -51,6 +51,16 @@ def test_a_side_beyond_the_limit_is_not_copied(spark, sides, monkeypatch):
     assert estimated_bytes(small) < COPIES_BYTES
 
 
+def test_code_edges_broadcast_no_owners(spark, sides):
+    from attestry.operators.dependencies import code_edges
+
+    big, small = sides
+    resolved = big.select("graph_id", F.col("k").alias("file"), F.col("v").alias("line"), F.col("k").alias("target"))
+    owners = small.select("graph_id", F.col("k").alias("path"), F.col("k").alias("node_path"))
+    edges = code_edges(resolved, owners)
+    assert "Broadcast" not in plan_of(edges) and edges.count() == 200_000
+
+
 def test_states_are_written_without_large_broadcasts(spark, sides):
     name = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(name)
