@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.operators.keyed import salted_join, top_n
+from attestry.operators.keyed import salted_join, shuffled_join, top_n
 from attestry.operators.ownership import node_closure
 
 # Node states from best to worst.
@@ -26,7 +26,7 @@ def rule_tally(rules: DataFrame, states: DataFrame, effective: DataFrame) -> Dat
         F.count("*").alias("units"), *[F.count_if(F.col("_d") == d).alias(d) for d in ("verified", "refused", "warning", "unverified")]
     )
     reach = effective.groupBy("graph_id", "rule_id").agg(F.count_if(F.col("status") != "draft").alias("_live"), F.count("*").alias("_n"))
-    rows = rules.select("graph_id", "rule_id", "kind").join(counts, ["graph_id", "rule_id"], "left").join(reach, ["graph_id", "rule_id"], "left")
+    rows = shuffled_join(shuffled_join(rules.select("graph_id", "rule_id", "kind"), counts, ["graph_id", "rule_id"], "left"), reach, ["graph_id", "rule_id"], "left")
     why = (
         F.when((F.col("kind") == "bundle") | (F.coalesce("units", F.lit(0)) > 0), F.lit(None))
         .when(F.coalesce("_n", F.lit(0)) == 0, "no-node")
@@ -55,7 +55,7 @@ def state_counts(nodes: DataFrame, rules: DataFrame, flow_nodes: DataFrame, stat
 def type_catalogue(types: DataFrame, nodes: DataFrame) -> DataFrame:
     """Node count per type, zero included, with its parents and flags."""
     n = nodes.groupBy("graph_id", "type").agg(F.count("*").alias("n_nodes"))
-    return types.join(n, ["graph_id", "type"], "left").fillna(0, ["n_nodes"])
+    return shuffled_join(types, n, ["graph_id", "type"], "left").fillna(0, ["n_nodes"])
 
 
 def hubs(relations: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def group_failures(failures: DataFrame, n: int) -> DataFrame:
     key = ["graph_id", "rule_id", "why", "next"]
     counts = failures.groupBy(*key).agg(F.count("*").alias("failures"), F.countDistinct("unit_key").alias("units"))
     first = top_n(failures.select(*key, "unit_key").distinct(), key, [F.col("unit_key")], n)
-    return first.join(counts, key)
+    return shuffled_join(first, counts, key)
 
 
 def _rank(state: Column) -> Column:
@@ -88,14 +88,14 @@ def node_states(nodes: DataFrame, states: DataFrame, issues: DataFrame | None =
     unverified; no checked pair means no-rule."""
     key = ["graph_id", "node_path"]
     worst = states.withColumn("_r", _rank(display_state("state", "status"))).groupBy(*key).agg(F.max("_r").alias("_w"))
-    rows = nodes.select(*key).join(worst, key, "left").withColumn("_w", F.coalesce("_w", F.lit(STATE_RANK.index("no-rule"))))
+    rows = shuffled_join(nodes.select(*key), worst, key, "left").withColumn("_w", F.coalesce("_w", F.lit(STATE_RANK.index("no-rule"))))
     if issues is not None:
         warned = issues.filter("severity = 'warning' and node_path is not null").select(*key).distinct().withColumn("_i", F.lit(True))
         promoted = F.when(F.col("_i"), F.greatest("_w", F.lit(STATE_RANK.index("warning")))).otherwise(F.col("_w"))
-        rows = rows.join(warned, key, "left").withColumn("_w", promoted)
+        rows = shuffled_join(rows, warned, key, "left").withColumn("_w", promoted)
     if fresh is not None:
         stale = fresh.filter("changed").select(*key).withColumn("_s", F.lit(True))
-        rows = rows.join(stale, key, "left").withColumn(
+        rows = shuffled_join(rows, stale, key, "left").withColumn(
             "_w", F.when(F.col("_s"), F.greatest("_w", F.lit(STATE_RANK.index("unverified")))).otherwise(F.col("_w"))
         )
     return rows.select(*key, "_w")
@@ -107,9 +107,9 @@ def rollup_state(nodes: DataFrame, states: DataFrame, issues: DataFrame | None =
     own = node_states(nodes, states, issues, fresh)
     # every node pushes its rank to all its ancestors; the maximum combines before the shuffle
     up = node_closure(nodes, with_self=True).select("graph_id", F.col("ancestor").alias("_a"), F.col("descendant").alias("node_path"))
-    total = up.join(own, key).groupBy("graph_id", F.col("_a").alias("node_path")).agg(F.max("_w").alias("_t"))
+    total = shuffled_join(up, own, key).groupBy("graph_id", F.col("_a").alias("node_path")).agg(F.max("_w").alias("_t"))
     name = lambda c: F.array(*[F.lit(s) for s in STATE_RANK])[F.col(c)]
-    return own.join(total, key).select(*key, name("_w").alias("state"), name("_t").alias("rollup"))
+    return shuffled_join(own, total, key).select(*key, name("_w").alias("state"), name("_t").alias("rollup"))
 
 
 def flow_state(flow_nodes: DataFrame, nodes: DataFrame, states: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def flow_state(flow_nodes: DataFrame, nodes: DataFrame, states: DataFrame) -> Da
     members = salted_join(down, flow_nodes.select("graph_id", "flow", "node_path").distinct(), key).select(
         "graph_id", "flow", F.col("descendant").alias("node_path")
     ).distinct()
-    rows = members.join(per_node, key, "left").groupBy("graph_id", "flow").agg(
+    rows = shuffled_join(members, per_node, key, "left").groupBy("graph_id", "flow").agg(
         F.count("*").alias("members"), F.bool_or("_bad").alias("_bad"), F.count("_bad").alias("_n")
     )
     state = F.when(F.col("_n") == 0, "nothing-checked").when(F.col("_bad"), "attention").otherwise("verified")
@@ -130,7 +130,7 @@ def flow_state(flow_nodes: DataFrame, nodes: DataFrame, states: DataFrame) -> Da
 def residue(states_by_node: DataFrame, mappings: DataFrame, uncovered: DataFrame) -> DataFrame:
     """What nothing checks: mapped nodes in state no-rule, and uncovered files."""
     mapped = mappings.filter(F.trim("entry") != "").select("graph_id", "node_path").distinct()
-    idle = states_by_node.filter("state = 'no-rule'").join(mapped, ["graph_id", "node_path"], "left_semi")
+    idle = shuffled_join(states_by_node.filter("state = 'no-rule'"), mapped, ["graph_id", "node_path"], "left_semi")
     return idle.select("graph_id", F.lit("node").alias("kind"), F.col("node_path").alias("item")).unionByName(
         uncovered.select("graph_id", F.lit("file").alias("kind"), F.col("path").alias("item"))
     )
@@ -154,21 +154,21 @@ def node_context(
     key = ["graph_id", "node_path"]
     t = targets.select(*key).distinct()
     part = lambda df, s, item, detail: df.select(*key, F.lit(s).alias("section"), item.alias("item"), detail.alias("detail"))
-    rules = salted_join(effective, t, key, "left_semi").join(sources, [*key, "rule_id"], "left")
+    rules = shuffled_join(salted_join(effective, t, key, "left_semi"), sources, [*key, "rule_id"], "left")
     out = part(rules, "rule", F.col("rule_id"), F.concat_ws(" | ", "status", "source"))
     line = node_closure(nodes, with_self=True).select("graph_id", F.col("descendant").alias("node_path"), F.col("ancestor").alias("_a"))
-    line = line.join(t, key, "left_semi")
+    line = shuffled_join(line, t, key, "left_semi")
     member = flow_nodes.select("graph_id", F.col("node_path").alias("_a"), "flow").distinct()
-    out = out.unionByName(part(line.join(member, ["graph_id", "_a"]).select(*key, "flow").distinct(), "flow", F.col("flow"), F.lit("")))
+    out = out.unionByName(part(shuffled_join(line, member, ["graph_id", "_a"]).select(*key, "flow").distinct(), "flow", F.col("flow"), F.lit("")))
     dep = salted_join(relations.select("graph_id", F.col("source").alias("node_path"), "target", "type"), t, key)
     dep = dep.filter(~F.col("node_path").startswith(F.concat("target", F.lit("/"))))
     out = out.unionByName(part(dep, "dependency", F.col("target"), F.col("type")))
     back = salted_join(relations.select("graph_id", F.col("target").alias("node_path"), "source", "type"), t, key)
     out = out.unionByName(part(back, "dependent", F.col("source"), F.col("type")))
-    parent = nodes.filter("parent_path is not null").join(t, key, "left_semi")
+    parent = shuffled_join(nodes.filter("parent_path is not null"), t, key, "left_semi")
     out = out.unionByName(part(parent, "parent", F.col("parent_path"), F.lit("")))
     n = salted_join(node_files, t, key, "left_semi").groupBy(*key).agg(F.count("*").alias("n"))
     out = out.unionByName(part(n, "files", F.lit("count"), F.col("n").cast("string")))
     if latest is not None:
-        out = out.unionByName(part(latest.join(t, key, "left_semi"), "journal", F.lit("latest"), F.col("ts")))
+        out = out.unionByName(part(shuffled_join(latest, t, key, "left_semi"), "journal", F.lit("latest"), F.col("ts")))
     return out

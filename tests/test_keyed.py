@@ -78,6 +78,38 @@ def test_states_are_written_without_large_broadcasts(spark, sides):
         spark.conf.set(name, before)
 
 
+def test_checks_broadcast_no_rules(spark, sides):
+    from attestry.operators import cascade, checks, waivers
+
+    big, small = sides
+    rules = small.select("graph_id", F.col("k").alias("rule_id"), F.lit("draft").alias("status"))
+    sites = big.select("graph_id", F.lit("node").alias("site_kind"), F.col("k").alias("site"), F.col("k").alias("rule_id"))
+    implies = small.select("graph_id", F.col("k").alias("implier"), F.col("k").alias("implied"))
+    markers = big.select("graph_id", F.lit("f").alias("file"), F.col("v").alias("line"), F.col("k").alias("rule_id"), F.lit("disable").alias("kind"), F.lit(False).alias("wildcard"), F.lit("").alias("reason"))
+    lost, orphans, risks = checks.dangling_rules(sites, implies, rules), cascade.orphan_rules(rules, sites, implies), waivers.waiver_risk(markers, rules)
+    for frame in (lost, orphans, risks):
+        assert "BroadcastHashJoin" not in plan_of(frame)
+    assert lost.count() == 0
+    # big names k5 and all keys with w >= 3; an implication of a rule to itself reaches no other
+    named = {r.k for r in big.select("k").distinct().collect()}
+    assert orphans.count() == 200_000 - len(named) and risks.filter("risk = 'inert'").count() == 200_000
+
+
+def test_partitions_of_written_tables_follow_what_is_read(spark, sides, monkeypatch):
+    from attestry.operators import keyed
+
+    big, _ = sides
+    first, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(first, None), spark.conf.get(size)
+    monkeypatch.setattr(keyed, "PARTITION_BYTES", keyed.read_bytes(big) // 9)
+    rows = big.groupBy("k").count()
+    with keyed.sized_shuffles(rows):
+        assert spark.conf.get(first) == "9" and spark.conf.get(size) == str(keyed.SHUFFLED_BYTES)
+        assert "hashpartitioning(k" in plan_of(big.groupBy("k").count()) and ", 9)" in plan_of(big.groupBy("k").count())
+    assert (spark.conf.get(first, None), spark.conf.get(size)) == before
+    assert keyed.dealt_by(big, ["k"]).rdd.getNumPartitions() == 9
+
+
 @pytest.mark.parametrize(
     ("glob", "path", "hit"),
     [
