@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.operators.keyed import salted_join, shuffled_join, top_n
+from attestry.operators.keyed import dealt_by, salted_join, shuffled_join, top_n
 from attestry.operators.ownership import node_closure
 
 # Node states from best to worst.
@@ -136,11 +136,20 @@ def residue(states_by_node: DataFrame, mappings: DataFrame, uncovered: DataFrame
     )
 
 
+#: Copies of one row that are made from one array.
+REPEATS = 4096
+
+
 def determinism_check(run1: DataFrame, run2: DataFrame) -> DataFrame:
     """Findings that differ between two runs of one rule."""
     cols = sorted(run1.columns)
-    a, b = run1.select(*cols), run2.select(*cols)
-    return a.exceptAll(b).withColumn("run", F.lit(1)).unionByName(b.exceptAll(a).withColumn("run", F.lit(2)))
+    rows = run1.select(*cols).withColumn("_n", F.lit(1)).unionByName(run2.select(*cols).withColumn("_n", F.lit(-1)))
+    # one count of each row over both runs; it is on one side only, as often as it is there more
+    more = dealt_by(rows, cols).groupBy(*cols).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    more = more.withColumn("run", F.when(F.col("_n") > 0, 1).otherwise(2)).withColumn("_n", F.abs("_n"))
+    # repeated in stretches, so that a row there very often makes no long array
+    some = more.withColumn("_s", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / REPEATS))))
+    return some.withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(F.lit(REPEATS), F.col("_n") - F.col("_s") * REPEATS)))).select(*cols, "run")
 
 
 def node_context(

@@ -110,6 +110,26 @@ def test_partitions_of_written_tables_follow_what_is_read(spark, sides, monkeypa
     assert keyed.dealt_by(big, ["k"]).rdd.getNumPartitions() == 9
 
 
+@pytest.mark.parametrize("repeats", [1, 3, 4096])
+def test_determinism_check_counts_repeats(spark, monkeypatch, repeats):
+    from attestry.operators import reports
+
+    shape = "rule_id string, line int"
+    a = spark.createDataFrame([("a", 1)] * 7 + [("b", None)] * 2 + [(None, 3)] + [("same", 1)] * 3, shape)
+    b = spark.createDataFrame([("a", 1)] * 2 + [("b", None)] * 6 + [("same", 1)] * 3 + [("c", 4)], shape)
+    monkeypatch.setattr(reports, "REPEATS", repeats)
+    got = sorted(map(tuple, reports.determinism_check(a, b).select("rule_id", "line", "run").collect()), key=str)
+    assert got == sorted([("a", 1, 1)] * 5 + [(None, 3, 1)] + [("b", None, 2)] * 4 + [("c", 4, 2)], key=str)
+
+
+def test_determinism_check_deals_rows_by_what_is_read(spark, sides, monkeypatch):
+    from attestry.operators import keyed, reports
+
+    big, small = sides
+    monkeypatch.setattr(keyed, "PARTITION_BYTES", keyed.read_bytes(big) // 9)
+    assert "REPARTITION_BY_NUM" in plan_of(reports.determinism_check(big.select("k"), small.select("k")))
+
+
 @pytest.mark.parametrize(
     ("glob", "path", "hit"),
     [
