@@ -124,12 +124,21 @@ def tokenise(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     return rows.mapInArrow(work, "doc_id long, row long, key long, n long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, doc_id: str = "doc_id", text: str = "text", exact: str | None = None) -> DataFrame:
+def checksum(ids: bytes) -> int:
+    """CRC of ids of two bytes each as little-endian 32-bit numbers."""
+    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+
+
+def pack(
+    docs: DataFrame, path: str, pattern: str, length: int = 1024, doc_id: str = "doc_id", text: str = "text", exact: str | None = None, digests: bool = False
+) -> DataFrame:
     """Pieces: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``, with the ids of each piece as two bytes each.
 
     Token ids are written once to the shared folder; only ``row, key, n`` are sorted, and the place of each
-    document is joined back.
+    document is joined back. With ``digests`` a piece has ``ids_crc32``, as ``digest`` gives it, in place of the ids: its
+    ids then never leave the task that cuts them, and a task has one Python worker, not two.
     """
+    name, kind, of = ("ids_crc32", pa.int64(), checksum) if digests else ("ids", pa.binary(), bytes)
     coded = cut_lineage(tokenise(docs, path, pattern, doc_id, text, exact))
     order = coded.select("doc_id", "row", "key", "n")
     placed = running_total(order, ["key", "doc_id", "row"], "n", "at").select("row", "at")
@@ -142,14 +151,14 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 1024, doc_id: s
                 while start < n:
                     sequence, offset = divmod(at + start, length)
                     size = min(length - offset, n - start)
-                    for column, value in zip(out, (key, start, size, ids[2 * start : 2 * (start + size)], n, sequence, offset), strict=True):
+                    for column, value in zip(out, (key, start, size, of(ids[2 * start : 2 * (start + size)]), n, sequence, offset), strict=True):
                         column.append(value)
                     start += size
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), kind, pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset"])
 
     return coded.select("row", "doc_id", "n", "ids").join(placed, "row").mapInArrow(
-        cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+        cut, f"doc_id long, start long, length long, {name} {'long' if digests else 'binary'}, doc_tokens long, sequence_id long, offset long"
     )
 
 
@@ -158,7 +167,7 @@ def digest(pieces: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(v, "<u2").astype("<u4").tobytes()) for v in batch.column("ids").to_pylist()]
+            sums = [checksum(v) for v in batch.column("ids").to_pylist()]
             columns = [pa.array(sums, pa.int64()) if name == "ids" else batch.column(name) for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, ["ids_crc32" if name == "ids" else name for name in batch.schema.names])
 
@@ -180,4 +189,4 @@ def exact_vocabulary() -> str:
 
 
 def op10_packing(spark, folder: str) -> DataFrame:
-    return digest(pack(table(spark, folder, "documents"), *vocabulary(), exact=exact_vocabulary()))
+    return pack(table(spark, folder, "documents"), *vocabulary(), exact=exact_vocabulary(), digests=True)

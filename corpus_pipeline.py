@@ -99,7 +99,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
-    return packing.digest(packing.pack(docs.select(*COLUMNS), *packing.vocabulary(), exact=packing.exact_vocabulary()))
+    return packing.pack(docs.select(*COLUMNS), *packing.vocabulary(), exact=packing.exact_vocabulary(), digests=True)
 
 
 STAGES = [

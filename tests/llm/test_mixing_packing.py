@@ -137,3 +137,14 @@ def test_queries_give_added_tokens_their_id(spark, tmp_path):
     stage = dict(corpus_pipeline.STAGES)["packing"]
     for got in (packing.op10_packing(spark, str(tmp_path)), stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")):
         assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in got.collect()} == want
+
+
+def test_checksums_are_made_where_pieces_are_cut(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * (i % 7 * 400)) for i in range(60)], "doc_id long, text string")
+    two = packing.digest(packing.pack(docs, *packing.vocabulary()))
+    one = packing.pack(docs, *packing.vocabulary(), digests=True)
+    assert one.schema == two.schema and sorted(one.collect()) == sorted(two.collect())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    # a second Python worker for each task took the executors beyond their memory
+    plan = packing.op10_packing(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
