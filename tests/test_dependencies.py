@@ -72,3 +72,58 @@ def test_project_wide_imports_reach_declared_symbols_only(spark):
         found = sorted(s for h, m, s in symbols if m == lang and s.rsplit(".", 1)[-1] == name and (g, lang, s.rpartition(".")[0]) in facts)
         want |= {(use, s, len(own) + k) for k, s in enumerate(found)}
     assert {(r.use_id, r.symbol, r.pos) for r in got.collect()} == want
+
+
+def cross_node_uses():
+    """Uses, declared relations and nodes with rows that come twice, empty and null paths, and the undeclared uses by loops."""
+    import random
+
+    rng = random.Random(7)
+    paths = ["a", "a/b", "a/b/c", "a/b/d", "e", "e/f", "e/f/g", "é/h", ""]
+    edges = [("g", rng.choice(paths), rng.choice(paths), f"f{rng.randint(0, 3)}", rng.randint(1, 2)) for _ in range(120)] + [("g", None, "a", "f", 1), ("g", "a", None, "f", 1), (None, "a", "e", "f", 1)]
+    relations = [("g", rng.choice(paths), rng.choice(paths), rng.choice(["uses", "emits"])) for _ in range(14)] + [("g", None, "a", "uses"), ("g", "a", None, "uses"), (None, "a", "e", "uses")]
+    line = lambda a, b: a == b or a.startswith(b + "/") or b.startswith(a + "/")
+    declared = {(s, t) for g, s, t, _ in relations if g}
+    above = lambda t: ["/".join(t.split("/")[: k + 1]) for k in range(len(t.split("/")))]
+    known = {e for e in edges if e[1] is not None and e[2] is not None and not line(e[1], e[2])}
+    return edges, relations, {e for e in known if e[0] is None or not any((e[1], t) in declared for t in above(e[2]))}
+
+
+def test_undeclared_uses_equal_loops(spark):
+    edges, relations, want = cross_node_uses()
+    uses = spark.createDataFrame(edges, "graph_id string, source string, target string, file string, line int")
+    declared = spark.createDataFrame(relations * 2, "graph_id string, source string, target string, type string")
+    got = dep.undeclared_dependencies(uses.unionByName(uses), declared)
+    # a use without a graph meets nothing at the last join
+    assert got.columns == uses.columns and sorted(map(tuple, got.collect())) == sorted(e for e in want if e[0])
+    pairs = [r[:3] for r in map(tuple, dep.undeclared_pairs(dep.detected_edges(uses), declared).collect())]
+    assert sorted(pairs, key=str) == sorted({e[:3] for e in want}, key=str)
+
+
+def test_boundary_classes_equal_loops(spark):
+    edges, relations, want = cross_node_uses()
+    uses = spark.createDataFrame(edges, "graph_id string, source string, target string, file string, line int")
+    declared = spark.createDataFrame(relations, "graph_id string, source string, target string, type string")
+    kinds = {p: "shut" if p.startswith("e") else "free" for p in ("a", "a/b", "a/b/c", "e", "e/f", "e/f/g")}
+    nodes = spark.createDataFrame([("g", p, k) for p, k in kinds.items()] * 2, "graph_id string, node_path string, type string")
+    types = spark.createDataFrame([("g", "shut", {}, "deny"), ("g", "free", {}, "allow")], "graph_id string, type string, relations map<string,array<string>>, relation_default string")
+    cross = {(r.source, r.target) for r in dep.detected_edges(uses).filter("graph_id = 'g'").collect()}
+    near = {(s, t) for g, s, t, k in relations if g and s is not None and t is not None and k == "uses" and not (s == t or s.startswith(t + "/") or t.startswith(s + "/"))}
+    loops = {(s, t, "undeclared") for g, s, t, *_ in want} | {(s, t, "declared-only") for s, t in near - cross if t in kinds}
+    loops |= {(s, t, "forbidden-type") for s, t in cross if kinds.get(s) == "shut" and t in kinds}
+    got = [(r.source, r.target, r["class"]) for r in dep.boundary_report(nodes, declared, uses, types).collect()]
+    assert len(loops) > 20 and set(got) == loops and len(got) == len({(e[0], e[1], e[2]) for e in want}) + len(loops) - len({(e[1], e[2]) for e in want})
+
+
+def test_ancestors_are_asked_only_of_pairs_not_declared_and_sorts_compare_a_hash(spark, monkeypatch):
+    from attestry.operators import keyed
+
+    monkeypatch.setattr(keyed, "BROADCAST_BYTES", 0)
+    edges, relations, _ = cross_node_uses()
+    uses = spark.createDataFrame(edges, "graph_id string, source string, target string, file string, line int")
+    declared = spark.createDataFrame(relations, "graph_id string, source string, target string, type string")
+    plan = dep.undeclared_dependencies(uses, declared)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate explode"):]
+    assert "LeftAnti" in below and "LeftAnti" not in plan[: plan.index("Generate explode")]
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 3 and all(line.split("((", 1)[1].lstrip("(").startswith(("_h#", "_v#")) for line in joins), joins
