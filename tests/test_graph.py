@@ -124,3 +124,13 @@ def test_conditions_are_asked_only_where_a_rule_can_reach_the_hop(spark):
     assert {c for n, c in asked if n == "n1"} == {"at five", "end"} and {c for n, c in asked if n == "n2"} == {"own", "end"}
     assert {c for n, c in asked if n == "n3"} == {c for r, c in want if r == "r23"} | ({when["r23"]} if "r23" in when else set())
     assert cascade.condition_demand(attached, rules, implies.limit(0)).count() == 1
+
+
+def test_long_ways_and_cycles_settle_in_few_rounds(spark):
+    tail = [(f"a{k}", f"a{k + 1}") for k in range(60)] + [("a60", "r0")]
+    ring = [(f"r{k}", f"r{(k + 1) % 50}") for k in range(50)]
+    # eight nodes with one way out, closed by a node with two, and a way that ends there
+    knot = [("k", "b0"), ("k", "end")] + [(f"b{k}", f"b{k + 1}") for k in range(7)] + [("b7", "k")] + [("x0", "x1"), ("x1", "k")]
+    edges = spark.createDataFrame([("g", s, t, "uses") for s, t in tail + ring + knot], EDGE)
+    got = {r.node: r.component for r in reach.structural_cycles(edges, max_rounds=24).collect()}
+    assert got == {f"r{k}": "r0" for k in range(50)} | {n: "b0" for n in ["k", *(f"b{k}" for k in range(8))]}
