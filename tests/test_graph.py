@@ -126,6 +126,21 @@ def test_conditions_are_asked_only_where_a_rule_can_reach_the_hop(spark):
     assert cascade.condition_demand(attached, rules, implies.limit(0)).count() == 1
 
 
+def test_groups_of_issues_follow_their_first_member(spark):
+    from attestry.operators import checks
+
+    rows = [
+        ("g", "warning", "unverified", "n2", "r2", "a"), ("g", "error", "unverified", "n1", "r1", "b"), ("g", "error", "aspect-violation-enforced", "n1", "r1", "u"),
+        ("g", "warning", "aspect-violation-advisory", "n1", "r1", "w"), ("g", "warning", "zeta", "n1", None, "z"), ("g", "error", "log-format", None, None, "5"), ("g", "error", "log-format", "n", None, "1"),
+    ]
+    issues = spark.createDataFrame(rows, "graph_id string, severity string, code string, node_path string, rule_id string, what string")
+    got = [(r.label, r.group_rule, r.severity, r.members, r.nodes, r.shared_what, r.divergent, r["rank"]) for r in checks.group_issues(issues).collect()]
+    assert got == [
+        ("unverified", None, "error", 2, 2, "b", True, 2), ("enforced", "r1", "error", 1, 1, "u", False, 3), ("log-format", None, "error", 2, 2, "5", True, 8),
+        ("advisory", "r1", "warning", 1, 1, "w", False, 11), ("zeta", None, "warning", 1, 1, "z", False, 11),
+    ]
+
+
 def test_long_ways_and_cycles_settle_in_few_rounds(spark):
     tail = [(f"a{k}", f"a{k + 1}") for k in range(60)] + [("a60", "r0")]
     ring = [(f"r{k}", f"r{(k + 1) % 50}") for k in range(50)]
